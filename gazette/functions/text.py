@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import unicodedata
 from functools import lru_cache
 from html.entities import name2codepoint
@@ -14,15 +15,34 @@ from . import lexicon as L
 HAN = "\\x{4E00}-\\x{9FFF}"
 SPACES = " \t\r\n\f\u000b 　"
 WHOLE_ELEMENTS = "(?is)<!--.*?-->|<script\\b.*?</script>|<style\\b.*?</style>"
+UNIT = "\u001f"
 ANY_TAG = "(?i)</?[a-z][^>]*>|<![^>]*>|<\\?[^>]*>"
 
 
 def strings(values) -> Column:
-    """An array literal of strings; an empty list keeps its type."""
+    """An array literal of strings.
+
+    Written as one folded expression instead of one node per word, so that a
+    long list does not make the plan long.
+    """
     values = list(values)
     if not values:
         return F.array().cast("array<string>")
-    return F.array(*[F.lit(v) for v in values])
+    return F.split(F.lit(UNIT.join(values)), UNIT)
+
+
+def json_literal(value, ddl: str) -> Column:
+    """A nested literal as one folded expression."""
+    return F.from_json(F.lit(json.dumps(value, ensure_ascii=False)), ddl)
+
+
+def bind(value: Column, body) -> Column:
+    """Evaluate a value once where an expression uses it several times.
+
+    Inside the functions of arrays nothing is shared between uses, so a text that
+    is folded or cut for many comparisons has to be bound to a variable first.
+    """
+    return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
 def strip(col: Column) -> Column:
@@ -34,10 +54,10 @@ def strip(col: Column) -> Column:
 
 
 @lru_cache(maxsize=1)
-def _entity_names() -> tuple[tuple[str, str], ...]:
+def _entity_names() -> dict[str, str]:
     named = {name: chr(point) for name, point in name2codepoint.items()}
     named["apos"] = "'"
-    return tuple(sorted(named.items()))
+    return named
 
 
 def decode_entities(col: Column) -> Column:
@@ -46,7 +66,7 @@ def decode_entities(col: Column) -> Column:
     The text is cut at every ``&``; each piece is looked up once, so ``&amp;lt;``
     becomes ``&lt;`` and not ``<``. Texts without ``&`` are passed through.
     """
-    names = F.create_map(*[F.lit(part) for pair in _entity_names() for part in pair])
+    names = json_literal(_entity_names(), "map<string,string>")
 
     def piece(text: Column, position: Column) -> Column:
         body = F.regexp_extract(text, "^(#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]*);", 1)

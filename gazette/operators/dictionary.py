@@ -16,7 +16,7 @@ from collections import OrderedDict
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import count_in, fold, fold_literal
+from ..functions.text import bind, count_in, fold, fold_literal, json_literal
 
 LITERAL_ENTRIES = 5000
 
@@ -33,33 +33,34 @@ def literal_groups(entries, folded: bool = False) -> Column:
     for code, keyword in sorted(entries):
         if keyword:
             groups.setdefault(code, []).append(fold_literal(keyword) if folded else keyword)
-    if not groups:
-        return F.array().cast("array<struct<code:string,keywords:array<string>>>")
-    return F.array(
-        *[
-            F.struct(F.lit(code).alias("code"), F.array(*[F.lit(k) for k in words]).alias("keywords"))
-            for code, words in groups.items()
-        ]
-    )
+    nested = [{"code": code, "keywords": kept} for code, kept in groups.items()]
+    return json_literal(nested, "array<struct<code:string,keywords:array<string>>>")
 
 
 def best_code(groups: Column, text: Column) -> Column:
     """Code with most keyword occurrences, the smaller code on a tie; null without a hit."""
 
-    def scored(group: Column) -> Column:
-        total = F.aggregate(
-            group["keywords"], F.lit(0).cast("bigint"), lambda acc, word: acc + count_in(text, word)
-        )
-        return F.struct((-total).alias("order"), group["code"].alias("code"))
+    def best(body: Column) -> Column:
+        def scored(group: Column) -> Column:
+            total = F.aggregate(
+                group["keywords"], F.lit(0).cast("bigint"), lambda acc, word: acc + count_in(body, word)
+            )
+            return F.struct((-total).alias("order"), group["code"].alias("code"))
+
+        hits = F.filter(F.transform(groups, scored), lambda pair: pair["order"] < 0)
+        return F.array_min(hits)["code"]
 
-    hits = F.filter(F.transform(groups, scored), lambda pair: pair["order"] < 0)
-    return F.array_min(hits)["code"]
+    return bind(text, best)
 
 
 def matching_codes(groups: Column, text: Column) -> Column:
     """Every code that has at least one keyword inside the text."""
-    hits = F.filter(groups, lambda g: F.exists(g["keywords"], lambda word: F.contains(text, word)))
-    return F.transform(hits, lambda g: g["code"])
+
+    def codes(body: Column) -> Column:
+        hits = F.filter(groups, lambda g: F.exists(g["keywords"], lambda word: F.contains(body, word)))
+        return F.transform(hits, lambda g: g["code"])
+
+    return bind(text, codes)
 
 
 def keyword_pairs(texts: DataFrame, key: str, text: str, entries: DataFrame, folded: bool = False) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import decode_entities, strip
+from ..functions.text import bind, decode_entities, strip
 from ..functions.urls import (
     absolute_media_url,
     image_pick,
@@ -16,7 +16,7 @@ from ..functions.urls import (
     origin,
     video_platform,
 )
-from .pages import INLINE, attribute, bind
+from .pages import INLINE, attribute
 
 SCRIPT_MEDIA = "https?://[^\\s\"'<>]+\\.(?:mp4|m3u8)"
 
@@ -87,8 +87,9 @@ def figure_images(fragment: Column) -> Column:
     return F.array_distinct(F.filter(F.transform(figures, pick), lambda url: url != ""))
 
 
-def page_videos(fragment: Column, page_url: Column, drop_trackers: Column | bool = True) -> Column:
-    """``array<struct<url,type,platform>>``: players, their sources, frames, and media named in scripts."""
+def page_videos(fragment: Column, page_url: Column, html: Column, drop_trackers: Column | bool = True) -> Column:
+    """``array<struct<url,type,platform>>``: players, their sources and frames of the article,
+    then media named in scripts of the whole page (the article's markup has none left)."""
     base = origin(page_url)
     drop = F.lit(drop_trackers) if isinstance(drop_trackers, bool) else drop_trackers
 
@@ -112,7 +113,7 @@ def page_videos(fragment: Column, page_url: Column, drop_trackers: Column | bool
         sources(F.regexp_extract_all(fragment, F.lit("(?is)<iframe\\s[^>]*>"), F.lit(0))),
         lambda u: ~(drop & is_tracker(u)),
     )
-    scripts = F.regexp_extract_all(fragment, F.lit("(?is)<script\\b.*?</script>"), F.lit(0))
+    scripts = F.regexp_extract_all(html, F.lit("(?is)<script\\b.*?</script>"), F.lit(0))
     named = F.flatten(F.transform(scripts, lambda s: F.regexp_extract_all(s, F.lit(SCRIPT_MEDIA), F.lit(0))))
     videos = F.concat(
         F.transform(direct, entry("direct", "unknown")),

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import lexicon as L
-from ..functions.text import WHOLE_ELEMENTS, ends_in_mark, decode_entities, strip, strip_html, strip_tags
+from ..functions.text import WHOLE_ELEMENTS, bind, ends_in_mark, decode_entities, strip, strip_html, strip_tags
 from ..functions.times import publish_time
 from ..functions.urls import contains_any, editor_line, normalize_url, origin, site_of
 
@@ -28,11 +28,6 @@ CUT, HEAD = "\u0001", "\u0002"
 PARAGRAPH = "\n\n"
 
 
-def bind(value: Column, body) -> Column:
-    """Evaluate a value once inside an expression that uses it several times."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
 def attribute(tag: Column, name: str) -> Column:
     """Value of a quoted or bare attribute of an opening tag, trimmed; empty if absent."""
     rx = f"(?is)\\s{name}\\s*=\\s*(?:\"([^\"]*)\"|'([^']*)'|([^\\s\"'>]+))"
@@ -164,13 +159,18 @@ def main_content(pages: DataFrame, profiles: DataFrame, site: str | None = None)
         return F.when(candidate["elements"], by_element).otherwise(by_container)
 
     nothing = F.lit(None).cast("struct<fragment:string,content:string>")
+    start = F.struct(nothing.alias("long"), nothing.alias("short"))
 
-    def first_long(acc: Column, candidate: Column) -> Column:
-        fresh = bind(extracted(candidate), lambda e: F.when(F.length(e["content"]) > profile("gate"), e))
-        return F.coalesce(acc, fresh)
+    def look(acc: Column, candidate: Column) -> Column:
+        """The first long text ends the search; until then the last short one is remembered."""
 
-    def last_short(acc: Column, candidate: Column) -> Column:
-        return F.coalesce(bind(extracted(candidate), lambda e: F.when(e["content"] != "", e)), acc)
+        def weigh(e: Column) -> Column:
+            return F.struct(
+                F.when(F.length(e["content"]) > profile("gate"), e).alias("long"),
+                F.coalesce(F.when(e["content"] != "", e), acc["short"]).alias("short"),
+            )
+
+        return F.when(acc["long"].isNotNull(), acc).otherwise(bind(extracted(candidate), weigh))
 
     paragraphs = F.array_join(
         F.filter(
@@ -179,18 +179,18 @@ def main_content(pages: DataFrame, profiles: DataFrame, site: str | None = None)
         ),
         PARAGRAPH,
     )
-    df = df.withColumn("_html", html).withColumn("_long", F.aggregate(candidates, nothing, first_long))
-    df = df.withColumn(
-        "_short", F.when(F.col("_long").isNull(), F.aggregate(candidates, nothing, last_short))
-    )
+    df = df.withColumn("_html", html).withColumn("_found", F.aggregate(candidates, start, look))
+    short = F.coalesce("_found.short.content", F.lit(""))
     fallback = F.when(
-        profile("fallback") & (F.length(F.coalesce("_short.content", F.lit(""))) != profile("gate")),
+        profile("fallback") & F.col("_found.long").isNull() & (F.length(short) != profile("gate")),
         F.nullif(paragraphs, F.lit("")),
     )
-    content = F.coalesce(F.col("_long.content"), fallback, F.col("_short.content"), F.lit(""))
     return df.withColumns(
-        {"content": content, "container": F.coalesce("_long.fragment", "_short.fragment")}
-    ).drop("_html", "_long", "_short")
+        {
+            "content": F.coalesce("_found.long.content", fallback, short),
+            "container": F.coalesce("_found.long.fragment", "_found.short.fragment"),
+        }
+    ).drop("_html", "_found")
 
 
 def accepted_content(extracted: DataFrame) -> DataFrame:

@@ -6,12 +6,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import lexicon as L
-from ..functions.text import detect_language, strip_html, tokenize
+from ..functions.text import detect_language, json_literal, strip_html, tokenize
 
 
 def source_id_lookup(name: Column) -> Column:
     """Source id of a name, 1 for unknown names; a literal map, so no join."""
-    ids = F.create_map(*[F.lit(part) for pair in L.SOURCE_IDS.items() for part in pair])
+    ids = json_literal(L.SOURCE_IDS, "map<string,int>")
     return F.coalesce(F.element_at(ids, F.coalesce(name, F.lit(""))), F.lit(L.DEFAULT_SOURCE_ID))
 
 

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import lexicon as L
-from ..functions.text import HAN, fold, fold_key, fold_literal, stem_en
+from ..functions.text import HAN, bind, fold, fold_key, fold_literal, json_literal, stem_en
 from ..operators.rows import page_per_group
 from ..schema import QUERY
 
@@ -85,109 +85,107 @@ def recent_news(news: DataFrame, as_of: Column, hours: int = L.WINDOW_HOURS) ->
     return news.where(F.col("created_at") > as_of - F.make_interval(hours=F.lit(hours)))
 
 
-_HIT = ["query_id", "stage", "news_id", "created_at", "score", "match_count"]
+def _one(value) -> Column:
+    return F.lit(value).cast("bigint")
 
 
-def latest_hits(parsed: DataFrame, recent: DataFrame) -> DataFrame:
+def latest_hits(asked: list[Row], recent: DataFrame) -> DataFrame:
     """Every recent article for each ``*`` request; the requests ride along as an array."""
-    ids = [row[0] for row in parsed.where("kind = 'latest'").select("query_id").collect()]
-    wanted = F.array(*[F.lit(i) for i in ids]).cast("array<int>")
-    return recent.select(F.explode(wanted).alias("query_id"), "news_id", "created_at").select(
+    ids = F.array(*[F.lit(r.query_id) for r in asked])
+    return recent.select(F.explode(ids).alias("query_id"), "news_id", "created_at").select(
         "query_id",
         F.lit(0).alias("stage"),
         "news_id",
         "created_at",
         F.lit(1.0).alias("score"),
-        F.lit(1).cast("bigint").alias("match_count"),
+        _one(1).alias("match_count"),
     )
 
 
-def country_hits(parsed: DataFrame, recent: DataFrame, countries: DataFrame) -> DataFrame:
-    """Recent articles whose primary country a ``country:`` request names."""
-    wanted = (
-        parsed.where("kind = 'country'")
-        .select("query_id", F.explode("terms").alias("term"))
-        .where(F.length("term") >= 2)
-        .select("query_id", fold_key(F.col("term")).alias("code"))
-        .distinct()
-    )
-    tagged = countries.where("is_primary").select("news_id", fold_key(F.col("country_code")).alias("code"))
+def country_hits(asked: list[Row], recent: DataFrame, countries: DataFrame) -> DataFrame:
+    """Recent articles whose primary country a ``country:`` request names.
+
+    The codes are a literal condition on the country rows, so only the rows of
+    the named countries are read and joined; requests are attached by a map.
+    """
+    wanted: dict[str, list[int]] = {}
+    for row in asked:
+        for term in row.terms:
+            if len(term) >= 2:
+                wanted.setdefault(fold_literal(term).rstrip(" "), []).append(row.query_id)
+    by_code = json_literal(wanted, "map<string,array<int>>")
+    code = fold_key(F.col("country_code"))
+    tagged = countries.where(F.col("is_primary") & code.isin(list(wanted))).select("news_id", code.alias("code"))
     return (
-        tagged.join(F.broadcast(wanted), "code")
-        .join(recent.select("news_id", "created_at"), "news_id")
+        tagged.join(recent.select("news_id", "created_at"), "news_id")
+        .select("news_id", "created_at", F.explode(F.element_at(by_code, F.col("code"))).alias("query_id"))
         .select(
             "query_id",
             F.lit(0).alias("stage"),
             "news_id",
             "created_at",
             F.lit(1.5).alias("score"),
-            F.lit(1).cast("bigint").alias("match_count"),
+            _one(1).alias("match_count"),
         )
     )
 
 
-def title_hits(parsed: DataFrame, recent: DataFrame) -> DataFrame:
+def title_hits(asked: list[Row], recent: DataFrame) -> DataFrame:
     """Title requests: stage 0 holds the phrase, stage 1 all its keywords.
 
     The requests ride along as one array literal (their number is the number of
     requests of the call), so the titles are folded once and scanned once.
     """
-    rows = parsed.where("kind = 'title' and clean != ''").select("query_id", "clean", "keywords").collect()
-    entries = [(r[0], fold_literal(r[1]), [fold_literal(k) for k in r[2]]) for r in rows]
-    shape = "array<struct<query_id:int,phrase:string,keywords:array<string>>>"
-    literal = F.array(
-        *[
-            F.struct(
-                F.lit(q).alias("query_id"),
-                F.lit(p).alias("phrase"),
-                F.array(*[F.lit(k) for k in ks]).cast("array<string>").alias("keywords"),
-            )
-            for q, p, ks in entries
-        ]
-    ).cast(shape)
-    folded = recent.select("news_id", "created_at", fold(F.coalesce("title", F.lit(""))).alias("title"))
-
-    def hits(entry: Column) -> Column:
-        phrase = F.contains(F.col("title"), entry["phrase"])
-        words = (F.size(entry["keywords"]) > 0) & F.forall(
-            entry["keywords"], lambda k: F.contains(F.col("title"), k)
-        )
+    entries = [
+        {"query_id": r.query_id, "phrase": fold_literal(r.clean), "keywords": [fold_literal(k) for k in r.keywords]}
+        for r in asked
+        if r.clean
+    ]
+    literal = json_literal(entries, "array<struct<query_id:int,phrase:string,keywords:array<string>>>")
+
+    def hits(title: Column, entry: Column) -> Column:
+        phrase = F.contains(title, entry["phrase"])
+        words = (F.size(entry["keywords"]) > 0) & F.forall(entry["keywords"], lambda k: F.contains(title, k))
         stages = F.concat(
             F.when(phrase, F.array(F.lit(0))).otherwise(F.array().cast("array<int>")),
             F.when(words, F.array(F.lit(1))).otherwise(F.array().cast("array<int>")),
         )
         return F.transform(stages, lambda s: F.struct(entry["query_id"].alias("query_id"), s.alias("stage")))
 
-    found = F.flatten(F.transform(literal, hits))
-    return folded.select("news_id", "created_at", F.inline(found)).select(
+    found = bind(
+        fold(F.coalesce("title", F.lit(""))), lambda title: F.flatten(F.transform(literal, lambda e: hits(title, e)))
+    )
+    return recent.select("news_id", "created_at", F.inline(found)).select(
         "query_id",
         "stage",
         "news_id",
         "created_at",
         F.when(F.col("stage") == 0, 2.0).otherwise(1.5).alias("score"),
-        F.lit(1).cast("bigint").alias("match_count"),
+        _one(1).alias("match_count"),
     )
 
 
-def ranked_hits(parsed: DataFrame, recent: DataFrame, index: DataFrame) -> DataFrame:
+def ranked_hits(asked: list[Row], recent: DataFrame, index: DataFrame) -> DataFrame:
     """Postings of the first five terms; at least half of the terms must match.
 
-    The request terms are a few rows per request and are broadcast against the
-    postings, which are stored sorted by term. Matching postings are summed per
-    (request, article) with a partial aggregate before the shuffle.
+    The terms of the call are a literal condition on the postings, which are
+    stored sorted by term, so files without them are skipped; the request rows
+    (at most five per request) are broadcast. Matching postings are summed per
+    (request, article, term) and then per (request, article), each combined
+    before its shuffle, and only then meet the recent articles.
     """
-    asked = (
-        parsed.where("kind = 'ranked'")
-        .withColumn("terms", F.slice("terms", 1, L.QUERY_TERMS))
-        .withColumn("least", F.greatest(F.lit(1.0), F.size("terms") * F.lit(0.5)))
+    spark = index.sparkSession
+    rows = set()
+    for row in asked:
+        terms = row.terms[: L.QUERY_TERMS]
+        for term in terms:
+            key = fold_literal(term).rstrip(" ")
+            rows.add((row.query_id, row.language, row.xpath, max(1.0, len(terms) * 0.5), key))
+    shape = "query_id int, language string, xpath string, least double, term_key string"
+    terms = spark.createDataFrame(sorted(rows, key=repr), shape)
+    postings = index.where(F.col("term_key").isin(sorted({r[4] for r in rows}))).select(
+        "term_key", "language", "news_id", "tf_weight", "xpath_path"
     )
-    terms = asked.select(
-        "query_id", "language", "xpath", "least", F.explode(F.array_distinct(F.transform("terms", fold_key))).alias("term_key")
-    ).distinct()
-    keys = [row[0] for row in terms.select("term_key").distinct().limit(1001).collect()]
-    postings = index.select("term_key", "language", "news_id", "tf_weight", "xpath_path")
-    if len(keys) <= 1000:
-        postings = postings.where(F.col("term_key").isin(keys))
     matched = postings.join(F.broadcast(terms), ["term_key", "language"]).where(
         "xpath is null or xpath_path = xpath"
     )
@@ -202,22 +200,16 @@ def ranked_hits(parsed: DataFrame, recent: DataFrame, index: DataFrame) -> DataF
     )
 
 
-def page_hits(hits: DataFrame, parsed: DataFrame, most: int) -> DataFrame:
+def page_hits(hits: DataFrame, queries: DataFrame, most: int) -> DataFrame:
     """The requested page per query with total; the later stage only where the first page is empty."""
-    wanted = parsed.select("query_id", "query", (F.col("start") - 1).alias("skip"), F.col("max_records").alias("take"))
+    wanted = queries.select("query_id", "query", (F.col("start") - 1).alias("skip"), F.col("max_records").alias("take"))
     sized = hits.join(F.broadcast(wanted), "query_id")
     order = [F.desc("score"), F.desc("created_at"), F.desc("news_id")]
     page = page_per_group(sized, ["query_id", "stage"], "news_id", order, "skip", "take", most)
-    stage = F.min("stage").over(_by_query())
+    stage = F.min("stage").over(Window.partitionBy("query_id"))
     return page.withColumn("_first", stage).where("stage = _first").drop("_first", "skip", "take")
 
 
-def _by_query():
-    from pyspark.sql import Window
-
-    return Window.partitionBy("query_id")
-
-
 def search(corpus: Corpus, requests: list[Request], as_of: Column, stem_query: bool = False) -> DataFrame:
     """All requests of a call, dispatched by kind, in one plan.
 
@@ -225,23 +217,23 @@ def search(corpus: Corpus, requests: list[Request], as_of: Column, stem_query: b
     rows of the pages at the end (at most 50 per request).
     """
     spark = corpus.news.sparkSession
-    parsed = parse_queries(requests_frame(spark, requests), stem_query)
-    kinds = {row[0] for row in parsed.select("kind").distinct().collect()}
+    asked = parse_queries(requests_frame(spark, requests), stem_query).collect()
+    kind = lambda name: [row for row in asked if row.kind == name]
     recent = recent_news(corpus.news, as_of)
     parts = []
-    if "latest" in kinds:
-        parts.append(latest_hits(parsed, recent))
-    if "country" in kinds:
-        parts.append(country_hits(parsed, recent, corpus.countries))
-    if "title" in kinds:
-        parts.append(title_hits(parsed, recent))
-    if "ranked" in kinds or not parts:
-        parts.append(ranked_hits(parsed, recent, corpus.index))
+    if kind("latest"):
+        parts.append(latest_hits(kind("latest"), recent))
+    if kind("country"):
+        parts.append(country_hits(kind("country"), recent, corpus.countries))
+    if kind("title"):
+        parts.append(title_hits(kind("title"), recent))
+    if kind("ranked") or not parts:
+        parts.append(ranked_hits(kind("ranked"), recent, corpus.index))
     hits = parts[0]
     for part in parts[1:]:
         hits = hits.unionByName(part)
     most = max([r.start - 1 + min(r.max_records, L.PAGE_CAP) for r in requests] + [1])
-    page = page_hits(hits, parsed, most)
+    page = page_hits(hits, requests_frame(spark, requests), most)
     shown = corpus.news.select("news_id", "title", "xml_content")
     return shown.join(F.broadcast(page) if most <= 1000 else page, "news_id").select(
         "query_id",

@@ -10,8 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import lexicon as L
-from ..functions.text import HAN, is_meaningless, strings
-from ..operators.pages import bind
+from ..functions.text import HAN, bind, is_meaningless, strings
 from .search import recent_news
 
 PHRASES = "array<struct<phrase:string,length:int>>"
