@@ -59,7 +59,7 @@ def _countries(s, d):
 
 def _tagged(s, d):
     """News with primary country, categories and stored record."""
-    df = tagging.identify_country(_news(s, d), C.country_keywords(s))
+    df = tagging.identify_country(_news(s, d), C.PROSE_KEYWORDS)
     return index.with_xml(tagging.category_codes(df, _rules()))
 
 
@@ -67,9 +67,10 @@ def _rules():
     return tagging.category_rules() + C.PROSE_RULES
 
 
-def _news_countries(s, d):
+def _news_countries(s, d, tagged=None):
     """Primary rows, and the country of the article's number as a secondary one."""
-    tagged = tagging.identify_country(_news(s, d), C.country_keywords(s))
+    if tagged is None:
+        tagged = tagging.identify_country(_news(s, d), C.PROSE_KEYWORDS)
     second = tagged.select(
         "news_id", C.country_code_of(F.col("news_id") % 25).alias("country_code"), "primary_country"
     ).where("primary_country is null or country_code != primary_country")
@@ -78,7 +79,7 @@ def _news_countries(s, d):
 
 
 def _news_categories(s, d):
-    return tagging.news_categories(_tagged(s, d), seeds.categories(s))
+    return tagging.news_categories(tagging.category_codes(_news(s, d), _rules()), seeds.categories(s))
 
 
 def _articles(s, d):
@@ -264,7 +265,8 @@ def article_xml(s, d):
 
 
 def _corpus(s, d):
-    return search.Corpus(_tagged(s, d), _news_countries(s, d), _index(s, d))
+    tagged = _tagged(s, d)
+    return search.Corpus(tagged, _news_countries(s, d, tagged), index.build_index(C.with_terms(tagged)))
 
 
 def _search(s, d, stem=False):
@@ -1006,7 +1008,7 @@ def late_reject(s, d):
 
 
 def rolling_country_counts(s, d):
-    tagged = tagging.identify_country(_news_stream(s, d), C.country_keywords(s)).withColumnRenamed("primary_country", "country_code")
+    tagged = tagging.identify_country(_news_stream(s, d), C.PROSE_KEYWORDS).withColumnRenamed("primary_country", "country_code")
     buckets = _run(s, rolling.country_buckets(tagged), "complete")
     return rolling.rolling_country_counts(buckets, C.as_of())
 

@@ -14,16 +14,20 @@ def category_rules() -> list[tuple[str, str]]:
     return [(code, word) for code, words in L.CATEGORY_KEYWORDS.items() for word in words.split("|")]
 
 
-def _pairs(entries: DataFrame, code: str):
+def _pairs(entries, code: str):
+    """(code, keyword) pairs of a list or of a small table; ``None`` for a large one."""
+    if not isinstance(entries, DataFrame):
+        return list(entries)
     rows = small_rows(entries.select(code, "keyword"))
     return None if rows is None else [(row[0], row[1]) for row in rows]
 
 
-def identify_country(articles: DataFrame, keywords: DataFrame, out: str = "primary_country") -> DataFrame:
+def identify_country(articles: DataFrame, keywords, out: str = "primary_country") -> DataFrame:
     """At most one country per article: the title decides, else the content.
 
     Within the deciding text the country with most keyword occurrences wins and
-    the smaller code on a tie. ``articles`` needs news_id, title and content.
+    the smaller code on a tie. ``articles`` needs news_id, title and content;
+    ``keywords`` are (code, keyword) pairs or a DataFrame(country_code, keyword).
     """
     pairs = _pairs(keywords, "country_code")
     if pairs is not None:
@@ -72,12 +76,10 @@ def category_codes(articles: DataFrame, rules=None, out: str = "category_codes")
     if rules is None:
         rules = category_rules()
     forced = forced_categories(F.col("source_id"), F.col("hint_category"))
-    if isinstance(rules, DataFrame):
-        pairs = _pairs(rules, "category_code")
-        if pairs is None:
-            return _category_codes_large(articles, rules, forced, out)
-        rules = pairs
-    groups = literal_groups(rules, folded=True)
+    pairs = _pairs(rules, "category_code")
+    if pairs is None:
+        return _category_codes_large(articles, rules, forced, out)
+    groups = literal_groups(pairs, folded=True)
     matched = matching_codes(groups, category_text(F.col("title"), F.col("content")))
     return _with_fallback(articles.withColumn(out, F.array_distinct(F.concat(matched, forced))), out)
 

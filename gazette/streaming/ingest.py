@@ -9,7 +9,7 @@ from pyspark.sql import types as T
 from ..functions.text import fold_key
 from ..operators.retention import expired
 from ..plans.ingest import ingest_batch
-from ..sources.export import write_news_tables
+from ..sources.export import exists, write_news_tables
 
 LATENESS = "48 hours"
 
@@ -49,8 +49,7 @@ def write_ingest(root: str, keywords: DataFrame, categories: DataFrame, now, rul
     """
 
     def stored_urls(spark: SparkSession, batch_id: int) -> DataFrame | None:
-        path = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/_batches")
-        if not path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(path):
+        if not exists(spark, f"{root}/_batches"):
             return None
         done = spark.read.option("recursiveFileLookup", True).parquet(f"{root}/_batches").distinct()
         done = done.where(F.col("batch_id") != f"b{batch_id}")
