@@ -63,6 +63,11 @@ def _tagged(s, d):
     return index.with_xml(tagging.category_codes(df, _rules()))
 
 
+def _placed(s, d):
+    """News with primary country and stored record; what searching and indexing need."""
+    return index.with_xml(tagging.identify_country(_news(s, d), C.PROSE_KEYWORDS))
+
+
 def _rules():
     return tagging.category_rules() + C.PROSE_RULES
 
@@ -83,8 +88,8 @@ def _news_categories(s, d):
 
 
 def _articles(s, d):
-    """Tagged news with index terms."""
-    return C.with_terms(_tagged(s, d))
+    """News with primary country and index terms."""
+    return C.with_terms(_placed(s, d))
 
 
 def _index(s, d):
@@ -261,11 +266,11 @@ def _l(name):
 
 
 def article_xml(s, d):
-    return _tagged(s, d).select("news_id", "xml_content")
+    return _placed(s, d).select("news_id", "xml_content")
 
 
 def _corpus(s, d):
-    tagged = _tagged(s, d)
+    tagged = _placed(s, d)
     return search.Corpus(tagged, _news_countries(s, d, tagged), index.build_index(C.with_terms(tagged)))
 
 
@@ -291,7 +296,7 @@ def sru_parse(s, d):
 def write_news_tables(s, d):
     """Write one batch twice, read the committed tables back, count them."""
     tables = ingest.batch_tables(
-        _articles(s, d).withColumns(
+        C.with_terms(_tagged(s, d)).withColumns(
             {"images": F.array().cast(feeds.EMPTY_IMAGES), "videos": F.array().cast(feeds.EMPTY_VIDEOS), "image_url": F.col("source_url")}
         ),
         seeds.categories(s),
@@ -404,7 +409,8 @@ def url_date(s, d):
 
 def _images(s, d):
     extracted = pages.main_content(_media_pages(s, d), profiles.site_profiles(s))
-    return extracted.select("page_id", F.posexplode(page_media.page_images(F.col("container"), F.col("url"))).alias("position", "image"))
+    listed = X.evaluate_once(extracted, {"images": page_media.page_images(F.col("container"), F.col("url"))})
+    return listed.select("page_id", F.posexplode("images").alias("position", "image"))
 
 
 def page_images(s, d):
@@ -422,7 +428,8 @@ def image_url_rewrite(s, d):
 def page_videos(s, d):
     extracted = pages.main_content(_media_pages(s, d), profiles.site_profiles(s))
     videos = page_media.page_videos(F.col("container"), F.col("url"), F.col("html"))
-    return extracted.select("page_id", F.posexplode(videos).alias("position", "v")).select(
+    listed = X.evaluate_once(extracted, {"videos": videos})
+    return listed.select("page_id", F.posexplode("videos").alias("position", "v")).select(
         "page_id", _l("position"), "v.url", "v.type", "v.platform"
     )
 
@@ -765,7 +772,7 @@ def unindexed_news(s, d):
 
 
 def rebuild_missing_index(s, d):
-    missing = index.unindexed_news(_tagged(s, d), _build_logs(s, d), C.as_of(), most=None)
+    missing = index.unindexed_news(_placed(s, d), _build_logs(s, d), C.as_of(), most=None)
     built = index.build_index(index.rebuild_terms(missing))
     return built.select("term", "news_id", "tf_weight", "xpath_path", _l("position"))
 
@@ -795,7 +802,7 @@ def postings_lookup(s, d):
 
 
 def index_coverage(s, d):
-    news = _tagged(s, d).withColumn("xml_content", F.when(F.col("news_id") % 9 != 0, F.col("xml_content")))
+    news = _placed(s, d).withColumn("xml_content", F.when(F.col("news_id") % 9 != 0, F.col("xml_content")))
     return index.index_coverage(news, C.as_of())
 
 

@@ -7,7 +7,7 @@ import unicodedata
 from functools import lru_cache
 from html.entities import name2codepoint
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import lexicon as L
@@ -45,6 +45,19 @@ def bind(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def evaluate_once(df: DataFrame, exprs: dict[str, Column]) -> DataFrame:
+    """``withColumns`` whose expressions are computed once per row, here.
+
+    A later filter on such a column is not pushed below it and a later projection
+    does not repeat it: the optimizer would otherwise copy a costly expression
+    into every place that uses its column. It is a one-row generator, so it stays
+    inside the stage and its generated code.
+    """
+    kept = [F.col(c) for c in df.columns if c not in exprs]
+    made = F.struct(*[e.alias(name) for name, e in exprs.items()])
+    return df.select(*kept, F.inline(F.array(made)))
+
+
 def strip(col: Column) -> Column:
     """Trim every kind of space, not only the blank."""
     return F.btrim(col, F.lit(SPACES))

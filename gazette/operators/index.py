@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import lexicon as L
-from ..functions.text import article_xml, fold_key, tokenize
+from ..functions.text import article_xml, evaluate_once, fold_key, tokenize
 
 
 def _postings(terms: Column, weight: float, path: str, field: str) -> Column:
@@ -40,7 +40,11 @@ def build_index(articles: DataFrame) -> DataFrame:
         _postings(country, L.COUNTRY_WEIGHT, L.COUNTRY_PATH, "metadata"),
     )
     long_enough = F.filter(postings, lambda p: F.length(p["term"]) >= 2)
-    return articles.select("news_id", "language", "created_at", F.inline(long_enough)).select(
+    listed = evaluate_once(
+        articles.select("news_id", "language", "created_at", "title_terms", "content_terms", "primary_country"),
+        {"postings": long_enough},
+    )
+    return listed.select("news_id", "language", "created_at", F.inline("postings")).select(
         "term",
         "news_id",
         "tf_weight",

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import bind, decode_entities, strip
+from ..functions.text import bind, decode_entities, evaluate_once, strip
 from ..functions.urls import (
     absolute_media_url,
     image_pick,
@@ -151,7 +151,8 @@ def media_rows(articles: DataFrame, url_chars: int = 800) -> DataFrame:
         ),
     )
     return (
-        articles.select("news_id", "created_at", F.posexplode(rows).alias("place", "item"))
+        evaluate_once(articles, {"_media": rows})
+        .select("news_id", "created_at", F.posexplode("_media").alias("place", "item"))
         .where("coalesce(item.media_url, '') != ''")
         .select(
             "news_id",

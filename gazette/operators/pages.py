@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import lexicon as L
-from ..functions.text import WHOLE_ELEMENTS, bind, ends_in_mark, decode_entities, strip, strip_html, strip_tags
+from ..functions.text import WHOLE_ELEMENTS, bind, ends_in_mark, evaluate_once, decode_entities, strip, strip_html, strip_tags
 from ..functions.times import publish_time
 from ..functions.urls import contains_any, editor_line, normalize_url, origin, site_of
 
@@ -179,17 +179,18 @@ def main_content(pages: DataFrame, profiles: DataFrame, site: str | None = None)
         ),
         PARAGRAPH,
     )
-    df = df.withColumn("_html", html).withColumn("_found", F.aggregate(candidates, start, look))
+    df = evaluate_once(evaluate_once(df, {"_html": html}), {"_found": F.aggregate(candidates, start, look)})
     short = F.coalesce("_found.short.content", F.lit(""))
     fallback = F.when(
         profile("fallback") & F.col("_found.long").isNull() & (F.length(short) != profile("gate")),
         F.nullif(paragraphs, F.lit("")),
     )
-    return df.withColumns(
+    return evaluate_once(
+        df,
         {
             "content": F.coalesce("_found.long.content", fallback, short),
             "container": F.coalesce("_found.long.fragment", "_found.short.fragment"),
-        }
+        },
     ).drop("_html", "_found")
 
 
@@ -248,7 +249,8 @@ def article_links(pages: DataFrame, profiles: DataFrame, site: str | None = None
         & ((rule("link_skip") == "") | ~F.regexp_like(link["href"], rule("link_skip"))),
     )
     capped = F.slice(first_by_href(wanted), F.lit(1), rule("link_cap"))
-    return df.select("page_id", F.posexplode(capped).alias("position", "link")).select(
+    listed = evaluate_once(df, {"_links": capped})
+    return listed.select("page_id", F.posexplode("_links").alias("position", "link")).select(
         "page_id", "position", F.col("link.href").alias("link"), F.col("link.title").alias("link_title")
     )
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import lexicon as L
-from ..functions.text import detect_language, json_literal, strip_html, tokenize
+from ..functions.text import detect_language, evaluate_once, json_literal, strip_html, tokenize
 
 
 def source_id_lookup(name: Column) -> Column:
@@ -35,18 +35,19 @@ def process_articles(
     Needs title, content, source_url, source_name, category_hint and country_hint;
     other columns are kept.
     """
-    clean = raw.withColumns({"title": strip_html(F.col("title")), "content": strip_html(F.col("content"))}).where(
-        (F.col("title") != "") & (F.col("content") != "")
-    )
-    typed = clean.withColumn("language", detect_language(F.concat("title", "content")))
-    termed = typed.withColumns(
+    clean = evaluate_once(
+        raw, {"title": strip_html(F.col("title")), "content": strip_html(F.col("content"))}
+    ).where((F.col("title") != "") & (F.col("content") != ""))
+    typed = evaluate_once(clean, {"language": detect_language(F.concat("title", "content"))})
+    termed = evaluate_once(
+        typed,
         {
             "title_terms": tokenize(F.col("title"), F.col("language")),
             "content_terms": tokenize(F.col("content"), F.col("language"), zh_chars, en_chars),
             "source_id": source_id_lookup(F.col("source_name")).cast("int"),
             "hint_country": F.col("country_hint"),
             "hint_category": F.col("category_hint"),
-        }
+        },
     )
     counted = termed.withColumn("term_count", F.size("title_terms") + F.size("content_terms"))
     return length_caps(counted).where("term_count > 0").drop("country_hint", "category_hint")

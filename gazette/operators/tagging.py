@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import lexicon as L
-from ..functions.text import fold, strings
+from ..functions.text import evaluate_once, fold, strings
 from .dictionary import best_code, keyword_pairs, literal_groups, matching_codes, small_rows
 
 
@@ -34,7 +34,7 @@ def identify_country(articles: DataFrame, keywords, out: str = "primary_country"
         groups = literal_groups(pairs)
         title = best_code(groups, F.coalesce("title", F.lit("")))
         content = best_code(groups, F.coalesce("content", F.lit("")))
-        return articles.withColumn(out, F.coalesce(title, content))
+        return evaluate_once(articles, {out: F.coalesce(title, content)})
     return identify_country_large(articles, keywords, out)
 
 
@@ -81,7 +81,7 @@ def category_codes(articles: DataFrame, rules=None, out: str = "category_codes")
         return _category_codes_large(articles, rules, forced, out)
     groups = literal_groups(pairs, folded=True)
     matched = matching_codes(groups, category_text(F.col("title"), F.col("content")))
-    return _with_fallback(articles.withColumn(out, F.array_distinct(F.concat(matched, forced))), out)
+    return _with_fallback(evaluate_once(articles, {out: F.array_distinct(F.concat(matched, forced))}), out)
 
 
 def _category_codes_large(articles: DataFrame, rules: DataFrame, forced: Column, out: str) -> DataFrame:

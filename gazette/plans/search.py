@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import lexicon as L
-from ..functions.text import HAN, bind, fold, fold_key, fold_literal, json_literal, stem_en
+from ..functions.text import HAN, bind, evaluate_once, fold, fold_key, fold_literal, json_literal, stem_en
 from ..operators.rows import page_per_group
 from ..schema import QUERY
 
@@ -155,7 +155,8 @@ def title_hits(asked: list[Row], recent: DataFrame) -> DataFrame:
     found = bind(
         fold(F.coalesce("title", F.lit(""))), lambda title: F.flatten(F.transform(literal, lambda e: hits(title, e)))
     )
-    return recent.select("news_id", "created_at", F.inline(found)).select(
+    titled = evaluate_once(recent.select("news_id", "created_at", "title"), {"_found": found})
+    return titled.select("news_id", "created_at", F.inline("_found")).select(
         "query_id",
         "stage",
         "news_id",

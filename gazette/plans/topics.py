@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import lexicon as L
-from ..functions.text import HAN, bind, is_meaningless, strings
+from ..functions.text import HAN, bind, evaluate_once, is_meaningless, strings
 from .search import recent_news
 
 PHRASES = "array<struct<phrase:string,length:int>>"
@@ -114,7 +114,8 @@ def title_phrases(titles: DataFrame) -> DataFrame:
     """(language, news_id, created_at, phrase, length) of both languages."""
     grams = F.when(F.col("language") == "zh", zh_phrases(F.col("title"))).otherwise(en_phrases(F.col("title")))
     language = F.when(F.col("language") == "zh", "zh").otherwise("en")
-    return titles.select(language.alias("language"), "news_id", "created_at", F.inline(grams))
+    listed = evaluate_once(titles, {"_grams": grams})
+    return listed.select(language.alias("language"), "news_id", "created_at", F.inline("_grams"))
 
 
 def count_phrases(phrases: DataFrame) -> DataFrame:

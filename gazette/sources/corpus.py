@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import lexicon as L
-from ..functions.text import detect_language, summary_or_default, tokenize
+from ..functions.text import detect_language, evaluate_once, summary_or_default, tokenize
 
 AS_OF = datetime(2024, 1, 4)
 
@@ -30,7 +30,19 @@ HAN = "中国经济发展世界和平人民科技文化体育军事政治新闻
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(df) if name in ("documents", "pages") else df
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Deal out a scan that has fewer partitions than there are cores.
+
+    Text work per row is heavy, and a small file is read by one or two tasks. A
+    large table has many more partitions than cores and is left as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    parts = df._jdf.queryExecution().toRdd().getNumPartitions()
+    return df.repartition(cores) if parts < cores else df
 
 
 def as_of() -> Column:
@@ -75,11 +87,12 @@ def documents_as_news(documents: DataFrame) -> DataFrame:
 
 def with_terms(news: DataFrame) -> DataFrame:
     """Adds the index terms of title and content."""
-    return news.withColumns(
+    return evaluate_once(
+        news,
         {
             "title_terms": tokenize(F.col("title"), F.col("language")),
             "content_terms": tokenize(F.col("content"), F.col("language"), L.ZH_TOKEN_CHARS, L.EN_TOKEN_CHARS),
-        }
+        },
     )
 
 

@@ -31,10 +31,7 @@ def test_tokenize_zh(value, raw, want):
     ],
 )
 def test_tokenize_en(value, raw, want):
-    got = value(text.tokenize_en(C("t")), t=raw)
-    # five letters keep their ending, longer words lose it
-    want = [{"thing": "thing"}.get(w, w) for w in want]
-    assert got == want
+    assert value(text.tokenize_en(C("t")), t=raw) == want
 
 
 @pytest.mark.parametrize("raw, want", [("abc", "en"), ("abc中", "zh"), ("", "en"), (None, "en")])
