@@ -637,9 +637,9 @@ def is_meaningless_phrase(s, d):
 
 def escape_like(s, d):
     """Per cent signs and underscores are literal in a search text."""
-    marks = s.createDataFrame([("5%",), ("a_b",), ("%",)], "mark string")
+    marks = ("5%", "a_b", "%")
     titled = _documents(s, d).select("doc_id", F.concat(F.col("text"), F.when(F.col("doc_id") % 2 == 0, " a_b").otherwise(" axb")).alias("text"))
-    found = [F.count_if(F.contains(X.fold(F.col("text")), F.lit(X.fold_literal(m[0])))).alias(n) for m, n in zip(marks.collect(), ("five_percent", "underscore", "percent"))]
+    found = [F.count_if(F.contains(X.fold(F.col("text")), F.lit(X.fold_literal(m)))).alias(n) for m, n in zip(marks, ("five_percent", "underscore", "percent"))]
     return titled.agg(*found)
 
 

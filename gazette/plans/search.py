@@ -11,6 +11,7 @@ from ..functions import lexicon as L
 from ..functions.text import HAN, bind, evaluate_once, fold, fold_key, fold_literal, json_literal, stem_en
 from ..operators.rows import page_per_group
 from ..schema import QUERY
+from ..session import rows_frame
 
 
 @dataclass(frozen=True)
@@ -36,7 +37,7 @@ class Corpus:
 
 def requests_frame(spark: SparkSession, requests: list[Request]) -> DataFrame:
     rows = [(i, r.query, r.start, min(r.max_records, L.PAGE_CAP)) for i, r in enumerate(requests)]
-    return spark.createDataFrame(rows, QUERY)
+    return rows_frame(spark, rows, QUERY)
 
 
 def parse_queries(queries: DataFrame, stem_query: bool = False) -> DataFrame:
@@ -183,7 +184,7 @@ def ranked_hits(asked: list[Row], recent: DataFrame, index: DataFrame) -> DataFr
             key = fold_literal(term).rstrip(" ")
             rows.add((row.query_id, row.language, row.xpath, max(1.0, len(terms) * 0.5), key))
     shape = "query_id int, language string, xpath string, least double, term_key string"
-    terms = spark.createDataFrame(sorted(rows, key=repr), shape)
+    terms = rows_frame(spark, sorted(rows, key=repr), shape)
     postings = index.where(F.col("term_key").isin(sorted({r[4] for r in rows}))).select(
         "term_key", "language", "news_id", "tf_weight", "xpath_path"
     )

@@ -9,6 +9,7 @@ from ..functions import lexicon as L
 from ..functions.geo import heat_color, latlon_to_xyz, marker_size, source_badge
 from ..functions.text import fmt_time, snippet
 from ..functions.urls import video_embed_url, video_type
+from ..session import rows_frame
 from .search import recent_news
 
 
@@ -280,4 +281,4 @@ def table_report(tables: dict[str, DataFrame]) -> DataFrame:
 def catalog_report(spark: SparkSession) -> DataFrame:
     """Tables and views registered in the session."""
     rows = [(t.name, t.tableType) for t in spark.catalog.listTables()]
-    return spark.createDataFrame(rows, "table_name string, table_type string")
+    return rows_frame(spark, rows, "table_name string, table_type string")

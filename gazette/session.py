@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import json
+import re
 import tempfile
 import uuid
 
 from pyspark.sql import SparkSession
+from pyspark.sql import functions as F
 
 
 def local_session(cores: int | str = 8, name: str = "gazette") -> SparkSession:
@@ -40,6 +43,22 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{shared_folder(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
+def rows_frame(spark: SparkSession, rows: list[tuple], ddl: str):
+    """A few literal rows as a DataFrame that stays in the plan.
+
+    Rows handed to ``createDataFrame`` become a Python-fed scan; these are one
+    folded literal, so reading them starts no Python worker.
+    """
+    names = [part.split()[0] for part in re.split(r",\s*(?![^<]*>)", ddl)]
+    literal = F.lit(json.dumps([dict(zip(names, row)) for row in rows], ensure_ascii=False))
+    return spark.range(1, numPartitions=1).select(F.inline(F.from_json(literal, f"array<struct<{struct_ddl(ddl)}>>")))
+
+
+def struct_ddl(ddl: str) -> str:
+    """``a int, b string`` as the fields of a struct type."""
+    return re.sub(r"(^|,\s*)(\w+)\s+(?=\w)", r"\1\2:", ddl)
+
+
 def reliable_checkpoint(df):
     """Cut the lineage with a checkpoint in the shared folder."""
     spark = df.sparkSession

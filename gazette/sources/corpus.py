@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import lexicon as L
 from ..functions.text import detect_language, evaluate_once, summary_or_default, tokenize
+from ..session import rows_frame
 
 AS_OF = datetime(2024, 1, 4)
 
@@ -120,7 +121,7 @@ def country_code_of(key: Column) -> Column:
 
 
 def country_keywords(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(PROSE_KEYWORDS, "country_code string, keyword string")
+    return rows_frame(spark, PROSE_KEYWORDS, "country_code string, keyword string")
 
 
 def suppliers_as_sources(supplier: DataFrame) -> DataFrame:

@@ -11,16 +11,17 @@ from pyspark.sql import functions as F
 
 from ..functions import lexicon as L
 from ..schema import CATEGORIES, COUNTRIES, COUNTRY_KEYWORDS, SOURCES
+from ..session import rows_frame
 
 
 def categories(spark: SparkSession) -> DataFrame:
     rows = [(i, name, code, colour, i) for i, (name, code, colour) in enumerate(L.CATEGORIES, start=1)]
-    return spark.createDataFrame(rows, CATEGORIES)
+    return rows_frame(spark, rows, CATEGORIES)
 
 
 def sources(spark: SparkSession) -> DataFrame:
     rows = [(*row, None) for row in L.SOURCES]
-    return spark.createDataFrame(rows, SOURCES)
+    return rows_frame(spark, rows, SOURCES)
 
 
 def _read(spark: SparkSession, path: str, schema: str) -> DataFrame:
