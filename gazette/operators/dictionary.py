@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from ..functions.text import bind, count_in, fold, fold_literal, json_literal
 
 LITERAL_ENTRIES = 5000
+GRAM_SALTS = 16
 
 
 def small_rows(df: DataFrame, limit: int = LITERAL_ENTRIES):
@@ -82,8 +83,15 @@ def keyword_pairs(texts: DataFrame, key: str, text: str, entries: DataFrame, fol
                 F.array_distinct(F.split(F.col("body"), "")),
             )
         ).alias("gram"),
+        F.pmod(F.xxhash64(key), F.lit(GRAM_SALTS)).alias("slice"),
     )
-    candidates = grams.join(words.withColumn("gram", F.substring("keyword", 1, 2)), "gram").drop("gram")
+    salted = words.select(
+        "code",
+        "keyword",
+        F.substring("keyword", 1, 2).alias("gram"),
+        F.explode(F.sequence(F.lit(0), F.lit(GRAM_SALTS - 1)).cast("array<bigint>")).alias("slice"),
+    )
+    candidates = grams.join(salted, ["gram", "slice"]).drop("gram", "slice")
     return (
         candidates.join(bodies, key)
         .withColumn("times", count_in(F.col("body"), F.col("keyword")))

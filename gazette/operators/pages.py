@@ -125,8 +125,9 @@ def _join_blocks(texts: Column, profile) -> Column:
 def with_profiles(pages: DataFrame, profiles: DataFrame, site: str | None = None) -> DataFrame:
     """Pages with the profile of their site as a struct; unlisted sites use the generic one."""
     rules = profiles.select(F.col("site"), F.struct(*profiles.columns).alias("profile"))
-    code = F.lit(site) if site else site_of(F.col("url"))
-    return pages.withColumn("site", code).join(F.broadcast(rules), "site")
+    # computed as a row value, so that a given site stays a join key
+    coded = evaluate_once(pages, {"site": F.lit(site) if site else site_of(F.col("url"))})
+    return coded.join(F.broadcast(rules), "site")
 
 
 def main_content(pages: DataFrame, profiles: DataFrame, site: str | None = None) -> DataFrame:

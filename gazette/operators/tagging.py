@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions import lexicon as L
 from ..functions.text import evaluate_once, fold, strings
-from .dictionary import best_code, keyword_pairs, literal_groups, matching_codes, small_rows
+from ..session import rows_frame
+from .dictionary import LITERAL_ENTRIES, best_code, keyword_pairs, literal_groups, matching_codes, small_rows
 
 
 def category_rules() -> list[tuple[str, str]]:
@@ -22,6 +23,13 @@ def _pairs(entries, code: str):
     return None if rows is None else [(row[0], row[1]) for row in rows]
 
 
+def _table_if_large(articles: DataFrame, entries, code: str):
+    """A list beyond the literal limit becomes a table, so that it is joined."""
+    if isinstance(entries, DataFrame) or len(entries) <= LITERAL_ENTRIES:
+        return entries
+    return rows_frame(articles.sparkSession, list(entries), f"{code} string, keyword string")
+
+
 def identify_country(articles: DataFrame, keywords, out: str = "primary_country") -> DataFrame:
     """At most one country per article: the title decides, else the content.
 
@@ -29,6 +37,7 @@ def identify_country(articles: DataFrame, keywords, out: str = "primary_country"
     the smaller code on a tie. ``articles`` needs news_id, title and content;
     ``keywords`` are (code, keyword) pairs or a DataFrame(country_code, keyword).
     """
+    keywords = _table_if_large(articles, keywords, "country_code")
     pairs = _pairs(keywords, "country_code")
     if pairs is not None:
         groups = literal_groups(pairs)
@@ -76,6 +85,7 @@ def category_codes(articles: DataFrame, rules=None, out: str = "category_codes")
     if rules is None:
         rules = category_rules()
     forced = forced_categories(F.col("source_id"), F.col("hint_category"))
+    rules = _table_if_large(articles, rules, "category_code")
     pairs = _pairs(rules, "category_code")
     if pairs is None:
         return _category_codes_large(articles, rules, forced, out)

@@ -237,7 +237,8 @@ def search(corpus: Corpus, requests: list[Request], as_of: Column, stem_query: b
     most = max([r.start - 1 + min(r.max_records, L.PAGE_CAP) for r in requests] + [1])
     page = page_hits(hits, requests_frame(spark, requests), most)
     shown = corpus.news.select("news_id", "title", "xml_content")
-    return shown.join(F.broadcast(page) if most <= 1000 else page, "news_id").select(
+    small = len(requests) * L.PAGE_CAP <= 100_000
+    return shown.join(F.broadcast(page) if small else page, "news_id").select(
         "query_id",
         "query",
         "position",
