@@ -9,7 +9,6 @@ from __future__ import annotations
 import re
 
 from ..functions import lexicon as L
-from ..functions import urls as U
 from ..operators.pages import BLOCK_NAMES, NEWS_LINK_PARTS, STRUCTURE_TAGS
 from ..operators.tagging import category_rules
 from ..sources import corpus as C
@@ -435,7 +434,7 @@ def build(body: str) -> str:
     return f"WITH {shared},\n{own}" if own else f"WITH {shared}\n{body}"
 
 
-def _parsed(query: str, source: str, pairs: bool) -> str:
+def _parsed(source: str) -> str:
     """Query parsing over a (query_id, query) part."""
     ascii_rx, han = "[^a-zA-Z0-9\\x{4E00}-\\x{9FFF}]+", HAN_RX
     return f"""SELECT query_id, query, CASE WHEN trim(query) = '*' THEN 'latest' WHEN xpath = '/news/metadata/country' THEN 'country'
@@ -460,10 +459,6 @@ PARSE_SOURCE = (
 )
 
 
-def _case(rules, col: str, default: str) -> str:
-    return "CASE " + " ".join(f"WHEN contains({col}, {q(p)}) THEN {q(v)}" for p, v in rules) + f" ELSE {q(default)} END"
-
-
 VIDEO_TYPE = (
     "CASE WHEN contains(lower({u}), '.m3u8') THEN 'hls' WHEN contains(lower({u}), 'youtube') OR contains(lower({u}), 'youtu.be') THEN 'youtube' "
     "WHEN contains(lower({u}), 'bilibili') THEN 'bilibili' WHEN contains(lower({u}), 'player') OR contains(lower({u}), 'embed') THEN 'embed' "
@@ -531,10 +526,6 @@ STATS = f"""SELECT source_id, count(*) total_news, count(*) FILTER (WHERE CAST(c
     GROUP BY source_id"""
 
 
-def media_token(column: str, rx: str, group: int = 0) -> str:
-    return f"regexp_extract({column}, {q(rx)}, {group})"
-
-
 def oracle_sql() -> dict[str, str]:
     o: dict[str, str] = {}
 
@@ -674,9 +665,9 @@ def oracle_sql() -> dict[str, str]:
     o["category_fallback"] = """SELECT news_id, CAST(category_id AS BIGINT) category_id FROM (SELECT news_id, code FROM forced UNION SELECT news_id, coalesce(hint_category, 'else') FROM news
         WHERE news_id NOT IN (SELECT news_id FROM forced)) JOIN categories ON code = category_code"""
     o["summary_default"] = "SELECT news_id, CASE WHEN news_id % 3 = 1 AND trim(title) <> '' THEN title ELSE substr(content, 1, 500) END summary FROM raw"
-    o["parse_query"] = _parsed("", PARSE_SOURCE, False)
+    o["parse_query"] = _parsed(PARSE_SOURCE)
     han_source = f"SELECT query_id, translate(lower(query), '{C.LATIN}', '{C.HAN}') query FROM ({PARSE_SOURCE})"
-    o["parse_query_zh"] = _parsed("", han_source, True)
+    o["parse_query_zh"] = _parsed(han_source)
     runs = "SELECT unnest(regexp_extract_all(title, '[\\x{4E00}-\\x{9FFF}]+')) phrase FROM han_news"
     digits = "一二三四五六七八九十母净利润同比增长归上下左右前后内"
     o["is_meaningless_phrase"] = f"""SELECT phrase, count(*) uses, {_meaningless('phrase')} meaningless FROM (SELECT phrase FROM ({runs})
@@ -815,7 +806,6 @@ def oracle_sql() -> dict[str, str]:
     # streams
     fine = "SELECT * FROM raw WHERE length(trim(content)) >= 60 AND NOT published_at < created_at - INTERVAL 48 HOUR AND trim(title) <> '' AND news_id IN (SELECT news_id FROM stems)"
     part("stored", fine)
-    part("stored_coded", "SELECT news_id, code FROM matched UNION SELECT news_id, CASE hint_category WHEN 'x' THEN '' END FROM raw WHERE false")
     o["stream_ingest"] = """SELECT 'news' table_name, count(*) table_rows FROM stored UNION ALL SELECT 'news_countries', count(*) FROM stored JOIN primary_of USING (news_id) WHERE primary_country IS NOT NULL
         UNION ALL SELECT 'news_categories', count(*) FROM stored s JOIN (SELECT news_id, code FROM matched UNION ALL SELECT news_id, coalesce(hint_category, 'else') FROM raw
           WHERE news_id NOT IN (SELECT news_id FROM matched)) m USING (news_id) JOIN categories ON code = category_code
@@ -827,6 +817,3 @@ def oracle_sql() -> dict[str, str]:
     o["stream_source_stats"] = STATS
     o["stream_retention"] = f"SELECT news_id, {fmt('created_at')} created_at FROM news WHERE created_at >= {EDGE}"
     return {name: build(sql) for name, sql in o.items()}
-
-
-__all__ = ["oracle_sql", "U"]

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from ..functions import lexicon as L
 from ..functions import text as X
-from ..functions import times as TM
 from ..functions import urls as U
 from ..functions.geo import heat_color, latlon_to_xyz, source_badge
 from ..operators import gate, index, page_media, pages, process, retention, rows, stats, tagging

@@ -6,7 +6,6 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import lexicon as L
-from .text import strings
 
 IMAGE_REWRITES = (("thumbLarge", "master1050"),)
 
@@ -201,7 +200,3 @@ def editor_line(text: Column) -> Column:
     for end in L.EDITOR_LINE_ENDS:
         line = line | text.endswith(end)
     return line
-
-
-def skip_parts() -> Column:
-    return strings(L.IMAGE_SKIP)

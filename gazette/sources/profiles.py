@@ -6,7 +6,6 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..functions import lexicon as L
 from ..session import rows_frame
 
 _SELECTOR = re.compile(r'^([a-z][a-z0-9]*)?(?:#([\w-]+))?(?:\.([\w-]+))?(?:\[([\w-]+)(\*?=)"([^"]+)"\])?$')
@@ -126,11 +125,3 @@ def _row(p: dict) -> tuple:
 def site_profiles(spark: SparkSession) -> DataFrame:
     """The rule table; fifteen rows, so it is broadcast wherever it is joined."""
     return rows_frame(spark, [_row(p) for p in PROFILES], SCHEMA)
-
-
-def profile_count() -> int:
-    return len(PROFILES)
-
-
-def image_skip_parts() -> list[str]:
-    return list(L.IMAGE_SKIP)
