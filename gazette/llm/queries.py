@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gazette.llm import bpe, topk
+from gazette.llm import bpe, topk, warc
+from gazette.llm.common import shared_path
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -32,6 +33,11 @@ def op4_top_k(spark: SparkSession, folder: str) -> DataFrame:
     return topk.top_k(vectors, vectors.where(F.col("vec_id") % 50 == 0))
 
 
+def op6_warc(spark: SparkSession, folder: str) -> DataFrame:
+    """Every page written to an archive and read back."""
+    return warc.round_trip(table(spark, folder, "pages"), shared_path(spark, "warc"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: run for name, run in globals().items() if name.startswith("op") and callable(run)}
 
@@ -47,5 +53,12 @@ WITH v AS (
   FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0
 ), r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
+""",
+        "op6_warc": """
+SELECT page_id, CAST(strlen(coalesce(html, '')) AS BIGINT) AS payload_bytes,
+  (SELECT string_agg(substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + CAST('0b' || substr(bits, 1 + 5 * i, 5) AS INTEGER), 1), '' ORDER BY i) FROM range(32) t(i)) AS payload_digest,
+  CASE WHEN page_id < largest THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN page_id < largest THEN largest END AS refers_to
+FROM (SELECT *, CAST(unhex(sha1(coalesce(html, ''))) AS BLOB)::BIT::VARCHAR AS bits, max(page_id) OVER (PARTITION BY coalesce(html, '')) AS largest FROM pages)
 """,
     }
