@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gazette.llm import bpe, topk, warc
+from gazette.llm import bpe, html_text, topk, warc
 from gazette.llm.common import shared_path
 
 
@@ -38,6 +38,11 @@ def op6_warc(spark: SparkSession, folder: str) -> DataFrame:
     return warc.round_trip(table(spark, folder, "pages"), shared_path(spark, "warc"))
 
 
+def op10_html_text(spark: SparkSession, folder: str) -> DataFrame:
+    """The main text of every page."""
+    return html_text.main_text(table(spark, folder, "pages"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: run for name, run in globals().items() if name.startswith("op") and callable(run)}
 
@@ -60,5 +65,16 @@ SELECT page_id, CAST(strlen(coalesce(html, '')) AS BIGINT) AS payload_bytes,
   CASE WHEN page_id < largest THEN 'revisit' ELSE 'response' END AS record_type,
   CASE WHEN page_id < largest THEN largest END AS refers_to
 FROM (SELECT *, CAST(unhex(sha1(coalesce(html, ''))) AS BLOB)::BIT::VARCHAR AS bits, max(page_id) OVER (PARTITION BY coalesce(html, '')) AS largest FROM pages)
+""",
+        "op10_html_text": r"""
+WITH b AS (
+  SELECT page_id, url, unnest(regexp_split_to_array(regexp_extract(html, '(?s)<article>(.*?)</article>', 1), '</?(?:p|h1)>')) AS part,
+    generate_subscripts(regexp_split_to_array(regexp_extract(html, '(?s)<article>(.*?)</article>', 1), '</?(?:p|h1)>'), 1) AS pos FROM pages
+), c AS (
+  SELECT page_id, url, pos, trim(regexp_replace(replace(replace(replace(regexp_replace(regexp_replace(part, '<br>', ' ', 'g'), '<[^>]*>', '', 'g'), '&lt;', '<'), '&gt;', '>'), '&amp;', '&'), '\s+', ' ', 'g')) AS line FROM b
+)
+SELECT page_id, url, coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE line <> ''), '') AS text,
+  CAST(length(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE line <> ''), '')) AS BIGINT) AS n_chars
+FROM c GROUP BY page_id, url
 """,
     }

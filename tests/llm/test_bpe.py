@@ -30,6 +30,16 @@ def test_transducer_equals_library(library):
             assert got == library.encode_ordinary(text)
 
 
+def test_splitter():
+    random.seed(6)
+    split, whole = bpe.splitter(PATTERN), regex.compile(PATTERN).findall
+    assert bpe.simple_form(PATTERN) and bpe.simple_form(r"\bx") is None
+    for top in (128, 256, 0x250, 0x3000):
+        for _ in range(300):
+            text = "".join(chr(random.randrange(top)) for _ in range(50)) + "it's  12 we'll\n\n x"
+            assert split(text) == whole(text)
+
+
 def test_restart_changes_nothing(library, monkeypatch):
     monkeypatch.setattr(bpe, "MOST_STATES", 20)
     monkeypatch.setattr(bpe, "MOST_WORDS", 3)
