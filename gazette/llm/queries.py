@@ -71,7 +71,7 @@ WITH b AS (
   SELECT page_id, url, unnest(regexp_split_to_array(regexp_extract(html, '(?s)<article>(.*?)</article>', 1), '</?(?:p|h1)>')) AS part,
     generate_subscripts(regexp_split_to_array(regexp_extract(html, '(?s)<article>(.*?)</article>', 1), '</?(?:p|h1)>'), 1) AS pos FROM pages
 ), c AS (
-  SELECT page_id, url, pos, trim(regexp_replace(replace(replace(replace(regexp_replace(regexp_replace(part, '<br>', ' ', 'g'), '<[^>]*>', '', 'g'), '&lt;', '<'), '&gt;', '>'), '&amp;', '&'), '\s+', ' ', 'g')) AS line FROM b
+  SELECT page_id, url, pos, trim(regexp_replace(replace(replace(replace(replace(replace(regexp_replace(regexp_replace(part, '<br>', ' ', 'g'), '<[^>]*>', '', 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#x27;', ''''), '&amp;', '&'), '\s+', ' ', 'g')) AS line FROM b
 )
 SELECT page_id, url, coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE line <> ''), '') AS text,
   CAST(length(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE line <> ''), '')) AS BIGINT) AS n_chars
