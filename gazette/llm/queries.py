@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gazette.llm import bpe, html_text, topk, warc
+from gazette.llm import bpe, html_text, quality, topk, warc
 from gazette.llm.common import shared_path
 
 
@@ -38,6 +38,11 @@ def op6_warc(spark: SparkSession, folder: str) -> DataFrame:
     return warc.round_trip(table(spark, folder, "pages"), shared_path(spark, "warc"))
 
 
+def op7_quality(spark: SparkSession, folder: str) -> DataFrame:
+    """Counts, base rules and the cascade's verdict for every document."""
+    return quality.judged(table(spark, folder, "documents").select("doc_id", "text")).drop("text")
+
+
 def op10_html_text(spark: SparkSession, folder: str) -> DataFrame:
     """The main text of every page."""
     return html_text.main_text(table(spark, folder, "pages"))
@@ -76,5 +81,23 @@ WITH b AS (
 SELECT page_id, url, coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE line <> ''), '') AS text,
   CAST(length(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE line <> ''), '')) AS BIGINT) AS n_chars
 FROM c GROUP BY page_id, url
+""",
+        "op7_quality": r"""
+WITH w AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
+p AS (SELECT doc_id, unnest(range(1, len(words) - 6)) AS i, words FROM w WHERE len(words) >= 9),
+g AS (SELECT doc_id, i, array_to_string(words[i:i + 7], ' ') AS gram FROM p),
+h AS (SELECT doc_id, i FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, gram) AS n FROM g) WHERE n > 1),
+r AS (SELECT doc_id, CAST(sum(least(8, coalesce(following - i, 8))) AS BIGINT) AS n FROM (SELECT doc_id, i, lead(i) OVER (PARTITION BY doc_id ORDER BY i) AS following FROM h) GROUP BY doc_id),
+l AS (SELECT doc_id, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM w),
+c AS (
+  SELECT w.doc_id, w.text, words, CAST(len(words) AS BIGINT) AS n_words, CAST(length(regexp_replace(w.text, '[\x20\x09-\x0D]', '', 'g')) AS BIGINT) AS word_chars,
+    CAST(len(regexp_extract_all(w.text, '[#*$%&|<>]')) AS BIGINT) AS n_symbols, CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines, coalesce(r.n, 0) AS n_repeat_words,
+    len(regexp_extract_all(w.text, '\p{L}')) AS letters, length(w.text) AS chars
+  FROM w LEFT JOIN r USING (doc_id) JOIN l USING (doc_id)
+), b AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM c)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  NOT (base_failed OR 10 * n_symbols > n_words OR 10 * len(regexp_extract_all(text, '!!')) > n_words OR 2 * len(regexp_extract_all(text, '\p{Lu}')) > letters OR 2 * letters < chars
+    OR chars > 20 * n_words OR 5 * chars < 12 * n_words OR 5 * len(list_filter(range(2, len(words) + 1), lambda i: words[i] = words[i - 1])) > n_words) AS kept
+FROM b
 """,
     }
