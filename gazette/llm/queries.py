@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gazette.llm import bpe, html_text, quality, topk, warc
+from gazette.llm import bpe, html_text, mixing, quality, topk, warc
 from gazette.llm.common import shared_path
 
 
@@ -43,6 +43,11 @@ def op7_quality(spark: SparkSession, folder: str) -> DataFrame:
     return quality.judged(table(spark, folder, "documents").select("doc_id", "text")).drop("text")
 
 
+def op8_mixing(spark: SparkSession, folder: str) -> DataFrame:
+    """All documents mixed to the target weights: the words that the mix takes of each."""
+    return mixing.taken(table(spark, folder, "documents"))
+
+
 def op10_html_text(spark: SparkSession, folder: str) -> DataFrame:
     """The main text of every page."""
     return html_text.main_text(table(spark, folder, "pages"))
