@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gazette.llm import bpe, html_text, mixing, quality, topk, warc
+from gazette.llm import bpe, html_text, minhash, mixing, quality, topk, warc
 from gazette.llm.common import shared_path
 
 
@@ -27,6 +27,11 @@ def op2_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
     return bpe.digests(table(spark, folder, "documents"), *vocabulary())
 
 
+def op3_minhash(spark: SparkSession, folder: str) -> DataFrame:
+    """Components of all documents that share four fifths of their two-word shingles."""
+    return minhash.near_duplicates(table(spark, folder, "documents"), size=2)
+
+
 def op4_top_k(spark: SparkSession, folder: str) -> DataFrame:
     """Every fiftieth vector against all others: the five highest integer inner products."""
     vectors = table(spark, folder, "embeddings")
