@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gazette.llm import bpe, html_text, minhash, mixing, quality, topk, warc
+from gazette.llm import bpe, html_text, minhash, mixing, quality, suffix, topk, warc
 from gazette.llm.common import shared_path
 
 
@@ -53,6 +53,12 @@ def op8_mixing(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.taken(table(spark, folder, "documents"))
 
 
+def op9_suffix_array(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document without the 50-byte strings of smaller documents."""
+    cut = suffix.removal(table(spark, folder, "documents"))
+    return cut.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op10_html_text(spark: SparkSession, folder: str) -> DataFrame:
     """The main text of every page."""
     return html_text.main_text(table(spark, folder, "pages"))
@@ -109,5 +115,31 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
   NOT (base_failed OR 10 * n_symbols > n_words OR 10 * len(regexp_extract_all(text, '!!')) > n_words OR 2 * len(regexp_extract_all(text, '\p{Lu}')) > letters OR 2 * letters < chars
     OR chars > 20 * n_words OR 5 * chars < 12 * n_words OR 5 * len(list_filter(range(2, len(words) + 1), lambda i: words[i] = words[i - 1])) > n_words) AS kept
 FROM b
+""",
+        "op9_suffix_array": """
+WITH t AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+p AS (SELECT doc_id, h, unnest(range(length(h) // 2)) AS i FROM t),
+w AS (SELECT doc_id, i, substr(h, 2 * i + 1, 100) AS g, substr(h, 2 * i + 1, 2) AS b FROM p),
+f AS (SELECT g, min(doc_id) AS earliest FROM w WHERE length(g) = 100 GROUP BY g),
+m AS (SELECT w.doc_id, i, b, max(CASE WHEN earliest < w.doc_id THEN i END) OVER (PARTITION BY w.doc_id ORDER BY i) AS latest FROM w LEFT JOIN f USING (g)),
+k AS (SELECT doc_id, i, b, coalesce(latest >= i - 49, false) AS gone FROM m),
+s AS (SELECT *, gone AND NOT lag(gone, 1, false) OVER (PARTITION BY doc_id ORDER BY i) AS opens FROM k),
+a AS (SELECT doc_id, count(*) AS n, count(*) FILTER (gone) AS n_removed, count(*) FILTER (opens) AS n_spans, coalesce(string_agg(b, '' ORDER BY i) FILTER (NOT gone), '') AS rest FROM s GROUP BY doc_id)
+SELECT documents.doc_id, coalesce(n, 0) AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(rest, ''))) AS kept_sha256
+FROM documents LEFT JOIN a USING (doc_id)
+""",
+        "op3_minhash": r"""
+WITH RECURSIVE w AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words FROM documents),
+s AS (SELECT doc_id, unnest(list_distinct(CASE WHEN len(words) = 0 THEN [] WHEN len(words) = 1 THEN [words[1]] ELSE list_transform(range(1, len(words)), lambda i: words[i] || ' ' || words[i + 1]) END)) AS shingle FROM w),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+x AS (SELECT s.doc_id, s.shingle, n.n FROM s JOIN n USING (doc_id)),
+l AS (
+  SELECT a.doc_id AS a, b.doc_id AS b FROM x a JOIN x b ON a.shingle = b.shingle AND a.doc_id < b.doc_id AND 100 * a.n >= 80 * b.n AND 100 * b.n >= 80 * a.n
+  GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))
+), e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r AS (SELECT a AS doc_id, a AS reached FROM e UNION SELECT r.doc_id, e.b FROM r JOIN e ON r.reached = e.a),
+c AS (SELECT doc_id, min(reached) AS least FROM r GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, coalesce(c.least, d.doc_id) AS component_id, d.doc_id = coalesce(c.least, d.doc_id) AS kept
+FROM documents d LEFT JOIN n USING (doc_id) LEFT JOIN c USING (doc_id)
 """,
     }
