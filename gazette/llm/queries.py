@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gazette.llm import bpe, html_text, minhash, mixing, quality, suffix, topk, warc
+from gazette.llm import bpe, html_text, langid, minhash, mixing, quality, suffix, topk, warc
 from gazette.llm.common import shared_path
 
 
@@ -38,6 +38,12 @@ def op4_top_k(spark: SparkSession, folder: str) -> DataFrame:
     return topk.top_k(vectors, vectors.where(F.col("vec_id") % 50 == 0))
 
 
+def op5_language(spark: SparkSession, folder: str) -> DataFrame:
+    """The language of every page, by a model trained on labelled documents and the pages' other evidence."""
+    found = langid.identified(table(spark, folder, "pages"), langid.train(table(spark, folder, "documents")))
+    return found.withColumn("probability", F.round("probability", 4))
+
+
 def op6_warc(spark: SparkSession, folder: str) -> DataFrame:
     """Every page written to an archive and read back."""
     return warc.round_trip(table(spark, folder, "pages"), shared_path(spark, "warc"))
