@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gazette.llm import bpe, html_text, langid, minhash, mixing, quality, suffix, topk, warc
+from gazette.llm import bpe, html_text, langid, licences, minhash, mixing, quality, suffix, topk, warc
 from gazette.llm.common import shared_path
 
 
@@ -22,6 +22,12 @@ def vocabulary() -> tuple[str, str]:
     return public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
 
 
+def op1_licences(spark: SparkSession, folder: str) -> DataFrame:
+    """Licence notices in every document, by a classifier fitted here."""
+    documents = table(spark, folder, "documents").select("doc_id", "text")
+    return licences.scanned(documents, licences.train(documents))
+
+
 def op2_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
     """Every document encoded and decoded: number and digest of its ids, digest of the decoded bytes."""
     return bpe.digests(table(spark, folder, "documents"), *vocabulary())
