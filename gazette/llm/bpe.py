@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import base64
 import functools
+import re
 from collections.abc import Iterable, Iterator
 from itertools import chain
 
@@ -23,8 +24,15 @@ from pyspark.sql import types as T
 
 from gazette.llm.common import slices
 
+#: A place of a path is its last token (-1: none) above its node of the trie.
+NODE_BITS = 24
+NODE_MASK = (1 << NODE_BITS) - 1
+
 #: States and words kept per worker; beyond it the tables start anew (results don't change).
-MOST_STATES, MOST_WORDS = 400_000, 600_000
+MOST_STATES, MOST_WORDS = 250_000, 300_000
+
+#: Characters below U+0250: letters, and those that are neither digits 0 to 9 nor any other number; white space as \\s has it.
+_LETTERS, _SIMPLE, _SPACE = r"A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\u024f", r"\x00-\xb1\xb4-\xb8\xba\xbb\xbf-\u024f", r"\t-\r \x85\xa0"
 
 
 class Transducer:
@@ -52,8 +60,9 @@ class Transducer:
         self._restart()
 
     def _restart(self) -> None:
-        start = ((-1, 0, ()),)
+        start = (-1 << NODE_BITS, ())
         self.states, self.number, self.arcs = [start], {start: 0}, {}
+        self.fits.clear()
 
     def merged(self, data: bytes, below: int = 1 << 60) -> list[bytes]:
         """The merges of ranks under ``below`` as defined, lowest rank first and leftmost among equals. Used on tokens only."""
@@ -112,65 +121,77 @@ class Transducer:
             self.fits[key] = known
         return known
 
-    def step(self, state: int, byte: int) -> tuple[int, tuple[int, ...]]:
-        """The determinised arc: next state and the tokens that are certain now."""
+    def step(self, state: int, byte: int) -> int | tuple[int, tuple[int, ...]]:
+        """The determinised arc: the next state, with the tokens that are certain now if there are any.
+
+        A state is a flat tuple: of each open path its last token and trie node in one number, and the tokens it holds.
+        """
         paths, child, inner, token_at, settled = [], self.child, self.inner, self.token_at, True
-        for last, node, held in self.states[state]:
-            node = child.get(node << 8 | byte)
+        open_ = self.states[state]
+        for i in range(0, len(open_), 2):
+            place, held = open_[i], open_[i + 1]
+            node = child.get((place & NODE_MASK) << 8 | byte)
             if node is None:
                 continue
+            last = place >> NODE_BITS
             if node in inner:
-                paths.append((last, node, held))
+                paths += (last << NODE_BITS | node, held)
                 settled = settled and held
             token = token_at[node]
             if token >= 0 and self.follows(last, token):
-                paths.append((token, 0, (*held, token)))
+                paths += (token << NODE_BITS, (*held, token))
         common: tuple[int, ...] = ()
         if settled:  # no open path has nothing held, so they may agree on something
-            common = paths[0][2]
-            for _, _, held in paths[1:]:
+            common = paths[1]
+            for held in paths[3::2]:
                 size = min(len(common), len(held))
                 same = 0
                 while same < size and common[same] == held[same]:
                     same += 1
                 common = common[:same]
-            paths = [(last, node, held[len(common) :]) for last, node, held in paths]
+            if common:
+                paths[1::2] = [held[len(common) :] for held in paths[1::2]]
         reached = tuple(paths)
         known = self.number.get(reached)
         if known is None:
             known = self.number[reached] = len(self.states)
             self.states.append(reached)
-        arc = self.arcs[state << 8 | byte] = (known, common)
+        arc = self.arcs[state << 8 | byte] = (known, common) if common else known
         return arc
 
     def encode(self, data: bytes) -> tuple[int, ...]:
         """Tokens of one match of the split pattern, in time linear in its length."""
         if len(self.states) > MOST_STATES:
             self._restart()
-        state, out, arcs = 0, [], self.arcs
+        state, before, out, arcs = 0, 0, [], self.arcs
         for byte in data:
-            arc = arcs.get(state << 8 | byte)
-            if arc is None:
-                arc = self.step(state, byte)
-            state, tokens = arc
-            if tokens:
-                out.extend(tokens)
-        for _, node, held in self.states[state]:
-            if node == 0:
-                out.extend(held)
+            state = arcs.get(state << 8 | byte)
+            if state is None:
+                state = self.step(before, byte)
+            if state.__class__ is tuple:
+                state, tokens = state
+                out += tokens
+            before = state
+        last = self.states[state]
+        for i in range(0, len(last), 2):
+            if not last[i] & NODE_MASK:
+                out += last[i + 1]
         return tuple(out)
 
 
 class Words(dict):
-    """Matches met before, with their tokens."""
+    """Matches met before, with their tokens: the newest, and behind them those of the generation before."""
 
     def __init__(self, transducer: Transducer):
-        self.transducer = transducer
+        self.transducer, self.older = transducer, {}
 
     def __missing__(self, word: str) -> tuple[int, ...]:
         if len(self) >= MOST_WORDS:
+            self.older = dict(self)
             self.clear()
-        tokens = self.transducer.encode(word.encode("utf-8", "surrogatepass"))
+        tokens = self.older.get(word)
+        if tokens is None:
+            tokens = self.transducer.encode(word.encode("utf-8", "surrogatepass"))
         if len(word) <= 40:
             self[word] = tokens
         return tokens
@@ -221,9 +242,35 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
 
 
+def simple_form(pattern: str) -> str | None:
+    """The pattern for the standard module, equal on texts of ``_SIMPLE`` characters; None if it has other escapes."""
+    inside, classes = False, {"\\p{L}": _LETTERS, "\\p{N}": "0-9", "\\s": _SPACE}
+    out = []
+    for part in re.findall(r"\\p\{\w+\}|\\.|.", pattern, re.S):
+        if part in classes:
+            out.append(classes[part] if inside else f"[{classes[part]}]")
+        elif part == "\\S" and not inside:
+            out.append(f"[^{_SPACE}]")
+        elif part[0] == "\\":
+            return None
+        else:
+            inside = part == "[" or inside and part != "]"
+            out.append(part)
+    return "".join(out)
+
+
+def splitter(pattern: str):
+    """Function from a text to the matches of the pattern in it."""
+    whole, simple = regex.compile(pattern).findall, simple_form(pattern)
+    if simple is None:
+        return whole
+    fast, other = re.compile(simple).findall, re.compile(f"[^{_SIMPLE}]").search
+    return lambda text: whole(text) if other(text) else fast(text)
+
+
 @functools.lru_cache(maxsize=2)
 def _words(path: str, pattern: str) -> tuple[Words, object]:
-    return Words(Transducer(read_ranks(path))), regex.compile(pattern).findall
+    return Words(Transducer(read_ranks(path))), splitter(pattern)
 
 
 @functools.lru_cache(maxsize=2)
@@ -242,6 +289,32 @@ def _added(df: DataFrame, name: str, kind: T.DataType) -> T.StructType:
     return T.StructType([*df.schema.fields, T.StructField(name, kind)])
 
 
+def encoded(batches: Iterator[pa.RecordBatch], ranks_path: str, pattern: str, text: str, ids: str) -> Iterator[pa.RecordBatch]:
+    """The batches with a column of ids."""
+    words, split = _words(ranks_path, pattern)
+    for whole in batches:
+        for batch in slices(whole, text):
+            rows = []
+            for value in batch.column(batch.schema.get_field_index(text)).to_pylist():
+                rows.append(np.fromiter(chain.from_iterable(map(words.__getitem__, split(value))), np.int32) if value else np.empty(0, np.int32))
+            yield pa.RecordBatch.from_arrays([*batch.columns, _lists(rows, pa.int32())], names=[*batch.schema.names, ids])
+
+
+def decoded(batches: Iterator[pa.RecordBatch], ranks_path: str, ids: str, data: str, piece: int) -> Iterator[pa.RecordBatch]:
+    """The batches with a column of decoded bytes."""
+    bytes_of = _bytes_of(ranks_path)
+    for whole in batches:
+        for start in range(0, whole.num_rows, 256):
+            batch = whole.slice(start, 256)
+            rows = []
+            for value in batch.column(batch.schema.get_field_index(ids)):
+                tokens = value.values.to_pylist() if value.is_valid else []
+                stream = StreamDecoder(bytes_of)
+                parts = [stream.feed(tokens[at : at + piece]) for at in range(0, len(tokens), piece)]
+                rows.append("".join([*parts, stream.close()]).encode())
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(rows, pa.binary())], names=[*batch.schema.names, data])
+
+
 def encode(df: DataFrame, ranks_path: str, pattern: str, text: str = "text", ids: str = "ids") -> DataFrame:
     """All rows and columns, with the token ids of the whole text in ``ids`` (array of int).
 
@@ -249,17 +322,7 @@ def encode(df: DataFrame, ranks_path: str, pattern: str, text: str = "text", ids
     that every executor has, as an installed vocabulary is. A text is worked on by itself, so rows may repeat.
     Raises if the input has a column ``ids``.
     """
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, split = _words(ranks_path, pattern)
-        for whole in batches:
-            for batch in slices(whole, text):
-                rows = []
-                for value in batch.column(batch.schema.get_field_index(text)).to_pylist():
-                    rows.append(np.fromiter(chain.from_iterable(map(words.__getitem__, split(value))), np.int32) if value else np.empty(0, np.int32))
-                yield pa.RecordBatch.from_arrays([*batch.columns, _lists(rows, pa.int32())], names=[*batch.schema.names, ids])
-
-    return df.mapInArrow(run, _added(df, ids, T.ArrayType(T.IntegerType())))
+    return df.mapInArrow(lambda batches: encoded(batches, ranks_path, pattern, text, ids), _added(df, ids, T.ArrayType(T.IntegerType())))
 
 
 def decode(df: DataFrame, ranks_path: str, ids: str = "ids", data: str = "decoded", piece: int = 4096) -> DataFrame:
@@ -268,27 +331,19 @@ def decode(df: DataFrame, ranks_path: str, ids: str = "ids", data: str = "decode
     A row's ids are fed to a :class:`StreamDecoder` in pieces. Null and empty lists give no bytes; an id that the
     vocabulary lacks is an error. Bytes that are no UTF-8 become U+FFFD. Raises if the input has a column ``data``.
     """
+    return df.mapInArrow(lambda batches: decoded(batches, ranks_path, ids, data, piece), _added(df, data, T.BinaryType()))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bytes_of = _bytes_of(ranks_path)
-        for whole in batches:
-            for start in range(0, whole.num_rows, 256):
-                batch = whole.slice(start, 256)
-                rows = []
-                for value in batch.column(batch.schema.get_field_index(ids)):
-                    tokens = value.values.to_pylist() if value.is_valid else []
-                    stream = StreamDecoder(bytes_of)
-                    parts = [stream.feed(tokens[at : at + piece]) for at in range(0, len(tokens), piece)]
-                    rows.append("".join([*parts, stream.close()]).encode())
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(rows, pa.binary())], names=[*batch.schema.names, data])
 
-    return df.mapInArrow(run, _added(df, data, T.BinaryType()))
+def round_trip(df: DataFrame, ranks_path: str, pattern: str, text: str = "text", ids: str = "ids", data: str = "decoded") -> DataFrame:
+    """:func:`encode` and :func:`decode` in one pass over the rows."""
+    both = T.StructType([*_added(df, ids, T.ArrayType(T.IntegerType())).fields, *_added(df.select(), data, T.BinaryType()).fields])
+    _added(df, data, T.BinaryType())
+    return df.mapInArrow(lambda batches: decoded(encoded(batches, ranks_path, pattern, text, ids), ranks_path, ids, data, 4096), both)
 
 
 def digests(documents: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
     """Per document: doc_id, n_tokens, ids_sha256 and decoded_sha256 (see the query)."""
-    coded = decode(encode(documents.select("doc_id", "text"), ranks_path, pattern).drop("text"), ranks_path)
-    return coded.select(
+    return round_trip(documents.select("doc_id", "text"), ranks_path, pattern).select(
         F.col("doc_id"),
         F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
