@@ -1,7 +1,8 @@
 """The corpus pipeline: quality rules, near-duplicates, repeated passages, source mix, tokens.
 
 Each stage takes all that the one before it kept and is written to the folder that driver and executors share, so a lost
-executor repeats no earlier stage.
+executor repeats no earlier stage. As the result of the stage before is written when a stage begins, the tables that it
+needed on the way are dropped then.
 """
 
 from __future__ import annotations
@@ -10,32 +11,37 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gazette.llm import bpe, minhash, mixing, quality, suffix
-from gazette.llm.common import stored
+from gazette.llm.common import drop_stored, shared_path
 from gazette.llm.queries import vocabulary
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the base rules and the cascade."""
+    drop_stored()
     return quality.filtered(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, the one with the smallest id, of each group that shares four fifths of its five-word shingles."""
+    drop_stored()
     return minhash.kept_documents(docs)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the 50-byte strings that a smaller document has."""
+    drop_stored()
     return suffix.cleaned(docs)
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with the words that the mix takes of them."""
+    drop_stored()
     return mixing.mixed(docs)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of each document, and digests of ids and of the decoded bytes."""
+    drop_stored()
     coded = bpe.round_trip(docs.select("doc_id", "source", "text"), *vocabulary())
     return coded.select(
         "doc_id",
@@ -63,5 +69,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        docs = stored(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        path = shared_path(spark, name.replace(" ", "-"))
+        stage(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.parquet(path)
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -9,11 +10,13 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: ASCII white space: space, tab, line feed, vertical tab, form feed, carriage return.
 WHITE = " \t\n\x0b\x0c\r"
+_STORED: list[str] = []
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -35,9 +38,23 @@ def shared_path(spark: SparkSession, label: str) -> str:
     return f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
 
 
+def file_system(path: str):
+    """The store of a path or URI and the path in it."""
+    return fs.FileSystem.from_uri(path if re.match(r"[a-z0-9]+:", path) else "file://" + path)
+
+
+def drop_stored() -> None:
+    """Delete the tables that :func:`stored` has made so far. Only for callers who have no use for frames made from them."""
+    while _STORED:
+        store, inside = file_system(_STORED.pop())
+        if store.get_file_info(inside).type == fs.FileType.Directory:
+            store.delete_dir(inside)
+
+
 def stored(df: DataFrame, label: str) -> DataFrame:
     """The rows as a table in the shared folder: lost executors cost no earlier stage, and readers don't run the plan again."""
     path = shared_path(df.sparkSession, label)
+    _STORED.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

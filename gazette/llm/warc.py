@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gazette.llm.common import checkpointed, slices
+from gazette.llm.common import checkpointed, file_system, slices
 
 MAGIC = b"\x1f\x8b\x08"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -26,13 +26,6 @@ RECORD = "page_id long, record_type string, refers_to long, url string, payload_
 _CONTROL = re.compile(r"[\x00-\x20\x7f]")
 
 
-def file_system(path: str):
-    """The store of a path or URI and the path in it."""
-    from pyarrow import fs
-
-    return fs.FileSystem.from_uri(path if re.match(r"[a-z0-9]+://|file:", path) else "file://" + path)
-
-
 def revisits(pages: DataFrame, least: int = 0) -> DataFrame:
     """page_id, url, payload (html in UTF-8, null: empty), and the record each becomes.
 

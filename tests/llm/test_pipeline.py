@@ -13,7 +13,7 @@ from test_suffix import plain as plain_removal
 import __spark_entry__ as entry
 import corpus_pipeline
 from gazette.llm import bpe
-from gazette.llm.common import stored
+from gazette.llm.common import shared_path
 from gazette.llm.queries import vocabulary
 
 FOLDER = "/root/testdata/sf0.001"
@@ -21,6 +21,12 @@ pytestmark = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="driver tables
 WORD = "[^\x20\x09-\x0d]+"
 
 
+def stored(df, name):
+    path = shared_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def passes(text):
     """The quality rules in plain words."""
     words = re.findall(WORD, text or "")
