@@ -7,8 +7,8 @@ are left out. That is 120 keys, and no pair within distance 23 is missed. At sim
 average, and above 23 with a chance under 1e-5. Pairs that meet are confirmed on the full shingle sets.
 
 Texts with equal shingle sets are one node throughout. The pairs of a bucket aren't listed: first each node is compared
-with one leader, then with the leaders of buckets that still hold several components, and only where a bucket still does
-after that are its members of different components compared, so that no link between components is lost.
+with one leader, then with the leaders of buckets that still hold several components; where a bucket still does after
+that, its members of different components are compared in blocks, so that no link between components is lost.
 """
 
 from __future__ import annotations
@@ -230,14 +230,56 @@ def linked(nodes: DataFrame, documents: DataFrame, size: int, percent: int) -> D
     more = open_.join(leaders, "leader", "left").where(F.coalesce("leader_root", "leader") != F.col("root")).select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct()
     links = links.union(checked(more))
     roots = stored(components(links), "roots")
-    # Members of different components in buckets that still hold several, but for pairs with the leader, which are done.
-    open_ = stored(mixed(rooted(open_.select("key", "node", "leader"))).where("node <> leader").select("key", "node", "root").join(nodes.select("node", "n_shingles"), "node"), "open")
-    open_ = mixed(open_)
-    other = open_.select("key", F.col("node").alias("other"), F.col("root").alias("other_root"), F.col("n_shingles").alias("other_n"))
-    fits = (100 * F.col("n_shingles") >= percent * F.col("other_n")) & (100 * F.col("other_n") >= percent * F.col("n_shingles"))
-    rest = open_.join(other, "key").where((F.col("node") < F.col("other")) & (F.col("root") != F.col("other_root")) & fits).select(F.col("node").alias("a"), F.col("other").alias("b")).distinct()
-    links = links.union(checked(rest))
-    return components(links)
+    # Members of different components in buckets that still hold several; pairs with the leader are done.
+    open_ = mixed(rooted(open_.where("node <> leader").select("key", "node")))
+    return components(links.union(across(stored(open_, "open"), texts, size, percent)))
+
+
+def across(open_: DataFrame, texts: DataFrame, size: int, percent: int, block: int = 1000, part: int = 4000) -> DataFrame:
+    """Links (a, b) between the components of buckets (key, node, root) that hold several, one for each node and component at least.
+
+    Components that meet in buckets make a cluster. All its nodes but those of its largest component are compared with all
+    of its nodes, by blocks: the shingles of a block are one sorted array, in which a set finds how many it shares with
+    each node of the block at once. So pairs are counted, not listed, and no task holds more than a block and a part.
+    """
+    hubs = open_.groupBy("key").agg(F.min("root").alias("hub"))
+    clusters = components(open_.join(hubs, "key").select(F.col("hub").alias("a"), F.col("root").alias("b")))
+    rows = stored(open_.select("node", "root").distinct().join(clusters.select(F.col("node").alias("root"), F.col("root").alias("cluster")), "root"), "clustered")
+    sizes = rows.groupBy("cluster", "root").agg(F.count("*").alias("n"))
+    sizes = sizes.groupBy("cluster").agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.sum("n").alias("n"), F.max("n").alias("largest"))
+    sizes = sizes.withColumns({"blocks": F.ceil(F.col("n") / block), "parts": F.ceil((F.col("n") - F.col("largest")) / part)}).drop("largest")
+    full = rows.join(sizes, "cluster").join(texts, "node")
+    place = lambda count: F.pmod(F.xxhash64("node"), F.col(count))
+    spread = lambda count: F.explode(F.sequence(F.lit(0).cast("long"), F.col(count) - 1))
+    asked = full.where("root <> main").select("cluster", spread("blocks").alias("block"), place("parts").alias("part"), "node", "root", "text")
+    named = {name: F.col(name).alias(f"held_{name}") for name in ("cluster", "node", "root", "text")}
+    held = full.select(named["cluster"], place("blocks").alias("held_block"), spread("parts").alias("held_part"), named["node"], named["root"], named["text"])
+
+    def sets_of(texts: pa.ChunkedArray) -> list[np.ndarray]:
+        return [shingle_sets(*text_bytes(pa.array([text.as_py()])), size)[0] for text in texts]
+
+    def compare(queries: pa.Table, members: pa.Table) -> pa.Table:
+        found: list[tuple[int, int]] = []
+        if len(queries) and len(members):
+            sets = sets_of(members.column("held_text"))
+            nodes, roots = members.column("held_node").to_numpy(), members.column("held_root").to_numpy()
+            lengths = np.array([len(s) for s in sets])
+            shingles, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), lengths)
+            order = np.argsort(shingles, kind="stable")
+            shingles, owner = shingles[order], owner[order]
+            for node, root, own in zip(queries.column("node").to_pylist(), queries.column("root").to_pylist(), sets_of(queries.column("text"))):
+                low, high = np.searchsorted(shingles, own), np.searchsorted(shingles, own, side="right")
+                hits = high - low
+                total = int(hits.sum())
+                at = np.arange(total) + np.repeat(low - np.concatenate([[0], np.cumsum(hits)[:-1]]), hits)
+                common = np.bincount(owner[at], minlength=len(sets))
+                linked_ = np.flatnonzero((100 * common >= percent * (lengths + len(own) - common)) & (roots != root))
+                _, first = np.unique(roots[linked_], return_index=True)
+                found += [(int(nodes[i]), node) for i in linked_[first]]
+        return pa.table({"a": pa.array([x for x, _ in found], pa.int64()), "b": pa.array([y for _, y in found], pa.int64())})
+
+    met = asked.groupBy("cluster", "block", "part").cogroup(held.groupBy("held_cluster", "held_block", "held_part"))
+    return met.applyInArrow(compare, "a long, b long")
 
 
 def near_duplicates(documents: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
@@ -262,4 +304,6 @@ def near_duplicates(documents: DataFrame, size: int = 5, percent: int = 80) -> D
 
 def kept_documents(documents: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     """The documents that are the first of their component; the columns stay. Needs distinct doc_ids."""
-    return documents.join(near_duplicates(documents, size, percent).where("kept").select("doc_id").distinct(), "doc_id", "left_semi")
+    others = stored(near_duplicates(documents, size, percent).where("not kept").select("doc_id").distinct(), "dropped")
+    few = others.count() <= BROADCAST_IDS
+    return documents.join(F.broadcast(others) if few else others, "doc_id", "left_anti")
