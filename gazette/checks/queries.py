@@ -523,7 +523,7 @@ def detect_language(s, d):
 
 def tokenize_zh(s, d):
     news = _han_news(s, d)
-    terms = X.tokenize_zh(F.substring("content", 1, L.ZH_TOKEN_CHARS))
+    terms = X.tokenize_zh(F.col("content"))
     return news.select("news_id", F.array_join(F.array_sort(terms), " ").alias("terms"))
 
 
@@ -953,7 +953,7 @@ def recent_6h(s, d):
 
 
 def country_news(s, d):
-    return serve.country_news(_news(s, d), _news_countries(s, d), "AB", C.as_of()).select("news_id", "title", "content", "source_url", X.fmt_time(F.col("created_at")).alias("created_at"))
+    return serve.country_news(_news(s, d), _news_countries(s, d), "CB", C.as_of()).select("news_id", "title", "content", "source_url", X.fmt_time(F.col("created_at")).alias("created_at"))
 
 
 def latest_with_country(s, d):

@@ -29,11 +29,11 @@ def small_rows(df: DataFrame, limit: int = LITERAL_ENTRIES):
 
 
 def literal_groups(entries, folded: bool = False) -> Column:
-    """``array<struct<code, keywords array<string>>>`` as a literal, codes ascending."""
+    """``array<struct<code, keywords array<string>>>`` as a literal, codes ascending; repeats count once, nulls are left out."""
+    pairs = {(code, fold_literal(keyword) if folded else keyword) for code, keyword in entries if code is not None and keyword}
     groups: OrderedDict[str, list[str]] = OrderedDict()
-    for code, keyword in sorted(entries):
-        if keyword:
-            groups.setdefault(code, []).append(fold_literal(keyword) if folded else keyword)
+    for code, keyword in sorted(pairs):
+        groups.setdefault(code, []).append(keyword)
     nested = [{"code": code, "keywords": kept} for code, kept in groups.items()]
     return json_literal(nested, "array<struct<code:string,keywords:array<string>>>")
 
@@ -74,7 +74,7 @@ def keyword_pairs(texts: DataFrame, key: str, text: str, entries: DataFrame, fol
     body = fold(F.col(text)) if folded else F.col(text)
     word = fold(F.col("keyword")) if folded else F.col("keyword")
     bodies = texts.select(F.col(key), body.alias("body"))
-    words = entries.select("code", word.alias("keyword")).where(F.col("keyword") != "").distinct()
+    words = entries.select("code", word.alias("keyword")).where((F.col("keyword") != "") & F.col("code").isNotNull()).distinct()
     grams = bodies.select(
         key,
         F.explode(

@@ -17,6 +17,11 @@ def _untitled() -> Column:
     return F.coalesce(F.trim("title"), F.lit("")) == ""
 
 
+def _address() -> Column:
+    """Folded address; an article without one has a key of its own."""
+    return F.coalesce(fold_key(F.col("source_url")), F.concat(F.lit("\u0000"), F.col("news_id").cast("string")))
+
+
 def _too_old(now: Column) -> Column:
     limit = now - F.make_interval(hours=F.lit(L.WINDOW_HOURS))
     return F.coalesce(F.col("published_at") < limit, F.lit(False))
@@ -29,12 +34,13 @@ def gate_articles(articles: DataFrame, now: Column, stored: DataFrame | None = N
     source_url and published_at; ``now`` is the insertion clock. ``stored`` holds
     news_id and source_url of what is in the corpus already.
 
+    Every article keeps its row; one without an address is no duplicate of another.
     One address may be repeated by a third of the batch. The first acceptable
     arrival per address is a plain aggregate, combined before the shuffle; the
     join back is keyed by address and AQE splits the repeated one, whose other
     side is a single row.
     """
-    keyed = articles.withColumn("_url", fold_key(F.col("source_url")))
+    keyed = articles.withColumn("_url", _address())
     passes = ~F.coalesce(_too_short(), F.lit(True)) & ~_untitled() & ~_too_old(now)
     firsts = keyed.groupBy("_url").agg(F.min(F.when(passes, F.col("news_id"))).alias("_first"))
     if stored is not None:
@@ -72,8 +78,8 @@ def gate_articles(articles: DataFrame, now: Column, stored: DataFrame | None = N
 
 
 def dedupe_url(articles: DataFrame, stored: DataFrame | None = None) -> DataFrame:
-    """First arrival per address, case and accents ignored; addresses in ``stored`` are dropped."""
-    keyed = articles.withColumn("_url", fold_key(F.col("source_url")))
+    """First arrival per address, case and accents ignored; addresses in ``stored`` are dropped, articles without one kept."""
+    keyed = articles.withColumn("_url", _address())
     firsts = keyed.groupBy("_url").agg(F.min("news_id").alias("news_id"))
     if stored is not None:
         known = stored.select(fold_key(F.col("source_url")).alias("_url"))

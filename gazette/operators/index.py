@@ -77,16 +77,16 @@ def index_build_log(articles: DataFrame) -> DataFrame:
     )
 
 
-def unindexed_news(news: DataFrame, logs: DataFrame, as_of: Column, hours: int = 6, most: int | None = 100) -> DataFrame:
-    """Recent articles without a build log, smallest id first; ``most`` per run."""
+def unindexed_news(news: DataFrame, logs: DataFrame, as_of: Column, hours: int = 6, most: int | None = None) -> DataFrame:
+    """Recent articles without a build log; ``most`` of them, smallest id first, if given."""
     recent = news.where(F.col("created_at") > as_of - F.make_interval(hours=F.lit(hours)))
     missing = recent.join(logs.select("news_id"), "news_id", "left_anti")
     return missing.orderBy("news_id").limit(most) if most else missing
 
 
 def rebuild_terms(unindexed: DataFrame) -> DataFrame:
-    """Terms from title and summary (the title where there is no summary)."""
-    text = F.when(F.coalesce("summary", F.lit("")) == "", F.col("title")).otherwise(F.col("summary"))
+    """Terms from title and content (the title where there is no content)."""
+    text = F.when(F.coalesce("content", F.lit("")) == "", F.col("title")).otherwise(F.col("content"))
     return unindexed.withColumns(
         {
             "title_terms": tokenize(F.col("title"), F.col("language")),

@@ -124,7 +124,7 @@ def page_videos(fragment: Column, page_url: Column, html: Column, drop_trackers:
     return F.coalesce(_first_by_url(videos), F.array().cast("array<struct<url:string,type:string,platform:string>>"))
 
 
-def media_rows(articles: DataFrame, url_chars: int = 800) -> DataFrame:
+def media_rows(articles: DataFrame, url_chars: int | None = None) -> DataFrame:
     """Media table rows of articles: images (or the single address), then videos.
 
     The first image is the cover; videos never are. Empty addresses are skipped
@@ -158,7 +158,7 @@ def media_rows(articles: DataFrame, url_chars: int = 800) -> DataFrame:
             "news_id",
             "place",
             F.col("item.media_type").alias("media_type"),
-            F.substring("item.media_url", 1, url_chars).alias("media_url"),
+            (F.substring("item.media_url", 1, url_chars) if url_chars else F.col("item.media_url")).alias("media_url"),
             F.col("item.is_cover").alias("is_cover"),
             "created_at",
         )

@@ -236,10 +236,10 @@ def first_by_href(links: Column) -> Column:
     return bind(links, unique)
 
 
-def article_links(pages: DataFrame, profiles: DataFrame, site: str | None = None) -> DataFrame:
+def article_links(pages: DataFrame, profiles: DataFrame, site: str | None = None, capped: bool = False) -> DataFrame:
     """One row per article link: page_id, position, link, link_title, by the site's rules.
 
-    The cap per page is the site's; addresses repeat within a page only.
+    All links are listed; ``capped`` keeps as many per page as the site's profile names.
     """
     df = with_profiles(pages, profiles, site)
     rule = lambda name: F.col(f"profile.{name}")
@@ -249,8 +249,8 @@ def article_links(pages: DataFrame, profiles: DataFrame, site: str | None = None
         & F.regexp_like(link["href"], rule("link_rx"))
         & ((rule("link_skip") == "") | ~F.regexp_like(link["href"], rule("link_skip"))),
     )
-    capped = F.slice(first_by_href(wanted), F.lit(1), rule("link_cap"))
-    listed = evaluate_once(df, {"_links": capped})
+    links = first_by_href(wanted)
+    listed = evaluate_once(df, {"_links": F.slice(links, F.lit(1), rule("link_cap")) if capped else links})
     return listed.select("page_id", F.posexplode("_links").alias("position", "link")).select(
         "page_id", "position", F.col("link.href").alias("link"), F.col("link.title").alias("link_title")
     )

@@ -16,7 +16,7 @@ def source_id_lookup(name: Column) -> Column:
 
 
 def length_caps(df: DataFrame) -> DataFrame:
-    """Column limits of the stored tables, in characters."""
+    """Column limits of stores with fixed widths, in characters; no plan of the library applies them."""
     return df.withColumns(
         {
             "title": F.substring("title", 1, L.TITLE_CHARS),
@@ -27,11 +27,11 @@ def length_caps(df: DataFrame) -> DataFrame:
 
 
 def process_articles(
-    raw: DataFrame, zh_chars: int | None = L.ZH_TOKEN_CHARS, en_chars: int | None = L.EN_TOKEN_CHARS
+    raw: DataFrame, zh_chars: int | None = None, en_chars: int | None = None
 ) -> DataFrame:
     """Clean, type and tokenise; articles without title, content or terms are dropped.
 
-    The token limits are those of the stored index; ``None`` tokenises whole texts.
+    Whole texts are tokenised; a limit of characters can be given for either language.
     Needs title, content, source_url, source_name, category_hint and country_hint;
     other columns are kept.
     """
@@ -50,4 +50,4 @@ def process_articles(
         },
     )
     counted = termed.withColumn("term_count", F.size("title_terms") + F.size("content_terms"))
-    return length_caps(counted).where("term_count > 0").drop("country_hint", "category_hint")
+    return counted.where("term_count > 0").drop("country_hint", "category_hint")

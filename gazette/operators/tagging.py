@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import lexicon as L
-from ..functions.text import evaluate_once, fold, strings
+from ..functions.text import evaluate_once, fold, fold_key, fold_literal, strings
 from ..session import rows_frame
 from .dictionary import LITERAL_ENTRIES, best_code, keyword_pairs, literal_groups, matching_codes, small_rows
 
@@ -65,7 +65,8 @@ def forced_categories(source_id: Column, hint: Column) -> Column:
     """Categories decided by the source alone, as an array of codes."""
     mapped = None
     for given, code in L.API_HINT_CATEGORY.items():
-        mapped = F.when(hint == given, code) if mapped is None else mapped.when(hint == given, code)
+        same = fold_key(hint) == fold_literal(given)
+        mapped = F.when(same, code) if mapped is None else mapped.when(same, code)
     mapped = mapped.otherwise(L.API_OTHER_CATEGORY)
     from_api = F.when((source_id == L.API_SOURCE_ID) & (F.coalesce(hint, F.lit("")) != ""), F.array(mapped))
     from_tech = F.when(source_id == L.TECH_SOURCE_ID, strings(["tech"]))
@@ -74,7 +75,7 @@ def forced_categories(source_id: Column, hint: Column) -> Column:
 
 def category_text(title: Column, content: Column) -> Column:
     """The text that category keywords are looked up in, folded once."""
-    return fold(F.concat(title, F.lit(" "), F.substring(content, 1, L.CATEGORY_CHARS)))
+    return fold(F.concat(title, F.lit(" "), content))
 
 
 def category_codes(articles: DataFrame, rules=None, out: str = "category_codes") -> DataFrame:
@@ -97,7 +98,7 @@ def category_codes(articles: DataFrame, rules=None, out: str = "category_codes")
 def _category_codes_large(articles: DataFrame, rules: DataFrame, forced: Column, out: str) -> DataFrame:
     texts = articles.select(
         "news_id",
-        F.concat(F.col("title"), F.lit(" "), F.substring("content", 1, L.CATEGORY_CHARS)).alias("text"),
+        F.concat(F.col("title"), F.lit(" "), F.col("content")).alias("text"),
     )
     entries = rules.select(F.col("category_code").alias("code"), "keyword")
     found = keyword_pairs(texts, "news_id", "text", entries, folded=True)

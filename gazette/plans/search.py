@@ -168,18 +168,18 @@ def title_hits(asked: list[Row], recent: DataFrame) -> DataFrame:
 
 
 def ranked_hits(asked: list[Row], recent: DataFrame, index: DataFrame) -> DataFrame:
-    """Postings of the first five terms; at least half of the terms must match.
+    """Postings of the request's terms; at least half of the terms must match.
 
     The terms of the call are a literal condition on the postings, which are
     stored sorted by term, so files without them are skipped; the request rows
-    (at most five per request) are broadcast. Matching postings are summed per
+    (a few per request) are broadcast. Matching postings are summed per
     (request, article, term) and then per (request, article), each combined
     before its shuffle, and only then meet the recent articles.
     """
     spark = index.sparkSession
     rows = set()
     for row in asked:
-        terms = row.terms[: L.QUERY_TERMS]
+        terms = row.terms
         for term in terms:
             key = fold_literal(term).rstrip(" ")
             rows.add((row.query_id, row.language, row.xpath, max(1.0, len(terms) * 0.5), key))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import lexicon as L
 from ..functions.geo import heat_color, latlon_to_xyz, marker_size, source_badge
-from ..functions.text import fmt_time, snippet
+from ..functions.text import fmt_time, fold_key, snippet
 from ..functions.urls import video_embed_url, video_type
 from ..session import rows_frame
 from .search import recent_news
@@ -87,11 +87,11 @@ def news_by_category(
     as_of: Column,
     most: int = 20,
 ) -> DataFrame:
-    """Newest articles of a category; an unknown code raises."""
-    ids = [row[0] for row in categories.where(F.col("category_code") == code).select("category_id").collect()]
-    if not ids:
+    """Newest articles of a category, its code compared without case and accents; an unknown code raises."""
+    named = categories.where(fold_key(F.col("category_code")) == fold_key(F.lit(code))).select("category_id")
+    if named.isEmpty():
         raise ValueError(f"Category not found: {code}")
-    tagged = news_categories.where(F.col("category_id") == ids[0]).select("news_id")
+    tagged = news_categories.join(F.broadcast(named), "category_id", "left_semi").select("news_id")
     newest = (
         recent_news(news, as_of)
         .select("news_id", "title", "summary", "created_at")

@@ -11,7 +11,6 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import lexicon as L
 from ..functions.text import detect_language, evaluate_once, summary_or_default, tokenize
 from ..session import rows_frame
 
@@ -64,8 +63,8 @@ def documents_as_raw(documents: DataFrame) -> DataFrame:
     created = _back((key * 37) % 4320)
     return documents.select(
         key.alias("news_id"),
-        F.substring(F.substring_index("text", "\n", 1), 1, L.TITLE_CHARS).alias("title"),
-        F.substring("text", 1, L.CONTENT_CHARS).alias("content"),
+        F.substring_index("text", "\n", 1).alias("title"),
+        F.col("text").alias("content"),
         F.concat(F.lit("https://"), F.col("source"), F.lit(".example/"), key.cast("string")).alias("source_url"),
         (key % 21 + 1).cast("int").alias("source_id"),
         created.alias("created_at"),
@@ -92,7 +91,7 @@ def with_terms(news: DataFrame) -> DataFrame:
         news,
         {
             "title_terms": tokenize(F.col("title"), F.col("language")),
-            "content_terms": tokenize(F.col("content"), F.col("language"), L.ZH_TOKEN_CHARS, L.EN_TOKEN_CHARS),
+            "content_terms": tokenize(F.col("content"), F.col("language")),
         },
     )
 

@@ -85,7 +85,7 @@ def test_categories(spark):
         ],
     )
     assert got == {
-        1: ["tech"], 2: ["else"], 3: [], 4: ["military"], 5: ["tech"], 6: ["else"], 7: ["else"], 8: ["politics"], 9: ["sports"]
+        1: ["tech"], 2: ["else"], 3: [], 4: ["military"], 5: ["tech"], 6: ["else"], 7: ["military"], 8: ["politics"], 9: ["sports"]
     }
 
 
@@ -228,21 +228,44 @@ def test_media_rows(spark):
         f"news_id long, created_at timestamp, images array<{image}>, image_url string, videos array<{video}>",
     )
     got = sorted((r.news_id, r.media_type, len(r.media_url), r.is_cover) for r in media_rows(df).collect())
-    assert got == [(1, "image", 1, True), (2, "image", 800, False), (2, "video", 1, False)]
+    assert got == [(1, "image", 1, True), (2, "image", 900, False), (2, "video", 1, False)]
 
 
 def test_unindexed_and_rebuilt(spark):
     news = spark.createDataFrame(
-        [(1, "Oil", "prices", "en", NOW), (2, "Gas", "", "en", NOW), (3, "Old", "x", "en", NOW - timedelta(hours=6))],
-        "news_id long, title string, summary string, language string, created_at timestamp",
+        [(1, "Oil", "prices", "en", NOW), (2, "Gas", "", "en", NOW), (3, "Old", "x", "en", NOW - timedelta(hours=6)), (4, "Coal", "word " * 9000 + "pipeline", "en", NOW)],
+        "news_id long, title string, content string, language string, created_at timestamp",
     )
     logs = spark.createDataFrame([(1,)], "news_id long")
     missing = index.unindexed_news(news, logs, F.lit(str(NOW)).cast("timestamp"))
-    got = index.rebuild_terms(missing).collect()
-    assert [(r.news_id, r.title_terms, r.content_terms) for r in got] == [(2, ["gas"], ["gas"])]
+    got = index.rebuild_terms(missing).orderBy("news_id").collect()
+    assert [(r.news_id, r.title_terms, sorted(r.content_terms)) for r in got] == [(2, ["gas"], ["gas"]), (4, ["coal"], ["pipeline", "word"])]
 
 
 @pytest.mark.parametrize("n", [0, 1])
 def test_empty_inputs(spark, n):
     df = articles(spark, COUNTRY_CASES).limit(n)
     assert tagging.identify_country(df, []).count() == n
+
+
+def test_articles_without_address_stay(spark):
+    rows = [(1, "t", "c" * 80, None), (2, "t", "c" * 80, None), (3, "t", "c" * 80, "http://a"), (4, "t", "c" * 80, "HTTP://A "), (5, "t", "short", None)]
+    df = spark.createDataFrame([(*r, NOW) for r in rows], "news_id long, title string, content string, source_url string, published_at timestamp")
+    got = {r.news_id: r.status_kind for r in gate.gate_articles(df, F.lit(str(NOW)).cast("timestamp")).collect()}
+    assert got == {1: "ok", 2: "ok", 3: "ok", 4: "duplicate", 5: "short"}
+    assert sorted(r.news_id for r in gate.dedupe_url(df).collect()) == [1, 2, 3, 5]
+
+
+def test_hints_ignore_case(spark):
+    df = spark.createDataFrame([(1, "Technology"), (1, "SCIENCE"), (1, "other"), (1, None)], "source_id int, hint string")
+    got = df.select(tagging.forced_categories(F.col("source_id"), F.col("hint")).alias("c")).collect()
+    assert [r.c for r in got] == [["tech"], ["tech"], ["else"], []]
+
+
+def test_both_ways_of_a_dictionary_agree(spark):
+    pairs = [("X", "aa"), ("X", "aa"), ("X", "aa"), ("Y", "bb"), ("Z", None), (None, "bb"), ("W", "")]
+    df = spark.createDataFrame([(1, "aa bb bb", ""), (2, "", "x" * 25000 + " aa"), (3, None, None)], "news_id long, title string, content string")
+    table = spark.createDataFrame(pairs, "country_code string, keyword string")
+    small = {r.news_id: r.primary_country for r in tagging.identify_country(df, pairs).collect()}
+    large = {r.news_id: r.primary_country for r in tagging.identify_country_large(df, table).collect()}
+    assert small == large == {1: "Y", 2: "X", 3: None}

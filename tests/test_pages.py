@@ -85,7 +85,8 @@ def test_links_keep_first_and_cap(spark):
     html = f'<a href="/other/1">Some other title</a><a href="/article/0">tiny</a>{many}'
     df = spark.createDataFrame([(1, "https://www.jiemian.com/lists/4.html", html)], "page_id long, url string, html string")
     got = pages.article_links(df, site_profiles(spark)).orderBy("position").collect()
-    assert [r.link for r in got] == [f"https://www.jiemian.com/article/{i}" for i in range(15)]
+    assert [r.link for r in got] == [f"https://www.jiemian.com/article/{i}" for i in range(20)]
+    assert pages.article_links(df, site_profiles(spark), capped=True).count() == 15
     assert got[0].link_title == "A long enough title 0"
 
 
