@@ -29,7 +29,7 @@ from gazette.llm.common import mix, slices, stored, text_bytes
 
 GRAM = 16
 #: Bytes of text for each group of anchors, bytes of a shard, and windows of a text handled at once.
-GROUP_BYTES, SHARD_BYTES, PIECE = 16 << 20, 4 << 20, 4 << 20
+GROUP_BYTES, SHARD_BYTES, PIECE = 16 << 20, 1 << 20, 4 << 20
 
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
 _UNA = np.uint64(pow(0x9E3779B97F4A7C15, -1, 2**64))
@@ -168,54 +168,83 @@ def grouped(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return rows[later], rows[~later & several]
 
 
-RUN = np.dtype([("at", "<i4"), ("count", "<i4")])
-ASK = np.dtype([("anchor", "<u8"), ("at", "<i4"), ("count", "u1")])
+RUN = np.dtype([("doc", "<i8"), ("at", "<i4"), ("count", "<i4")])
+ASK = np.dtype([("doc", "<i8"), ("anchor", "<u8"), ("at", "<i4"), ("count", "u1")])
+PACKED = "place int, runs binary, asks binary"
 
 
-def by_document(table: pa.Table) -> pa.Table:
-    """(doc_id, runs, asks) of one bucket, a row for each document that has any."""
-    held = [unpack(blob.as_py()) for blob in table.column("units")]
-    later, asked = grouped(np.concatenate(held))
-    docs, parts = [], []
-    for rows, kind in ((later, RUN), (asked, ASK)):
-        rows = rows[np.lexsort((rows["at"], rows["doc"]))]
-        out = np.empty(len(rows), kind)
-        for name in kind.names:
-            out[name] = rows[name]
-        cuts = np.flatnonzero(np.concatenate([[True], rows["doc"][1:] != rows["doc"][:-1]])) if len(rows) else np.empty(0, int)
-        docs.append(rows["doc"][cuts])
-        parts.append([out[a:b].tobytes() for a, b in zip(cuts, [*cuts[1:], len(rows)])])
-    none = [[None] * len(p) for p in parts]
-    return pa.table({"doc_id": pa.array(np.concatenate(docs), pa.int64()), "runs": pa.array(parts[0] + none[1], pa.binary()), "asks": pa.array(none[0] + parts[1], pa.binary())})
+def places_of(docs: np.ndarray, groups: int) -> np.ndarray:
+    """The group in which what is found about a document meets."""
+    return (mix(docs.astype("<i8").view("<u8").copy()) % np.uint64(groups)).astype(np.int32)
+
+
+def by_place(rows: np.ndarray, kind: np.dtype, groups: int) -> tuple[list[int], list[bytes]]:
+    """Rows packed as ``kind`` by the place of their document."""
+    out = np.empty(len(rows), kind)
+    for name in kind.names:
+        out[name] = rows[name]
+    place = places_of(out["doc"], groups)
+    order = np.argsort(place, kind="stable")
+    out, place = out[order], place[order]
+    cuts = np.flatnonzero(np.diff(place, prepend=-1))
+    return place[cuts].tolist(), [out[a:b].tobytes() for a, b in zip(cuts, [*cuts[1:], len(out)])]
+
+
+def settled(table: pa.Table, groups: int) -> pa.Table:
+    """(place, runs, asks) of one bucket: what goes as a whole and what is to be compared, packed by place."""
+    later, asked = grouped(np.concatenate([unpack(blob.as_py()) for blob in table.column("units")]))
+    (first, runs), (second, asks) = by_place(later, RUN, groups), by_place(asked, ASK, groups)
+    return pa.table({"place": pa.array(first + second, pa.int32()), "runs": pa.array(runs + [None] * len(second), pa.binary()), "asks": pa.array([None] * len(first) + asks, pa.binary())})
+
+
+def by_document(table: pa.Table, kind: np.dtype) -> pa.Table:
+    """(doc_id, rows) of one place: what is packed in its rows, for each document."""
+    rows = np.concatenate([np.frombuffer(blob.as_py(), kind) for blob in table.column("rows")])
+    rows = rows[np.lexsort((rows["at"], rows["doc"]))]
+    cuts = np.flatnonzero(np.concatenate([[True], rows["doc"][1:] != rows["doc"][:-1]]))
+    return pa.table({"doc_id": pa.array(rows["doc"][cuts], pa.int64()), "rows": pa.array([rows[a:b].tobytes() for a, b in zip(cuts, [*cuts[1:], len(rows)])], pa.binary())})
+
+
+def sorted_with(keys: np.ndarray, places: np.ndarray, bits: int) -> np.ndarray:
+    """Places in the order of their keys (equal keys: of the places), by one sort of both in one number."""
+    return np.sort((keys << np.uint64(bits)) | places.astype(np.uint64)) & np.uint64((1 << bits) - 1)
 
 
 def suffix_array(data: np.ndarray, depth: int) -> np.ndarray:
     """Places in the order of the ``depth`` bytes (or more) from each on; zeros follow the data.
 
-    Larsson-Sadakane: places are sorted by their first eight bytes and numbered by group; then each group that isn't
+    Larsson-Sadakane: places are sorted by their first five bytes and numbered by group; then each group that isn't
     settled is sorted by the numbers of the places as many bytes further on as are compared already, which doubles them.
+    Takes up to 4 MB, so that two numbers and a place fit 64 bits.
     """
     n = len(data)
-    order = np.argsort(words_at(data)[:n].byteswap(), kind="stable")
-    keys = words_at(data)[:n][order]
-    new = np.concatenate([[True], keys[1:] != keys[:-1]]) if n else np.empty(0, bool)
-    rank = np.zeros(n + depth + 1, np.int64)
+    if not n:
+        return np.empty(0, np.int64)
+    if n >= 1 << 22:
+        raise ValueError("a shard may have less than 4 MB")
+    keys = words_at(data)[:n].byteswap() >> np.uint64(24)
+    bits = max(1, n.bit_length())
+    order = sorted_with(keys, np.arange(n), bits).astype(np.int64) if bits <= 24 else np.argsort(keys, kind="stable")
+    keys = keys[order]
+    new = np.concatenate([[True], keys[1:] != keys[:-1]])
+    rank = np.zeros(n + 2 * depth + 1, np.int64)
     rank[order] = np.flatnonzero(new)[np.cumsum(new) - 1] + 1
-    seen = 8
+    seen = 5
     while seen < depth:
-        alone = new & np.append(new[1:], True)
-        open_ = np.flatnonzero(~alone)
+        open_ = np.flatnonzero(~(new & np.append(new[1:], True)))
         if not len(open_):
             break
         places = order[open_]
-        group, onward = rank[places], rank[places + seen if seen <= depth else places]
-        inner = np.lexsort((onward, group))
+        # Groups are numbered in order, so sorting by group and onward number leaves every group in its place.
+        group, onward = rank[places].astype(np.uint64), rank[places + seen].astype(np.uint64)
+        dense = np.cumsum(np.concatenate([[False], group[1:] != group[:-1]])).astype(np.uint64)
+        inner = sorted_with((dense << np.uint64(bits)) | onward, np.arange(len(places)), len(places).bit_length()) if len(places).bit_length() + 2 * bits <= 63 else np.lexsort((onward, dense)).astype(np.uint64)
+        inner = inner.astype(np.int64)
         places, group, onward = places[inner], group[inner], onward[inner]
         order[open_] = places
         split = np.concatenate([[True], (group[1:] != group[:-1]) | (onward[1:] != onward[:-1])])
         new[open_] = split
-        numbers = open_[np.flatnonzero(split)][np.cumsum(split) - 1] + 1
-        rank[places] = numbers
+        rank[places] = open_[np.flatnonzero(split)][np.cumsum(split) - 1] + 1
         seen *= 2
     return order
 
@@ -264,7 +293,7 @@ def rows_of(data: np.ndarray, places: np.ndarray, length: int) -> np.ndarray:
 
 
 def found_in(table: np.ndarray, asked: np.ndarray) -> np.ndarray:
-    """Place of each asked row in a sorted table, or -1, by binary search."""
+    """Place of each asked row in a sorted table, or -1, by binary search: by the first number, then where it occurs by the rest."""
 
     def less(x: np.ndarray, y: np.ndarray) -> np.ndarray:
         out, open_ = np.zeros(len(x), bool), np.ones(len(x), bool)
@@ -273,14 +302,21 @@ def found_in(table: np.ndarray, asked: np.ndarray) -> np.ndarray:
             open_ &= x[:, k] == y[:, k]
         return out
 
-    low, high = np.zeros(len(asked), np.int64), np.full(len(asked), len(table))
-    while (low < high).any():
-        middle = (low + high) // 2
-        right = (low < high) & less(table[np.minimum(middle, len(table) - 1)], asked)
-        low, high = np.where(right, middle + 1, low), np.where(right | (low >= high), high, middle)
+    out = np.full(len(asked), -1)
+    first = np.ascontiguousarray(table[:, 0])
+    low, high = np.searchsorted(first, asked[:, 0]), np.searchsorted(first, asked[:, 0], side="right")
+    some = np.flatnonzero(low < high)
+    low, high, asked = low[some], high[some], asked[some]
+    live = np.arange(len(some))
+    while len(live):
+        middle = (low[live] + high[live]) // 2
+        right = less(table[middle], asked[live])
+        low[live], high[live] = np.where(right, middle + 1, low[live]), np.where(right, high[live], middle)
+        live = live[low[live] < high[live]]
     hit = low < len(table)
     hit[hit] = (table[low[hit]] == asked[hit]).all(1)
-    return np.where(hit, low, -1)
+    out[some[hit]] = low[hit]
+    return out
 
 
 def earliest(shards: list[tuple[np.ndarray, np.ndarray]], length: int) -> list[np.ndarray]:
@@ -296,21 +332,24 @@ def earliest(shards: list[tuple[np.ndarray, np.ndarray]], length: int) -> list[n
         group[order] = np.cumsum(new) - 1
         owner = np.full(int(new.sum()), np.iinfo(np.int64).max)
         np.minimum.at(owner, group, docs)
-        tables.append(rows_of(data, order[new], length))
-        groups.append(group)
-        owners.append(owner)
+        real = np.flatnonzero(owner < np.iinfo(np.int64).max)  # groups in which a window starts
+        place = np.full(len(owner) + 1, -1)
+        place[real] = np.arange(len(real))
+        tables.append(rows_of(data, order[new][real], length))
+        groups.append(place[group])
+        owners.append(np.append(owner[real], np.iinfo(np.int64).max))
     merged = [o.copy() for o in owners]
     for i in range(len(shards)):
         for j in range(i):
             at = found_in(tables[j], tables[i])
-            hit = at >= 0
+            hit = np.flatnonzero(at >= 0)
             merged[i][hit] = np.minimum(merged[i][hit], owners[j][at[hit]])
-            np.minimum.at(merged[j], at[hit], owners[i][hit])
+            merged[j][at[hit]] = np.minimum(merged[j][at[hit]], owners[i][hit])
     return [m[g] for m, g in zip(merged, groups)]
 
 
-def compared(table: pa.Table, length: int) -> pa.Table:
-    """(doc_id, runs): windows of the segments of one bucket that a smaller document has."""
+def compared(table: pa.Table, length: int, groups: int) -> pa.Table:
+    """(place, rows): runs of windows of the segments of one bucket that a smaller document has, packed by place."""
     docs, at, count = (table.column(c).to_numpy() for c in ("doc_id", "at", "count"))
     texts = table.column("segment").combine_chunks().cast(pa.large_binary())
     texts = texts.combine_chunks() if isinstance(texts, pa.ChunkedArray) else texts
@@ -329,22 +368,20 @@ def compared(table: pa.Table, length: int) -> pa.Table:
         window = inside < np.repeat(count[a:b], np.diff(offsets[a : b + 1]))
         own[window] = np.repeat(docs[a:b], np.diff(offsets[a : b + 1]))[window]
         shards.append((data[base : base + size], own))
-    names, runs = [], []
+    found = []
     for (a, b), first in zip(zip(cuts, cuts[1:]), earliest(shards, length)):
-        base = offsets[a]
-        goes = np.zeros(len(first) + 1, bool)
-        owner = np.repeat(docs[a:b], np.diff(offsets[a : b + 1]))
-        inside = np.arange(len(first)) - np.repeat(offsets[a:b] - base, np.diff(offsets[a : b + 1]))
-        goes[:-1] = (first < owner) & (inside < np.repeat(count[a:b], np.diff(offsets[a : b + 1])))
-        edge = np.flatnonzero(np.diff(np.concatenate([[False], goes])))
-        borders = np.searchsorted(offsets[a:b] - base, edge[::2], side="right") - 1
-        for start, end, segment in zip(edge[::2], edge[1::2], borders + a):
-            while start < end:  # a run may go on into the next segment
-                stop = min(end, offsets[segment + 1] - base)
-                names.append(docs[segment])
-                runs.append(np.array([(at[segment] + start - (offsets[segment] - base), stop - start)], RUN).tobytes())
-                start, segment = stop, segment + 1
-    return pa.table({"doc_id": pa.array(names, pa.int64()), "runs": pa.array(runs, pa.binary())})
+        base, sizes = offsets[a], np.diff(offsets[a : b + 1])
+        segment = np.repeat(np.arange(a, b), sizes)
+        inside = np.arange(len(first)) - np.repeat(offsets[a:b] - base, sizes)
+        goes = (first < docs[segment]) & (inside < count[segment])
+        begins = goes & ~(np.concatenate([[False], goes[:-1]]) & (inside > 0))
+        ends = goes & ~(np.concatenate([goes[1:], [False]]) & np.concatenate([inside[1:] > 0, [False]]))
+        start, end = np.flatnonzero(begins), np.flatnonzero(ends)
+        rows = np.empty(len(start), RUN)
+        rows["doc"], rows["at"], rows["count"] = docs[segment[start]], at[segment[start]] + inside[start], end - start + 1
+        found.append(rows)
+    places, runs = by_place(np.concatenate(found) if found else np.empty(0, RUN), RUN, groups)
+    return pa.table({"place": pa.array(places, pa.int32()), "rows": pa.array(runs, pa.binary())})
 
 
 def segments(texts: DataFrame, asks: DataFrame, length: int, groups: int) -> DataFrame:
@@ -356,13 +393,12 @@ def segments(texts: DataFrame, asks: DataFrame, length: int, groups: int) -> Dat
                 buckets, docs, at, count, cut = [], [], [], [], []
                 for doc, text, asked in zip(*(batch.column(i).to_pylist() for i in range(3))):
                     data = text.encode("utf-8", "surrogatepass")
-                    for blob in asked:
-                        rows = np.frombuffer(blob, ASK)
-                        buckets.append((mix(rows["anchor"].astype(np.uint64)) % np.uint64(groups)).astype(np.int32))
-                        docs += [doc] * len(rows)
-                        at.append(rows["at"])
-                        count.append(rows["count"].astype(np.int32))
-                        cut += [data[a : a + c + length - 1] for a, c in zip(rows["at"].tolist(), rows["count"].tolist())]
+                    rows = np.frombuffer(asked, ASK)
+                    buckets.append((mix(rows["anchor"].astype(np.uint64)) % np.uint64(groups)).astype(np.int32))
+                    docs += [doc] * len(rows)
+                    at.append(rows["at"])
+                    count.append(rows["count"].astype(np.int32))
+                    cut += [data[a : a + c + length - 1] for a, c in zip(rows["at"].tolist(), rows["count"].tolist())]
                 join = lambda parts: np.concatenate(parts) if parts else np.empty(0, np.int32)
                 yield pa.RecordBatch.from_arrays([pa.array(join(buckets), pa.int32()), pa.array(docs, pa.int64()), pa.array(join(at), pa.int32()), pa.array(join(count), pa.int32()), pa.array(cut, pa.binary())], names=["bucket", "doc_id", "at", "count", "segment"])
 
@@ -384,23 +420,24 @@ def removal(documents: DataFrame, length: int = 50, carry: tuple[str, ...] = ())
     texts = rows.where("doc_id is not null")
     total = texts.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     groups = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(total / GROUP_BYTES))
-    found = packed_units(texts.select("doc_id", "text"), length, groups).groupBy("bucket").applyInArrow(by_document, "doc_id long, runs binary, asks binary")
+    found = packed_units(texts.select("doc_id", "text"), length, groups).groupBy("bucket").applyInArrow(lambda table: settled(table, groups), PACKED)
     found = stored(found, "units")
-    asks = found.where("asks is not null").groupBy("doc_id").agg(F.collect_list("asks").alias("asks"))
-    detail = segments(texts.select("doc_id", "text"), asks, length, groups).groupBy("bucket").applyInArrow(lambda table: compared(table, length), "doc_id long, runs binary")
-    runs = found.where("runs is not null").select("doc_id", "runs").unionByName(detail).groupBy("doc_id").agg(F.collect_list("runs").alias("runs"))
+    per_document = lambda rows, kind, name: rows.groupBy("place").applyInArrow(lambda table: by_document(table, kind), "doc_id long, rows binary").withColumnRenamed("rows", name)
+    asks = per_document(found.where("asks is not null").select("place", F.col("asks").alias("rows")), ASK, "asks")
+    detail = segments(texts.select("doc_id", "text"), asks, length, groups).groupBy("bucket").applyInArrow(lambda table: compared(table, length, groups), "place int, rows binary")
+    runs = per_document(found.where("runs is not null").select("place", F.col("runs").alias("rows")).unionByName(detail), RUN, "runs")
     others = [f"carried_{c}" for c in carry]
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in slices(whole, "text"):
                 out = []
-                for text, blobs in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                for text, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                     data = text.encode("utf-8", "surrogatepass")
-                    if not blobs:
+                    if not blob:
                         out.append((len(data), 0, 0, data))
                         continue
-                    own = np.frombuffer(b"".join(blobs), RUN)
+                    own = np.frombuffer(blob, RUN)
                     end = np.minimum(own["at"] + own["count"] - 1 + length, len(data))
                     steps = np.zeros(len(data) + 1, np.int64)
                     np.add.at(steps, own["at"], 1)
