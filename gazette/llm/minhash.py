@@ -215,23 +215,25 @@ def linked(nodes: DataFrame, documents: DataFrame, size: int, percent: int) -> D
     links = checked(held.where("node <> leader").groupBy("node").agg(F.min("leader").alias("a")).select("a", F.col("node").alias("b")))
     roots = stored(components(links), "roots")
 
-    def rooted(rows: DataFrame) -> DataFrame:
-        """Rows with the component of their node."""
-        return rows.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    def placed(roots: DataFrame) -> DataFrame:
+        """(node, n_shingles, root) of all nodes."""
+        return stored(nodes.select("node", "n_shingles").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "placed")
 
     def mixed(rows: DataFrame) -> DataFrame:
         """The rows of buckets that hold several components."""
         several = rows.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("key")
         return rows.join(several, "key")
 
-    # All leaders of buckets that still hold several components.
-    open_ = stored(mixed(rooted(held)), "open")
-    leaders = roots.select(F.col("node").alias("leader"), F.col("root").alias("leader_root"))
-    more = open_.join(leaders, "leader", "left").where(F.coalesce("leader_root", "leader") != F.col("root")).select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct()
+    # All leaders of buckets that still hold several components, where the sizes of the sets allow the similarity.
+    places = placed(roots)
+    open_ = stored(mixed(held.join(places, "node")), "open")
+    leaders = places.select(F.col("node").alias("leader"), F.col("root").alias("leader_root"), F.col("n_shingles").alias("leader_n"))
+    fits = 100 * F.least("n_shingles", "leader_n") >= percent * F.greatest("n_shingles", "leader_n")
+    more = open_.join(leaders, "leader").where((F.col("leader_root") != F.col("root")) & fits).select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct()
     links = links.union(checked(more))
-    roots = stored(components(links), "roots")
+    places = placed(components(links))
     # Members of different components in buckets that still hold several; pairs with the leader are done.
-    open_ = mixed(rooted(open_.where("node <> leader").select("key", "node")))
+    open_ = mixed(open_.where("node <> leader").select("key", "node").join(places.select("node", "root"), "node"))
     return components(links.union(across(stored(open_, "open"), texts, size, percent)))
 
 
