@@ -34,11 +34,10 @@ GROUP_BYTES, SHARD_BYTES, PIECE = 16 << 20, 1 << 20, 4 << 20
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
 _UNA = np.uint64(pow(0x9E3779B97F4A7C15, -1, 2**64))
 _PLACE = np.uint64((1 << 24) - 1)
-_LOW = np.uint64((1 << 48) - 1)
 _RANDOM = np.random.default_rng(77).integers(0, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _POWERS: list[np.ndarray] = []
 
-UNIT = [("anchor", "<u8"), ("content", "<u8"), ("doc", "<i8"), ("at", "<i4"), ("count", "u1"), ("left", "u1")]
+UNIT = [("anchor", "<u8"), ("content", "<u8"), ("doc", "<i8"), ("at", "<i4"), ("count", "u1")]
 
 
 def powers(size: int) -> list[np.ndarray]:
@@ -83,11 +82,12 @@ def units(data: np.ndarray, offsets: np.ndarray, length: int) -> dict[str, np.nd
 
 
 def pack(columns: dict[str, np.ndarray]) -> bytes:
-    """Units, ordered by document, as columns of few bytes: hashes by 6, documents and places as differences."""
+    """Units, ordered by document, as columns of few bytes: 5 of the anchor, which tell the anchors of a bucket apart (and
+    may let two meet, which costs a comparison), 6 of the content; documents and places as differences."""
     n = len(columns["doc"])
-    half = lambda x: np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(n, 8)[:, :6].T).tobytes()
+    part = lambda x, width: np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(n, 8)[:, :width].T).tobytes()
     step = lambda x, kind: np.diff(x, prepend=x.dtype.type(0)).astype(kind).view(np.uint8).reshape(n, -1).T.tobytes()
-    return b"".join([np.int64(n).tobytes(), half(columns["anchor"]), half(columns["content"]), step(columns["doc"].astype("<i8"), "<i8"), step(columns["at"].astype("<i8"), "<i4"), columns["count"].astype("u1").tobytes(), columns["left"].astype("u1").tobytes()])
+    return b"".join([np.int64(n).tobytes(), part(columns["anchor"], 5), part(columns["content"], 6), step(columns["doc"].astype("<i8"), "<i8"), step(columns["at"].astype("<i8"), "<i4"), columns["count"].astype("u1").tobytes()])
 
 
 def unpack(blob: bytes) -> np.ndarray:
@@ -95,13 +95,13 @@ def unpack(blob: bytes) -> np.ndarray:
     n = int(np.frombuffer(blob, "<i8", 1)[0])
     body, place = np.frombuffer(blob, np.uint8, offset=8), 0
     out = np.zeros(n, UNIT)
-    for name, width, kind in (("anchor", 6, "<u8"), ("content", 6, "<u8"), ("doc", 8, "<i8"), ("at", 4, "<i4")):
+    for name, width, kind in (("anchor", 5, "<u8"), ("content", 6, "<u8"), ("doc", 8, "<i8"), ("at", 4, "<i4")):
         wide = np.zeros((n, np.dtype(kind).itemsize), np.uint8)
         wide[:, :width] = body[place : place + n * width].reshape(width, n).T
         place += n * width
         values = wide.reshape(-1).view(kind)
-        out[name] = values if width == 6 else np.cumsum(values, dtype=kind)
-    out["count"], out["left"] = body[place : place + n], body[place + n : place + 2 * n]
+        out[name] = values if name in ("anchor", "content") else np.cumsum(values, dtype=kind)
+    out["count"] = body[place : place + n]
     return out
 
 
@@ -178,16 +178,26 @@ def places_of(docs: np.ndarray, groups: int) -> np.ndarray:
     return (mix(docs.astype("<i8").view("<u8").copy()) % np.uint64(groups)).astype(np.int32)
 
 
+def planes(rows: np.ndarray) -> bytes:
+    """Rows as all their first bytes, all their second bytes and so on: sorted numbers compress well that way."""
+    return np.ascontiguousarray(rows).view(np.uint8).reshape(len(rows), -1).T.tobytes()
+
+
+def from_planes(data: bytes, kind: np.dtype) -> np.ndarray:
+    """The rows of :func:`planes`."""
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(kind.itemsize, -1).T).reshape(-1).view(kind)
+
+
 def by_place(rows: np.ndarray, kind: np.dtype, groups: int) -> tuple[list[int], list[bytes]]:
     """Rows packed as ``kind`` by the place of their document."""
     out = np.empty(len(rows), kind)
     for name in kind.names:
         out[name] = rows[name]
     place = places_of(out["doc"], groups)
-    order = np.argsort(place, kind="stable")
+    order = np.lexsort((out["at"], out["doc"], place))
     out, place = out[order], place[order]
     cuts = np.flatnonzero(np.diff(place, prepend=-1))
-    return place[cuts].tolist(), [out[a:b].tobytes() for a, b in zip(cuts, [*cuts[1:], len(out)])]
+    return place[cuts].tolist(), [planes(out[a:b]) for a, b in zip(cuts, [*cuts[1:], len(out)])]
 
 
 def settled(table: pa.Table, groups: int) -> pa.Table:
@@ -199,7 +209,7 @@ def settled(table: pa.Table, groups: int) -> pa.Table:
 
 def by_document(table: pa.Table, kind: np.dtype) -> pa.Table:
     """(doc_id, rows) of one place: what is packed in its rows, for each document."""
-    rows = np.concatenate([np.frombuffer(blob.as_py(), kind) for blob in table.column("rows")])
+    rows = np.concatenate([from_planes(blob.as_py(), kind) for blob in table.column("rows")])
     rows = rows[np.lexsort((rows["at"], rows["doc"]))]
     cuts = np.flatnonzero(np.concatenate([[True], rows["doc"][1:] != rows["doc"][:-1]]))
     return pa.table({"doc_id": pa.array(rows["doc"][cuts], pa.int64()), "rows": pa.array([rows[a:b].tobytes() for a, b in zip(cuts, [*cuts[1:], len(rows)])], pa.binary())})
