@@ -68,13 +68,13 @@ def checkpointed(df: DataFrame) -> DataFrame:
 
 
 def slices(batch: pa.RecordBatch, text: str, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
-    """The batch in row ranges of at most ``most`` bytes of text, or single rows where one text is longer."""
+    """The batch in row ranges of at most ``most`` bytes of text, or a row alone (without empty ones) where its text is longer."""
     if not batch.num_rows:
         return
     lengths = pc.fill_null(pc.binary_length(batch.column(batch.schema.get_field_index(text))), 0).to_numpy(zero_copy_only=False)
     ends, start, total = [], 0, 0
     for row, size in enumerate(lengths):
-        if total and total + size > most:
+        if row > (ends[-1] if ends else 0) and total + size > most:
             ends.append(row)
             total = 0
         total += size

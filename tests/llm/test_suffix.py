@@ -3,8 +3,10 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 
 from gazette.llm import suffix
+from gazette.llm.common import slices
 
 
 def test_suffix_array_and_prefixes():
@@ -102,6 +104,21 @@ def test_long_text_in_pieces(monkeypatch):
     assert pieces == windows and len({i for _, i in windows}) == 951
 
 
+def test_slices_leave_long_texts_alone():
+    batch = pa.RecordBatch.from_pydict({"text": ["", None, "x" * 30, "", None, "y" * 4, "z" * 5, "w" * 30, "v" * 30]})
+    assert [part.column(0).to_pylist() for part in slices(batch, "text", 10)] == [["", None], ["x" * 30], ["", None, "y" * 4, "z" * 5], ["w" * 30], ["v" * 30]]
+
+
+def test_long_text_behind_empty_ones(spark):
+    random.seed(4)
+    long = "".join(random.choices("abcdefghijklmnopqrstuvwxyz ", k=suffix.PIECE + 100_000))
+    first, last = long[1000:1200], long[-300:-100]
+    rows = [(0, ""), (1, None), (7, long), (3, first), (9, last)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans) for r in suffix.removal(df).collect()}
+    assert got == {0: (0, 0, 0), 1: (0, 0, 0), 7: (len(long), 200, 1), 3: (200, 0, 0), 9: (200, 200, 1)}
+
+
 def test_pack():
     rng = np.random.default_rng(0)
     n = 50
