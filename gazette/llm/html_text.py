@@ -23,12 +23,17 @@ from gazette.llm.common import slices, stored
 
 #: Elements that never hold main text.
 DROPPED = set("head title script style noscript template textarea select option button svg math iframe object embed canvas audio video map form fieldset nav aside footer dialog menu".split())
-#: Words of class, id and role that mark boilerplate.
+#: Classes, ids and roles that mark boilerplate; each is one whole token, so ``no-sidebar`` and ``content-sidebar-wrap`` mark nothing.
 MARKS = set(
     "ad ads adv advert adverts advertisement advertising adsense adslot banner sponsor sponsored promo promotion nav navbar navigation menu menubar breadcrumb breadcrumbs sidebar "
-    "aside complementary footer contentinfo masthead cookie cookies consent gdpr notice notices alert disclaimer newsletter subscribe subscription signup login search searchbox form "
-    "comment comments commentlist respond disqus discussion replies share sharing social related recommended recommendations popup modal overlay widget widgets pagination pager skip hidden".split()
+    "aside complementary footer contentinfo masthead cookie cookies consent gdpr newsletter subscribe subscription signup login search searchbox form "
+    "share sharing social related recommended recommendations popup modal overlay widget widgets pagination pager skip hidden".split()
 )
+COMMENTS = set("comment comments commentlist respond disqus replies".split())
+#: Elements within articles whose names are their own: ``<h2 id="comments">``.
+TITLES = {"h1", "h2", "h3", "h4", "h5", "h6"}
+#: How an element is marked: by its tag or as hidden, by a name (or as a form or a page's header), by a name of comments.
+SURE, WORD, COMMENT = 1, 2, 3
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements that begin and end a block of text.
 BLOCKS = set(
@@ -52,10 +57,49 @@ _WORD = re.compile(r"[a-z]+")
 
 
 class Element:
-    __slots__ = ("tag", "path", "noise", "main", "children")
+    __slots__ = ("tag", "path", "parent", "mark", "main", "begins", "noise", "kept", "size", "own", "holds", "children")
 
-    def __init__(self, tag: str, path: str, noise: bool, main: bool):
-        self.tag, self.path, self.noise, self.main, self.children = tag, path, noise, main, []
+    def __init__(self, tag: str, path: str, parent: Element | None, mark: int, main: bool, begins: bool):
+        self.tag, self.path, self.parent, self.mark, self.main, self.begins = tag, path, parent, mark, main, begins
+        self.noise, self.kept, self.size, self.own, self.holds, self.children = False, False, 0, 0, False, []
+
+
+def settle(elements: list[Element], pieces: list[tuple[str, Element]]) -> None:
+    """Which elements are noise: those with a sure mark, those with a word for a mark that aren't a wrapper, and all below.
+
+    A wrapper holds most of the text of a page without any article or main element outside of marked ones (comments are
+    none), or holds such an element with at least as much text as everything unmarked, if all that have text are within
+    marked elements.
+    """
+    for e in elements:  # parents come first
+        e.noise = e.parent.noise or e.mark == SURE
+    if any(e.mark in (WORD, COMMENT) and not e.noise for e in elements):
+        for text, e in pieces:
+            e.own += len("".join(text.split()))
+        for e in reversed(elements):
+            if not e.noise:
+                e.size += e.own
+                e.parent.size += e.size
+                e.parent.holds |= e.holds or (e.begins and e.size > 0)
+        total = sum(e.own for e in {e for _, e in pieces} if not e.noise)
+
+        def outside() -> list[Element]:
+            covered: set[Element] = set()
+            for e in elements:
+                if e.noise or e.parent in covered or (e.mark in (WORD, COMMENT) and not e.kept):
+                    covered.add(e)
+            return [e for e in elements if e not in covered]
+
+        if not any(e.begins for e in outside()):
+            for e in elements:
+                e.kept = e.mark == WORD and e.size > e.own and 2 * e.size > total
+        clean = outside()
+        if not any(e.begins and e.size for e in clean):
+            unmarked = sum(e.own for e in clean)
+            for e in elements:
+                e.kept |= e.holds and e.size >= unmarked
+    for e in elements:
+        e.noise = e.parent.noise or e.mark == SURE or (e.mark in (WORD, COMMENT) and not e.kept)
 
 
 def parse(page: str) -> tuple[list[tuple[str, str, bool]], list[Element]]:
@@ -63,21 +107,18 @@ def parse(page: str) -> tuple[list[tuple[str, str, bool]], list[Element]]:
 
     Never fails: unclosed and misplaced tags end where the elements around them end.
     """
-    root = Element("", "", False, False)
-    stack, elements, blocks, held = [root], [], [], []
+    root = Element("", "", None, 0, False, False)
+    stack, elements, held, pieces, runs = [root], [], [], [], []
 
     def flush() -> None:
         if held:
-            text = " ".join(html.unescape("".join(held)).split())
+            runs.append((next(e for e in reversed(stack) if e.tag in BLOCKS or e is root), held.copy()))
+            pieces.extend(held)
             held.clear()
-            top = next(e for e in reversed(stack) if e.tag in BLOCKS or e is root)
-            if text and not stack[-1].noise:
-                blocks.append((top.path, text, top.main))
 
     for raw, close, name, attributes, text in _TOKEN.findall(page):
         if text:
-            if not stack[-1].noise:
-                held.append(text)
+            held.append((text, stack[-1]))
             continue
         if not name:
             continue
@@ -85,14 +126,14 @@ def parse(page: str) -> tuple[list[tuple[str, str, bool]], list[Element]]:
         if close:
             depth = next((i for i in range(len(stack) - 1, 0, -1) if stack[i].tag == tag), 0)
             if depth and (tag in BLOCKS or not any(e.tag in BLOCKS for e in stack[depth + 1 :])):
-                if tag in BLOCKS or any(e.noise for e in stack[depth:]):
+                if tag in BLOCKS:
                     flush()
                 del stack[depth:]
             elif tag == "p":
                 flush()
             continue
         if tag in ("br", "td", "th", "img", "hr"):
-            held.append(" ")
+            held.append((" ", stack[-1]))
         if tag in BLOCKS:
             flush()
             depth = len(stack) - 1
@@ -112,21 +153,34 @@ def parse(page: str) -> tuple[list[tuple[str, str, bool]], list[Element]]:
             stack[-1].children.append(tag)
             continue
         given = {k.lower(): a or b or c for k, a, b, c in _ATTRIBUTE.findall(attributes)} if attributes.strip(" /\n\t") else {}
-        words = _WORD.findall(f"{given.get('class', '')} {given.get('id', '')} {given.get('role', '')}".lower())
+        named = f"{given.get('class', '')} {given.get('id', '')} {given.get('role', '')}".lower()
+        words, names = _WORD.findall(named), set(named.split())
         parent = stack[-1]
-        inside = parent.main or tag in MAIN or "main" in given.get("role", "").split() or given.get("itemprop") == "articleBody"
-        noise = parent.noise or tag in DROPPED or (tag not in ("html", "body") and tag not in MAIN and any(w in MARKS for w in words)) or (tag == "header" and not inside)
-        noise = noise or "hidden" in given or given.get("aria-hidden") == "true" or "display:none" in given.get("style", "").replace(" ", "").lower()
-        if noise and not parent.noise and tag not in BLOCKS:
-            held.append(" ")
+        begins = tag in MAIN or "main" in given.get("role", "").split() or given.get("itemprop") == "articleBody"
+        inside = parent.main or begins
+        mark = 0
+        if (tag in DROPPED and tag != "form") or "hidden" in given or given.get("aria-hidden") == "true" or "display:none" in given.get("style", "").replace(" ", "").lower():
+            mark = SURE
+        elif tag not in ("html", "body") and tag not in MAIN and not (inside and tag in TITLES) and names & COMMENTS:
+            mark = COMMENT
+        elif tag == "form" or (tag == "header" and not inside) or (tag not in ("html", "body") and tag not in MAIN and not (inside and tag in TITLES) and names & MARKS):
+            mark = WORD
+        if mark and tag not in BLOCKS:
+            held.append((" ", parent))
         style = ".".join([tag, *sorted(set(words))])
         path = f"{parent.path}>{style}" if len(parent.path) < LONGEST else parent.path
-        made = Element(tag, path, noise, inside and not noise)
+        made = Element(tag, path, parent, mark, inside, begins)
         parent.children.append(style)
         elements.append(made)
         if not attributes.rstrip().endswith("/"):
             stack.append(made)
     flush()
+    settle(elements, pieces)
+    blocks = []
+    for top, several in runs:
+        text = " ".join(html.unescape("".join(text for text, e in several if not e.noise)).split())
+        if text:
+            blocks.append((top.path, text, top.main and not top.noise))
     if any(main for _, _, main in blocks):
         blocks = [b for b in blocks if b[2]]
     return blocks, elements

@@ -28,6 +28,22 @@ def test_odd_pages():
     assert text(deep) == "x"
 
 
+def test_wrappers_are_no_boilerplate():
+    story = "<article><h1>Title</h1><p>The story is told here.</p></article>"
+    for around in ("<div class='content-sidebar-wrap'>%s</div>", "<div class='layout no-sidebar'>%s</div>", "<div id='search-results-page'>%s</div>", "<div class='layout sidebar'>%s</div>", "<form id='aspnetForm'>%s<footer>(c)</footer></form>", "<form><div class='widget'>%s</div></form>"):
+        assert text(f"<body><nav>Menu</nav>{around % story}</body>") == "Title\nThe story is told here.", around
+    assert text(f"<form><div class='related'><article>Another card</article></div>{story}</form>") == "Title\nThe story is told here."
+    assert text(f"<div class='related'><article>Another card that is longer than the story itself is</article></div>{story}") == "Title\nThe story is told here."
+    assert text("<body><form id=f><div><p>Long text without an article</p></div></form><p>short</p></body>") == "Long text without an article\nshort"
+    assert text("<body><div><p>The story is as long as this</p></div><div class='ad'>Buy</div><div id='comments'><article>First!</article></div></body>") == "The story is as long as this"
+    assert text("<article></article><div class='ad'><p>Buy</p></div>") == text("<body><div class='ad'>Buy</div></body>") == ""
+
+
+def test_names_within_articles():
+    page = "<article><p class='notice'>Mind this</p><section class='related-work'><p>Others did</p></section><h2 id='comments'>Comments on law</h2><p>One <span class='ad'>Buy</span> two</p><div class='comments'><p>" + "Nice " * 50 + "</p></div></article>"
+    assert text(page) == "Mind this\nOthers did\nComments on law\nOne two"
+
+
 def test_tree_removes_what_repeats(spark):
     page = lambda i: f"<body><div class='a'><p>Same banner text</p></div><div class='b'><p>Story number {i} is new</p><p>More {i * 7}</p></div></body>"
     rows = [(i, f"http://H.example/{i}", page(i), 1) for i in range(12)] + [(100, "http://few.example/x", page(3), 1), (101, None, None, 1), (102, "http://h.example/e", "", 1)]
