@@ -3,9 +3,9 @@
 Pages of a host are merged into one tree: an element's place is the path of its styles (tag, class and id of it and of
 all elements around it). Over the pages that have an element, the entropy of its child styles says how much its
 presentation varies, and the entropy of its texts over pages says whether its content is the page's own. A branch whose
-combined importance is low is the same from page to page and is removed from each page. HTML's own names come first:
-what is marked up as menu, advert, form, comments and the like has importance 0, what stands in an article has 1, and
-the tree decides about all that is marked as neither.
+combined importance is low is the same from page to page and is removed from each page. HTML's own names are the prior:
+what is marked up as menu, advert, form, comments and the like has importance 0, and so has what stands outside of the
+article of a page that has one; an article itself has 1. The tree decides about all else, within articles too.
 """
 
 from __future__ import annotations
@@ -18,6 +18,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from gazette.llm.common import slices, stored
 
@@ -168,7 +169,7 @@ def parse(page: str) -> tuple[list[tuple[str, str, bool]], list[Element]]:
         if mark and tag not in BLOCKS:
             held.append((" ", parent))
         style = ".".join([tag, *sorted(set(words))])
-        path = f"{parent.path}>{style}" if len(parent.path) < LONGEST else parent.path
+        path = f"{parent.path}>{'*' * begins}{style}" if len(parent.path) < LONGEST else parent.path
         made = Element(tag, path, parent, mark, inside, begins)
         parent.children.append(style)
         elements.append(made)
@@ -196,37 +197,26 @@ def host_of(url):
     return F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//(?:[^/@?#]*@)?([^/:?#]*)", 1))
 
 
-PARTS = "row long, page_id long, url string, host string, path string, kind string, feature long, at int, text string"
-
-
-def keyed(pages: DataFrame) -> DataFrame:
-    """The columns in use and a number for each row, the same whenever the same scan runs again."""
-    return pages.select(F.monotonically_increasing_id().alias("row"), "page_id", "url", host_of(F.col("url")).alias("host"), "html")
-
-
 def parts(pages: DataFrame) -> DataFrame:
-    """What the trees are made of, per page and style path once each: the element's child styles (kind ``look``, repeats
-    in a row count once) and the texts of its blocks (kind ``text``). Pages without an article also give their blocks
-    (kind ``block``: row, page_id, url, path, place, text)."""
+    """What the trees are made of, (host, path, kind, feature), per page and style path once each: the element's child
+    styles (kind ``look``, repeats in a row count once) and the texts of its blocks (kind ``text``)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("row", pa.int64()), ("page_id", pa.int64()), ("url", pa.string()), ("host", pa.string()), ("path", pa.string()), ("kind", pa.string()), ("feature", pa.int64()), ("at", pa.int32()), ("text", pa.string())])
+        schema = pa.schema([("host", pa.string()), ("path", pa.string()), ("kind", pa.string()), ("feature", pa.int64())])
         for whole in batches:
             for batch in slices(whole, "html"):
                 rows = []
-                for row, page_id, url, host, page in zip(*(c.to_pylist() for c in batch.columns)):
+                for host, page in zip(*(c.to_pylist() for c in batch.columns)):
                     blocks, elements = parse(page or "")
                     seen = {(path, "text", _number(text)) for path, text, _ in blocks}
                     looks: dict[str, list[str]] = {}
                     for e in elements:
                         looks.setdefault(e.path, []).append(",".join(c for i, c in enumerate(e.children) if not i or e.children[i - 1] != c))
                     seen |= {(path, "look", _number(";".join(dict.fromkeys(several)))) for path, several in looks.items()}
-                    rows += [(None, None, None, host, *one, None, None) for one in seen]
-                    if not all(main for _, _, main in blocks):
-                        rows += [(row, page_id, url, host, path, "block", None, at, text) for at, (path, text, _) in enumerate(blocks)]
+                    rows += [(host, *one) for one in seen]
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows) if rows else [[]] * len(schema), schema)], schema=schema)
 
-    return keyed(pages).mapInArrow(run, PARTS)
+    return pages.select(host_of(F.col("url")).alias("host"), "html").mapInArrow(run, "host string, path string, kind string, feature long")
 
 
 def style_tree(parts: DataFrame, weight: float = 0.9) -> DataFrame:
@@ -237,7 +227,7 @@ def style_tree(parts: DataFrame, weight: float = 0.9) -> DataFrame:
     pages that show it, which is log_m of their number. The importance is ``weight`` times content plus the rest times
     presentation; an element seen on one page only has 1. All is counted by grouping, combined before the shuffle.
     """
-    counted = parts.where("kind <> 'block'").groupBy("host", "path", "kind", "feature").agg(F.count("*").alias("n"))
+    counted = parts.groupBy("host", "path", "kind", "feature").agg(F.count("*").alias("n"))
     look = F.col("kind") == "look"
     own = counted.groupBy("host", "path").agg(
         F.sum(F.when(look, F.col("n")).otherwise(0)).alias("pages"),
@@ -254,36 +244,47 @@ def style_tree(parts: DataFrame, weight: float = 0.9) -> DataFrame:
     return own.join(branch.withColumnRenamed("branch", "path"), ["host", "path"]).select("host", "path", "pages", F.when(m > 1, weight * content + (1 - weight) * presentation).otherwise(1.0).alias("importance"))
 
 
+def lasting(blocks: list[tuple[str, str, bool]], low: set[str]) -> list[str]:
+    """Texts of the blocks that stand in no low branch.
+
+    Of a block in an article (a starred step) only branches below the innermost one count; an article all of whose
+    blocks would go keeps its own. One too deep to be a step of its own can't be told from what is around it, and stays.
+    """
+    if not low:
+        return [text for _, text, _ in blocks]
+    goes: dict[str, bool] = {}
+    articles: dict[str, list[str]] = {}
+    alive: set[str] = set()
+    for path, _, main in blocks:
+        if path not in goes:
+            steps = path.split(">")
+            stars = [i for i, step in enumerate(steps) if step.startswith("*")]
+            articles[path] = [">".join(steps[: i + 1]) for i in stars]
+            goes[path] = (bool(stars) or not main) and any(">".join(steps[: i + 1]) in low for i in range(stars[-1] + 1 if stars else 1, len(steps)))
+        if not goes[path]:
+            alive.update(articles[path])
+    return [text for path, text, _ in blocks if not goes[path] or (articles[path] and articles[path][-1] not in alive)]
+
+
 def main_text(pages: DataFrame, least_pages: int = 5, threshold: float = 0.3) -> DataFrame:
     """Per row of ``pages``: page_id, url, text, n_chars (code points of the text).
 
     Blocks are joined by one line feed; character references are decoded, white space within a block becomes one space.
-    If a page has an article or main element with text, its text is what stands there, less boilerplate in it; other
-    pages keep what no name marks as boilerplate, less the branches whose importance in the host's tree is under
-    ``threshold`` (elements on fewer than ``least_pages`` pages are kept). Null, empty and textless pages have an empty
-    text; rows that repeat stay; null addresses share a tree; other columns are left out.
+    Boilerplate by name goes; if a page has an article or main element with text, so does all outside of it. Of the rest
+    the branches go whose importance in the host's tree is under ``threshold`` (elements on fewer than ``least_pages``
+    pages are kept); an article itself is no such branch, and one of which nothing would be left stays whole. Null, empty
+    and textless pages have an empty text; rows that repeat stay; null addresses share a tree; other columns are left out.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in slices(whole, "html"):
-                rows = []
-                for page_id, url, page in zip(*(batch.column(i).to_pylist() for i in (1, 2, 4))):
-                    blocks, _ = parse(page or "")
-                    if all(main for _, _, main in blocks):
-                        rows.append((page_id, url, "\n".join(text for _, text, _ in blocks)))
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * 3, (pa.int64(), pa.string(), pa.string()))], names=["page_id", "url", "text"])
-
-    sure = keyed(pages).mapInArrow(run, "page_id long, url string, text string")
-    kept = stored(parts(pages), "page-parts")
-    tree = style_tree(kept).where((F.col("pages") >= least_pages) & (F.col("importance") < threshold))
-    blocks = kept.where("kind = 'block'").select("row", "page_id", "url", "host", "path", "at", "text")
-    steps = F.split("path", ">")
-    prefix = F.explode(F.transform(F.sequence(F.lit(2), F.greatest(F.size(steps), F.lit(2))), lambda i: F.array_join(F.slice(steps, 1, i), ">")))
-    low = blocks.select("host", "path").distinct().select("host", "path", prefix.alias("branch")).join(tree.select("host", F.col("path").alias("branch")), ["host", "branch"]).select("host", "path").distinct()
-    joined = blocks.join(low.withColumn("low", F.lit(True)), ["host", "path"], "left").groupBy("row").agg(
-        F.first("page_id").alias("page_id"),
-        F.first("url").alias("url"),
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("low").isNull(), F.struct("at", "text")))), lambda x: x["text"]), "\n").alias("text"),
-    )
-    return sure.unionByName(joined.drop("row")).withColumn("n_chars", F.length("text").cast("long"))
+                texts = ["\n".join(lasting(parse(page or "")[0], set(low or ()))) for page, low in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string())], names=["page_id", "url", "text"])
+
+    tree = style_tree(stored(parts(pages), "page-parts"))
+    low = tree.where((F.col("pages") >= least_pages) & (F.col("importance") < threshold)).groupBy("host").agg(F.collect_list("path").alias("low"))
+    low = stored(low, "low-branches")  # a table of known size is broadcast while small, so that pages stay where they are
+    met = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html", host_of(F.col("url")).alias("host")).join(low, "host", "left").select("page_id", "url", "html", "low")
+    schema = T.StructType([*met.schema.fields[:2], T.StructField("text", T.StringType())])
+    return met.mapInArrow(run, schema).withColumn("n_chars", F.length("text").cast("long"))

@@ -65,3 +65,23 @@ def test_copies_of_an_article_stay(spark):
     rows = [(i, f"http://h/{i}", "<article><p>The same in all</article>") for i in range(9)]
     got = html_text.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
     assert [r.text for r in got] == ["The same in all"] * 9
+
+
+def test_tree_decides_within_articles(spark):
+    more = "<div class='x'><p>Read more from us</p></div>"
+    page = lambda i: f"<body><main><article><h1>Title {i}</h1><p>Story number {i}</p><p>It goes on {i * 7}</p>{more}</article></main></body>"
+    rows = [(i, f"http://h/{i}", page(i)) for i in range(12)]
+    rows += [(50, "http://few/1", page(50)), (51, "http://h/51", f"<body><main><article>{more}</article></main></body>")]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in html_text.main_text(df).collect()}
+    assert all(got[i] == f"Title {i}\nStory number {i}\nIt goes on {i * 7}" for i in range(12))
+    assert got[50].endswith("Read more from us") and got[51] == "Read more from us"
+
+
+def test_articles_are_no_branches():
+    blocks = [(">body>*main>p", "a", True), (">body>*main>div.x>*article>p", "b", True), (">body>*main>div.x>*article>div.y>p", "c", True), (">body>p", "d", False)]
+    assert html_text.lasting(blocks, {">body>*main>div.x", ">body>*main>div.x>*article", ">body>*main"}) == ["a", "b", "c", "d"]
+    assert html_text.lasting(blocks, {">body>*main>p"}) == ["b", "c", "d"]
+    assert html_text.lasting(blocks[:1], {">body>*main>p"}) == ["a"]
+    assert html_text.lasting(blocks, {">body>*main>div.x>*article>div.y"}) == ["a", "b", "d"]
+    assert html_text.lasting(blocks, {">body>*main>div.x>*article>div.y", ">body>*main>div.x>*article>p", ">body"}) == ["a", "b", "c"]
