@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gazette.llm import bpe, html_text, langid, licences, minhash, mixing, quality, suffix, topk, warc
+from gazette.llm import bpe, html_text, langid, licences, merkle, minhash, mixing, quality, suffix, topk, warc
 from gazette.llm.common import shared_path
 
 
@@ -76,6 +76,11 @@ def op10_html_text(spark: SparkSession, folder: str) -> DataFrame:
     return html_text.main_text(table(spark, folder, "pages"))
 
 
+def op12_merkle(spark: SparkSession, folder: str) -> DataFrame:
+    """The manifest of all documents: leaf, roots, proof, and the root that a tampered row leads to."""
+    return merkle.manifest(table(spark, folder, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: run for name, run in globals().items() if name.startswith("op") and callable(run)}
 
@@ -139,6 +144,44 @@ s AS (SELECT *, gone AND NOT lag(gone, 1, false) OVER (PARTITION BY doc_id ORDER
 a AS (SELECT doc_id, count(*) AS n, count(*) FILTER (gone) AS n_removed, count(*) FILTER (opens) AS n_spans, coalesce(string_agg(b, '' ORDER BY i) FILTER (NOT gone), '') AS rest FROM s GROUP BY doc_id)
 SELECT documents.doc_id, coalesce(n, 0) AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(rest, ''))) AS kept_sha256
 FROM documents LEFT JOIN a USING (doc_id)
+""",
+        "op12_merkle": """
+WITH RECURSIVE c AS (
+  SELECT *, list_reduce(list_concat([4294967295], flatten(list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda x: [ascii(x), -1, -1, -1, -1, -1, -1, -1, -1]))),
+    lambda c, x: CASE WHEN x >= 0 THEN xor(c, x) ELSE xor(c >> 1, 3988292384 * (c & 1)) END) AS crc FROM documents
+), h AS (
+  SELECT doc_id, source, coalesce(strlen(CAST(doc_id AS VARCHAR)) || ':' || doc_id, '-') || coalesce(strlen(source) || ':' || source, '-') || coalesce(strlen(lang) || ':' || lang, '-')
+      || coalesce(strlen(CAST(n_chars AS VARCHAR)) || ':' || n_chars, '-') AS head, text, coalesce(xor(crc, 4294967295) % 5 = 0, false) AS struck FROM c
+), t AS (
+  SELECT doc_id, source, sha256(head || coalesce(strlen(text) || ':' || text, '-')) AS leaf,
+    CASE WHEN struck THEN sha256(head || coalesce(strlen(text) || ':' || translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '-')) END AS changed FROM h
+), l AS (SELECT *, row_number() OVER (ORDER BY source NULLS FIRST, doc_id NULLS FIRST, leaf) AS id, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos, count(*) OVER (PARTITION BY source) AS n FROM t),
+up AS (
+  SELECT source, 0 AS level, pos, leaf AS digest, n FROM l
+  UNION ALL
+  SELECT source, level + 1, pos // 16, sha256(string_agg(digest, '' ORDER BY pos)), (any_value(n) + 15) // 16 FROM up WHERE n > 1 GROUP BY source, level, pos // 16
+), s AS (SELECT source, digest AS subroot, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS pos, count(*) OVER () AS n FROM up WHERE n = 1),
+top AS (
+  SELECT 0 AS level, pos, subroot AS digest, n FROM s
+  UNION ALL
+  SELECT level + 1, pos // 16, sha256(string_agg(digest, '' ORDER BY pos)), (any_value(n) + 15) // 16 FROM top WHERE n > 1 GROUP BY level, pos // 16
+), low AS (
+  SELECT id, source, 0 AS level, pos, coalesce(changed, leaf) AS digest, n, '' AS proof FROM l
+  UNION ALL
+  SELECT id, source, level + 1, pos // 16, sha256(string_agg(CASE WHEN other = pos THEN digest ELSE digests END, '' ORDER BY other)), (any_value(n) + 15) // 16,
+    any_value(proof) || coalesce(string_agg(digests, '' ORDER BY other) FILTER (other <> pos), '')
+  FROM (SELECT low.*, up.pos AS other, up.digest AS digests FROM low JOIN up ON up.source IS NOT DISTINCT FROM low.source AND up.level = low.level AND up.pos // 16 = low.pos // 16 WHERE low.n > 1)
+  GROUP BY id, source, level, pos
+), high AS (
+  SELECT id, 0 AS level, s.pos, digest, s.n, proof FROM low JOIN s ON s.source IS NOT DISTINCT FROM low.source WHERE low.n = 1
+  UNION ALL
+  SELECT id, level + 1, pos // 16, sha256(string_agg(CASE WHEN other = pos THEN digest ELSE digests END, '' ORDER BY other)), (any_value(n) + 15) // 16,
+    any_value(proof) || coalesce(string_agg(digests, '' ORDER BY other) FILTER (other <> pos), '')
+  FROM (SELECT high.*, top.pos AS other, top.digest AS digests FROM high JOIN top ON top.level = high.level AND top.pos // 16 = high.pos // 16 WHERE high.n > 1)
+  GROUP BY id, level, pos
+)
+SELECT doc_id, leaf, subroot, (SELECT digest FROM top WHERE n = 1) AS root, sha256(proof) AS proof_sha256, high.digest AS folded_root, high.digest = (SELECT digest FROM top WHERE n = 1) AS verified
+FROM l JOIN s ON s.source IS NOT DISTINCT FROM l.source JOIN high USING (id) WHERE high.n = 1
 """,
         "op3_minhash": r"""
 WITH RECURSIVE w AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words FROM documents),
