@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gazette.llm import bpe, html_text, langid, licences, merkle, minhash, mixing, quality, suffix, topk, warc
+from gazette.llm import bpe, html_text, langid, licences, merkle, minhash, mixing, quality, suffix, topk, warc, whitening
 from gazette.llm.common import shared_path
 
 
@@ -76,6 +76,11 @@ def op10_html_text(spark: SparkSession, folder: str) -> DataFrame:
     return html_text.main_text(table(spark, folder, "pages"))
 
 
+def op11_whitening(spark: SparkSession, folder: str) -> DataFrame:
+    """Every embedding projected on the whitened components of all distinct ones."""
+    return whitening.whitened(table(spark, folder, "embeddings"))
+
+
 def op12_merkle(spark: SparkSession, folder: str) -> DataFrame:
     """The manifest of all documents: leaf, roots, proof, and the root that a tampered row leads to."""
     return merkle.manifest(table(spark, folder, "documents"))
