@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gazette.llm import bpe, html_text, langid, licences, merkle, minhash, mixing, quality, suffix, topk, warc, whitening
+from gazette.llm import bpe, html_text, langid, licences, merkle, minhash, mixing, quality, suffix, topk, warc, whitening, wordvec
 from gazette.llm.common import shared_path
 
 
@@ -86,6 +86,12 @@ def op12_merkle(spark: SparkSession, folder: str) -> DataFrame:
     return merkle.manifest(table(spark, folder, "documents"))
 
 
+def op13_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
+    """A quality score for every document, learnt from the labels that aren't held out."""
+    documents = table(spark, folder, "documents")
+    return wordvec.scored(documents, *wordvec.trained(documents, table(spark, folder, "labels")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: run for name, run in globals().items() if name.startswith("op") and callable(run)}
 
