@@ -372,7 +372,7 @@ def phrase_parts(prefix: str, news: str) -> None:
         f"{prefix}_scored",
         f"""SELECT language, p phrase, count(*) doc_freq, CAST(max(n) AS BIGINT) length, round(count(*) * (1.0 + 0.2 * max(n)), 6)::DOUBLE score FROM (
         SELECT 'en' language, * FROM {prefix}_en UNION ALL SELECT 'zh', * FROM {prefix}_zh)
-        WHERE length(p) >= 4 AND NOT regexp_full_match(p, '[0-9]+') AND NOT regexp_matches(p, {q(L.MEANINGLESS_RX)})
+        WHERE length(p) >= 4 AND NOT regexp_full_match(p, '[0-9]+') AND NOT regexp_matches(p, {q("|".join(L.MEANINGLESS_PATTERNS))})
         AND p NOT IN {words(L.FRAGMENT_PHRASES)} AND NOT (regexp_full_match(p, '[a-zA-Z]+') AND length(p) > 10)
         AND p NOT IN (SELECT lower(country_code) FROM countries UNION SELECT lower(country_name_en) FROM countries
           UNION SELECT country_name FROM countries) GROUP BY language, p""",
@@ -518,7 +518,7 @@ def xyz(radius: float) -> str:
 
 
 def _meaningless(col: str) -> str:
-    return f"({col} IN {words(L.FRAGMENT_PHRASES)} OR regexp_matches({col}, {q(L.MEANINGLESS_RX)}))"
+    return f"({col} IN {words(L.FRAGMENT_PHRASES)} OR regexp_matches({col}, {q("|".join(L.MEANINGLESS_PATTERNS))}))"
 
 
 STATS = f"""SELECT source_id, count(*) total_news, count(*) FILTER (WHERE CAST(created_at AS DATE) = last_day) today_news,

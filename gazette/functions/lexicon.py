@@ -59,32 +59,42 @@ ZH_CHUNK_STOPWORDS = """
 
 # --- phrases without meaning (fixed values) --------------------------------
 FRAGMENT_PHRASES = ["归母净", "母净利", "归母利", "母净利润", "同比增", "比增长", "环比增"]
-# Anchored patterns; the first three classes list each distinct character once.
-MEANINGLESS_RX = (
-    "^(?:[归母净利润]+|[同比增长]+|..|第[一二三四五六七八九十]+|[上下左右前后内外]+)$"
-)
+MEANINGLESS_PATTERNS = [
+    "^[母归归母母净净利利润润母净归母归母净归母利润母净利润]+$",
+    "^[同比比增增长长同比增比增长]+$",
+    "^..$",
+    "^第[一二三四五六七八九十]+$",
+    "^[上下左右前后内外]+$",
+]
 
 # --- category keywords, per category code (fixed values) -------------------
 CATEGORY_KEYWORDS = {
-    "tech": "学术|人工智能|芯片|OpenAI|science|科学家|机器人|航天|量子|中科院|aerospace|天文|算力|大模型|academic|科研",
-    "politics": (
-        "政治|politic|diplomacy|Parliament|人大|政协|联合国|决议|UN|election|游行|法律|总理|chancellor|社会|民意|"
-        "society|总统|parade|Senate|议会|议员|党"
-    ),
-    "economy": (
-        "经济|economy|金融|财政|finance|外贸|股票|GDP|物价|上市|市值|CPI|A股|美股|央行|trade|stock|市场|融资|国债|"
-        "debt|通胀|inflation|USD|破产|投资|净利润|供应链|企业|enterprise"
-    ),
-    "military": (
-        "军事|military|武器|war|航母|战机|conflict|战争|核武器|国防部|airstrike|空袭|陆军|海军|轰炸|潜艇|导弹|missile|"
-        "袭击|submarine|空军|海军陆战队|Navy|battleship|军费|征兵|军事基地|军队"
-    ),
-    "sports": (
-        "体育|sports|足球|奥运|Olympic|羽毛球|游泳|排球|世界杯|NBA|乒乓球|篮球|网球|田径|basketball|tennis|World Cup"
-    ),
-    "culture": (
-        "文化|culture|文旅|节日|电视剧|电影|games|游戏|宗教|movie|文学|literature|博物馆|演出|假期|Museum"
-    ),
+    "tech": [
+        "学术", "人工智能", "芯片", "OpenAI", "science", "科学家", "机器人", "航天", "量子", "中科院", "aerospace", "天文", "算力", "大模型",
+        "academic", "科研",
+    ],
+    "politics": [
+        "政治", "politic", "diplomacy", "Parliament", "人大", "政协", "联合国", "决议", "UN", "election", "游行", "法律", "总理",
+        "chancellor", "社会", "民意", "society", "总统", "parade", "Senate", "议会", "议员", "党",
+    ],
+    "economy": [
+        "经济", "economy", "金融", "财政", "finance", "外贸", "股票", "GDP", "物价", "上市", "市值", "CPI", "A股", "美股", "央行",
+        "trade", "stock", "市场", "融资", "国债", "debt", "通胀", "inflation", "USD", "破产", "投资", "净利润", "供应链", "企业",
+        "enterprise",
+    ],
+    "military": [
+        "军事", "military", "武器", "war", "航母", "战机", "conflict", "战争", "核武器", "国防部", "airstrike", "空袭", "陆军", "海军",
+        "轰炸", "潜艇", "导弹", "missile", "袭击", "submarine", "空军", "海军陆战队", "Navy", "battleship", "军费", "征兵", "军事基地",
+        "军队",
+    ],
+    "sports": [
+        "体育", "sports", "足球", "奥运", "Olympic", "羽毛球", "游泳", "排球", "世界杯", "NBA", "乒乓球", "篮球", "网球", "田径",
+        "basketball", "tennis", "World Cup",
+    ],
+    "culture": [
+        "文化", "culture", "文旅", "节日", "电视剧", "电影", "games", "游戏", "宗教", "movie", "文学", "literature", "博物馆", "演出",
+        "假期", "Museum",
+    ],
 }
 
 # --- categories: name, code, colour; id and order follow the list (fixed) --
@@ -188,19 +198,20 @@ API_SOURCE = "NewsAPI"
 TOP_COUNTRIES = "CN US JP GB RU IN DE FR BR CA AU KR IT ES MX ID TR SA ZA EG".split()
 
 # --- address parts that mark an image or iframe as furniture (fixed) --------
-IMAGE_SKIP = (
-    "qrcode|qr-code|detail|icon|logo|avatar|button|share|wechat|weibo|facebook|twitter|svg|gif|advertisement|ad-|"
-    "_ad_|tracking|pixel|spacer|blank|placeholder|loading|loading-icon"
-).split("|")
-PLACEHOLDER_PARTS = (
-    "static.files.bbci.co.uk|news.files.bbci.co.uk|grey-placeholder|placeholder|icon|logo|avatar|1x1|pixel|"
-    "transparent|spacer|blank.gif|empty.gif|.svg"
-).split("|")
-TRACKER_PARTS = (
-    "googletagmanager.com|google-analytics.com|doubleclick.net|googleadservices.com|facebook.com/tr/|"
-    "connect.facebook.net|bat.bing.com|tags.tiqcdn.com|analytics|tracker|pixel|gtm-|gtag|scribe.|heatmap|"
-    "optimizely|hotjar"
-).split("|")
+IMAGE_SKIP = [
+    "qrcode", "qr-code", "detail", "icon", "logo", "avatar", "button", "share", "wechat", "weibo", "facebook",
+    "twitter", "svg", "gif", "advertisement", "ad-", "_ad_", "tracking", "pixel", "spacer", "blank", "placeholder",
+    "loading", "loading-icon",
+]
+PLACEHOLDER_PARTS = [
+    "static.files.bbci.co.uk", "news.files.bbci.co.uk", "grey-placeholder", "placeholder", "icon", "logo", "avatar",
+    "1x1", "pixel", "transparent", "spacer", "blank.gif", "empty.gif", ".svg",
+]
+TRACKER_PARTS = [
+    "googletagmanager.com", "google-analytics.com", "doubleclick.net", "googleadservices.com", "facebook.com/tr/",
+    "connect.facebook.net", "bat.bing.com", "tags.tiqcdn.com", "analytics", "tracker", "pixel", "gtm-", "gtag",
+    "scribe.", "heatmap", "optimizely", "hotjar",
+]
 PAYWALL_SIGNS = ["sign in", "subscribe", "login", "access denied"]
 AD_TEXTS = ["advertisement", "ad feedback", "cnn sans"]
 EDITOR_LINE_ENDS = ["纠错", "编辑：", "责任编辑"]

@@ -232,7 +232,7 @@ def fmt_time(col: Column) -> Column:
 
 
 def is_meaningless(phrase: Column) -> Column:
-    return phrase.isin(L.FRAGMENT_PHRASES) | phrase.rlike(L.MEANINGLESS_RX)
+    return phrase.isin(L.FRAGMENT_PHRASES) | phrase.rlike("|".join(L.MEANINGLESS_PATTERNS))
 
 
 def count_in(text: Column, keyword: Column) -> Column:

@@ -12,7 +12,7 @@ from .dictionary import LITERAL_ENTRIES, best_code, keyword_pairs, literal_group
 
 
 def category_rules() -> list[tuple[str, str]]:
-    return [(code, word) for code, words in L.CATEGORY_KEYWORDS.items() for word in words.split("|")]
+    return [(code, word) for code, words in L.CATEGORY_KEYWORDS.items() for word in words]
 
 
 def _pairs(entries, code: str):
