@@ -346,7 +346,7 @@ part(
 def phrase_parts(prefix: str, news: str) -> None:
     part(
         f"{prefix}_titles",
-        f"SELECT news_id, title, language, created_at FROM {news} WHERE created_at > {EDGE} ORDER BY created_at DESC, news_id DESC LIMIT 500",
+        f"SELECT news_id, title, language, created_at FROM {news} WHERE created_at > {EDGE}",
     )
     part(
         f"{prefix}_words",

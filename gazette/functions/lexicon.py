@@ -19,7 +19,6 @@ LOG_DAYS = 7
 FEED_ITEMS = 20
 PAGE_CAP = 50
 QUERY_TERMS = 5
-TOPIC_TITLES = 500
 TOPIC_COUNT = 10
 TOPIC_ZH_SEATS = 6
 

@@ -1,7 +1,8 @@
-"""Hot topics: phrases of the newest titles, scored, merged and mixed.
+"""Hot topics: phrases of all titles of the window, scored, merged and mixed.
 
-The newest 500 titles are the feature's own limit, so everything after the scan
-is small; the scan itself is a top-k over the window.
+Phrases are counted where they are and stay a distributed table to the end. The
+greedy choice walks down its order in batches of fixed size, each a top-k over
+the table less what earlier choices rule out, until ten phrases are chosen.
 """
 
 from __future__ import annotations
@@ -10,21 +11,23 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import lexicon as L
-from ..functions.text import HAN, bind, evaluate_once, is_meaningless, strings
+from ..functions.text import HAN, bind, evaluate_once, is_meaningless, json_literal, strings
+from ..session import reliable_checkpoint, rows_frame
 from .search import recent_news
 
 PHRASES = "array<struct<phrase:string,length:int>>"
 DATE_RX = "^\\d+[年月日]$"
 LEAST_CHARS = 4
+#: Phrases that one step of the greedy choice looks at.
+BATCH = 1000
 
 
-def topic_titles(news: DataFrame, as_of: Column, most: int = L.TOPIC_TITLES) -> DataFrame:
-    return (
-        recent_news(news, as_of)
-        .select("news_id", F.coalesce("title", F.lit("")).alias("title"), F.coalesce("language", F.lit("zh")).alias("language"), "created_at")
-        .orderBy(F.desc("created_at"), F.desc("news_id"))
-        .limit(most)
+def topic_titles(news: DataFrame, as_of: Column, most: int | None = None) -> DataFrame:
+    """Titles of the window; ``most`` keeps the newest ones only (off unless asked for)."""
+    titles = recent_news(news, as_of).select(
+        "news_id", F.coalesce("title", F.lit("")).alias("title"), F.coalesce("language", F.lit("zh")).alias("language"), "created_at"
     )
+    return titles if most is None else titles.orderBy(F.desc("created_at"), F.desc("news_id")).limit(most)
 
 
 def _ngrams(words: Column, size: int, glue: Column) -> Column:
@@ -165,40 +168,59 @@ def overlaps(left: Column, right: Column) -> Column:
     return F.contains(long, short) | shared
 
 
-def merge_phrases(scored: DataFrame, most: int = L.TOPIC_COUNT) -> DataFrame:
-    """Greedy choice per language: best first, a phrase that overlaps a chosen one is dropped.
+def best_first() -> list[Column]:
+    return [F.desc("score"), F.desc(F.length("phrase")), F.asc("phrase")]
 
-    Only the first ten chosen can be shown, so the fold stops looking once it has
-    them. Its input is the phrases of at most 500 titles.
-    """
-    ranked = scored.groupBy("language").agg(
-        F.sort_array(
-            F.collect_list(
-                F.struct(
-                    (-F.col("score")).alias("by_score"),
-                    (-F.length("phrase")).alias("by_size"),
-                    "phrase",
-                    "doc_freq",
-                )
-            )
-        ).alias("phrases")
-    )
-    shape = "array<struct<by_score:double,by_size:int,phrase:string,doc_freq:bigint>>"
 
-    def choose(chosen: Column, item: Column) -> Column:
-        full = F.size(chosen) >= most
-        clash = F.exists(chosen, lambda c: overlaps(c["phrase"], item["phrase"]))
-        return F.when(full | clash, chosen).otherwise(F.concat(chosen, F.array(item)))
+def _after(score: float, phrase: str) -> Column:
+    """The rows that come later in the order than a phrase of this score."""
+    size = F.length(F.lit(phrase))
+    longer = (F.length("phrase") < size) | ((F.length("phrase") == size) & (F.col("phrase") > phrase))
+    return (F.col("score") < score) | ((F.col("score") == score) & longer)
 
-    merged = F.aggregate(F.col("phrases").cast(shape), F.array().cast(shape), choose)
-    return ranked.select("language", F.posexplode(merged).alias("place", "item")).select(
-        "language",
-        (F.col("place") + 1).cast("bigint").alias("rank"),
-        F.col("item.phrase").alias("phrase"),
-        F.col("item.doc_freq").alias("doc_freq"),
-        (-F.col("item.by_score")).alias("score"),
+
+def _choose(batch: DataFrame, chosen: list[dict], most: int):
+    """Greedy choice over one batch, continuing ``chosen``: the choice so far, the batch's last row and its size."""
+    shape = "array<struct<by_score:double,by_size:int,phrase:string,doc_freq:bigint>>"
+    items = F.sort_array(
+        F.collect_list(F.struct((-F.col("score")).alias("by_score"), (-F.length("phrase")).alias("by_size"), "phrase", "doc_freq"))
     )
 
+    def step(sofar: Column, item: Column) -> Column:
+        full = F.size(sofar) >= most
+        clash = F.exists(sofar, lambda c: overlaps(c["phrase"], item["phrase"]))
+        return F.when(full | clash, sofar).otherwise(F.concat(sofar, F.array(item)))
+
+    start = json_literal(chosen, shape)
+    listed = batch.agg(items.cast(shape).alias("items"))
+    return listed.select(F.aggregate("items", start, step).alias("chosen"), F.try_element_at("items", F.lit(-1)).alias("last"), F.size("items").alias("n")).first()
+
+
+def merge_phrases(scored: DataFrame, most: int = L.TOPIC_COUNT, batch: int = BATCH) -> DataFrame:
+    """Greedy choice per language: best first, a phrase that overlaps a chosen one is dropped.
+
+    The phrases stay distributed. A step takes the next ``batch`` phrases that no
+    choice rules out, by a top-k, and continues the choice with them; usually one
+    step is enough, and no step holds more than a batch.
+    """
+    scored = reliable_checkpoint(scored)
+    rows = []
+    for language in ("zh", "en"):
+        left, chosen = scored.where(F.col("language") == language), []
+        while len(chosen) < most:
+            known = len(chosen)
+            found = _choose(left.orderBy(*best_first()).limit(batch), chosen, most)
+            if not found["n"]:
+                break
+            chosen = [item.asDict() for item in found["chosen"]]
+            left = left.where(_after(-found["last"]["by_score"], found["last"]["phrase"]))
+            for item in chosen[known:]:
+                left = left.where(~overlaps(F.lit(item["phrase"]), F.col("phrase")))
+            if found["n"] < batch:
+                break
+        rows += [(language, place + 1, item["phrase"], item["doc_freq"], -item["by_score"]) for place, item in enumerate(chosen)]
+    return rows_frame(scored.sparkSession, rows, "language string, rank bigint, phrase string, doc_freq bigint, score double")
+
 
 def mix_topics(merged: DataFrame, seats: int = L.TOPIC_ZH_SEATS, most: int = L.TOPIC_COUNT) -> DataFrame:
     """Up to six Chinese topics, then English ones up to ten in all.
