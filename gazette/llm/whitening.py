@@ -23,11 +23,9 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.mllib.common import callMLlibFunc
-from pyspark.mllib.linalg import Matrices
-from pyspark.mllib.linalg.distributed import BlockMatrix, IndexedRowMatrix
-from pyspark.mllib.util import MLUtils
+from pyspark import StorageLevel
+from pyspark.mllib.linalg import DenseMatrix, Matrices
+from pyspark.mllib.linalg.distributed import BlockMatrix
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -58,16 +56,16 @@ def whole(vectors: DataFrame, key: str, vector: str) -> DataFrame:
 
 
 def numbered(rows: DataFrame, label: str) -> DataFrame:
-    """The rows as a stored table with ``part`` and ``place``; :func:`indexed` makes gapless numbers of these."""
+    """The rows as a stored table with ``part`` and ``at``, of which :func:`parts` makes gapless numbers."""
     at = F.monotonically_increasing_id()
     return stored(rows.withColumn("at", at), label).withColumn("part", F.shiftright("at", 33))
 
 
 def parts(rows: DataFrame) -> DataFrame:
-    """For each part its number of rows, and what turns ``at`` into a gapless index."""
+    """What turns ``at`` into a gapless index in each part: as many rows as the stored table has parts."""
     counts = rows.groupBy("part").agg(F.count("*").alias("n"), F.min("at").alias("first"))
     before = F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
-    return counts.select("part", "n", (F.coalesce(before, F.lit(0)) - F.col("first")).alias("shift"))
+    return counts.select("part", (F.coalesce(before, F.lit(0)) - F.col("first")).alias("shift"))
 
 
 def totals(fit: DataFrame) -> tuple[int, list[int]]:
@@ -93,36 +91,50 @@ def matrix(column: pa.Array) -> np.ndarray:
     return flat.reshape(len(column), -1) if len(column) else flat.reshape(0, 0)
 
 
-def centred(rows: DataFrame, n: int, sums: list[int]) -> DataFrame:
-    """vec_id, part, at, ``deviation`` (exact, null beyond 64 bits) and ``centred``, the entries less their mean.
+def blocks(rows: DataFrame, n: int, sums: list[int], label: str) -> DataFrame:
+    """The rows, centred, in stored blocks: block, size, values (bytes of a row-major matrix), vec_ids, deviations.
 
-    With c the mean rounded to a whole number, n * x - S is n * (x - c) - (S - n * c), in which all numbers are small.
+    ``rows`` has vec_id, x, part and at. Their gapless index says which block they belong to. Entries are centred exactly: with c the
+    mean rounded to a whole number, n * x - S is n * (x - c) - (S - n * c), in which all numbers are small. A deviation is the sum of
+    the squares of these, null beyond 64 bits.
     """
     near = [(2 * s + n) // (2 * n) for s in sums]
     rest = [s - n * c for s, c in zip(sums, near)]
+    offsets = parts(rows)
+    indexed = rows.join(F.broadcast(offsets), "part").select("vec_id", "x", (F.col("at") + F.col("shift")).alias("index"))
+    dealt = indexed.withColumn("block", F.expr(f"index div {ROWS}")).repartitionByRange("block")
+
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        table = table.sort_by("index")
+        x = matrix(table["x"].combine_chunks())
+        y = x - np.array(near, np.int64)
+        most = n * int(np.abs(y).max(initial=0)) + n
+        if len(sums) * most * most < 2**63:
+            deviations = np.square(n * y - np.array(rest, np.int64)).sum(axis=1).tolist()
+        else:
+            exact = [sum((n * int(v) - r) ** 2 for v, r in zip(row, rest)) for row in y]
+            deviations = [d if d < 2**63 else None for d in exact]
+        values = y - np.array(rest, np.float64) / n
+        made = [key[0].as_py(), len(y), values.tobytes(), table["vec_id"].to_pylist(), deviations]
+        return pa.table([pa.array([v], kind) for v, kind in zip(made, (pa.int64(), pa.int32(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64())))], names=["block", "size", "values", "vec_ids", "deviations"])
+
+    schema = "block long, size int, values binary, vec_ids array<long>, deviations array<long>"
+    return stored(dealt.groupBy("block").applyInArrow(run, schema), label)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        middle, left = np.array(near, np.int64), np.array(rest, np.float64) / n
-        for batch in batches:
-            x = matrix(batch.column("x"))
-            y = x - middle if len(x) else np.zeros((0, len(sums)), np.int64)
-            most = n * int(np.abs(y).max(initial=0)) + n
-            if len(sums) * most * most < 2**63:
-                deviation = pa.array(np.square(n * y - np.array(rest, np.int64)).sum(axis=1), pa.int64())
-            else:
-                exact = [sum((n * int(v) - r) ** 2 for v, r in zip(row, rest)) for row in y]
-                deviation = pa.array([d if d < 2**63 else None for d in exact], pa.int64())
-            values = pa.array((y - left).ravel())
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(y) + 1) * len(sums), pa.int32()), values)
-            yield pa.RecordBatch.from_arrays([batch.column("vec_id"), batch.column("part"), batch.column("at"), deviation, lists], names=["vec_id", "part", "at", "deviation", "centred"])
 
-    return rows.select("vec_id", "part", "at", "x").mapInArrow(run, "vec_id long, part long, at long, deviation long, centred array<double>")
+def block_matrix(rows: DataFrame, n: int, width: int) -> BlockMatrix:
+    """Blocks (block, size, values) as a distributed matrix of n rows; the blocks count from 0."""
 
+    def cut(row) -> list:
+        values = np.frombuffer(row["values"]).reshape(row["size"], width)
+        return [((row["block"], k), _dense(values[:, k * COLUMNS : (k + 1) * COLUMNS])) for k in range(-(-width // COLUMNS))]
 
-def block_matrix(rows: DataFrame, values: str) -> BlockMatrix:
-    """``index`` and an array column as a block matrix; the index starts at 0 and has no gaps."""
-    vectors = rows.select(F.col("index").cast("long").alias("index"), array_to_vector(values).alias("vector"))
-    return IndexedRowMatrix(MLUtils.convertVectorColumnsFromML(vectors, "vector")).toBlockMatrix(ROWS, COLUMNS)
+    made = BlockMatrix(rows.select("block", "size", "values").rdd.flatMap(cut), ROWS, COLUMNS, n, width)
+    return made.persist(StorageLevel.MEMORY_AND_DISK)
+
+
+def _dense(values: np.ndarray) -> DenseMatrix:
+    return Matrices.dense(*values.shape, values.ravel(order="F"))
 
 
 def times(left: BlockMatrix, right: BlockMatrix, splits: int) -> BlockMatrix:
@@ -131,75 +143,73 @@ def times(left: BlockMatrix, right: BlockMatrix, splits: int) -> BlockMatrix:
     return BlockMatrix(made, left.rowsPerBlock, right.colsPerBlock)
 
 
-def slabs(counts: DataFrame) -> list[tuple[int, int, int]]:
-    """Ranges of parts (first, last) of at most SLAB rows, or one part alone, and the index at which each begins."""
-    out, rows, begins = [], 0, 0
-    for part, n, _ in counts.orderBy("part").collect():  # one row per part of a stored table
-        if not out or rows + n > SLAB:
-            begins += rows
-            out.append([part, part, begins])
-            rows = 0
-        out[-1][1] = part
-        rows += n
-    return [tuple(s) for s in out]
-
-
-def indexed(rows: DataFrame, counts: DataFrame) -> DataFrame:
-    """``rows`` with their gapless ``index``."""
-    return rows.join(F.broadcast(counts.select("part", "shift")), "part").withColumn("index", F.col("at") + F.col("shift"))
-
-
-def scatter(rows: DataFrame, values: str, size: int) -> np.ndarray:
-    """The sum over all rows of the outer product of ``values`` with itself. ``rows`` has part and at, and a stored source."""
-    total, counts = np.zeros((size, size)), parts(rows)
-    for first, last, begins in slabs(counts):
-        slab = indexed(rows.where(F.col("part").between(first, last)), counts).withColumn("index", F.col("index") - begins)
-        blocks = block_matrix(slab, values)
-        splits = max(1, math.ceil(blocks.numRowBlocks / TOGETHER))
-        total += times(blocks.transpose(), blocks, splits).toLocalMatrix().toArray()
+def slabs(rows: DataFrame, n: int) -> Iterator[tuple[DataFrame, int, int]]:
+    """The blocks slab by slab, counted from 0 in each: the blocks, their rows and the number of the first."""
+    step = max(1, SLAB // ROWS)
+    for first in range(0, -(-n // ROWS), step):
+        inside = rows.where(F.col("block").between(first, first + step - 1)).withColumn("block", F.col("block") - first)
+        yield inside, min(n - first * ROWS, step * ROWS), first
+
+
+def scatter(rows: DataFrame, n: int, width: int) -> np.ndarray:
+    """The sum over all rows of the outer product of a row with itself."""
+    total = np.zeros((width, width))
+    for inside, count, _ in slabs(rows, n):
+        made = block_matrix(inside, count, width)
+        total += times(made.transpose(), made, math.ceil(made.numRowBlocks / TOGETHER)).toLocalMatrix().toArray()
     return total
 
 
-def fitted(fit: DataFrame, components: int = COMPONENTS) -> Fit:
-    """Mean, covariance and whitening matrix of a fit list of distinct vectors (x, part, at)."""
+def fitted(fit: DataFrame, components: int = COMPONENTS) -> tuple[Fit, DataFrame | None]:
+    """What a fit list of distinct vectors (vec_id, x, part, at) says, and its centred blocks."""
     n, sums = totals(fit)
     if not n:
-        return Fit(0, [], np.zeros(0), np.zeros((0, 0)))
-    around = centred(fit.withColumn("vec_id", F.lit(None).cast("long")), n, sums)
-    values, vectors = np.linalg.eigh(scatter(around, "centred", len(sums)) / n)
+        return Fit(0, [], np.zeros(0), np.zeros((0, 0))), None
+    around = blocks(fit, n, sums, "whitening-fit-blocks")
+    values, vectors = np.linalg.eigh(scatter(around, n, len(sums)) / n)
     values, vectors = values[::-1], vectors[:, ::-1]
     kept = [k for k in range(min(components, len(sums))) if values[k] > max(0.0, values[0]) * len(sums) * np.finfo(float).eps]
-    return Fit(n, sums, values, vectors[:, kept] / np.sqrt(values[kept]))
+    return Fit(n, sums, values, vectors[:, kept] / np.sqrt(values[kept])), around
 
 
-def projected(rows: DataFrame, values: str, whitening: np.ndarray) -> DataFrame:
-    """index and ``whitened`` (an array) of each row: the product of the rows' block matrix and the whitening matrix."""
-    spark, (size, k) = rows.sparkSession, whitening.shape
-    dense = [((r, c), Matrices.dense(block.shape[0], block.shape[1], block.ravel(order="F"))) for r in range(-(-size // COLUMNS)) for c in range(-(-k // COLUMNS)) for block in [whitening[r * COLUMNS : (r + 1) * COLUMNS, c * COLUMNS : (c + 1) * COLUMNS]]]
-    right = BlockMatrix(spark.sparkContext.parallelize(dense, 1), COLUMNS, COLUMNS, size, k)
-    product = times(block_matrix(rows, values), right, 1)
-    frame = callMLlibFunc("getIndexedRows", product.toIndexedRowMatrix()._java_matrix_wrapper._java_model)
-    return frame.select("index", vector_to_array("vector").alias("whitened"))
+def projected(rows: DataFrame, n: int, whitening: np.ndarray) -> DataFrame:
+    """block, size and values of the product of the blocks and the whitening matrix."""
+    spark, (width, k) = rows.sparkSession, whitening.shape
+    pieces = [((r, 0), _dense(whitening[r * COLUMNS : (r + 1) * COLUMNS])) for r in range(-(-width // COLUMNS))]
+    out = None
+    for inside, count, first in slabs(rows, n):
+        right = BlockMatrix(spark.sparkContext.parallelize(pieces, 1), COLUMNS, k, width, k)
+        product = times(block_matrix(inside, count, width), right, 1)
 
+        def flat(item, first=first) -> tuple:
+            (block, _), values = item
+            return block + first, values.numRows, values.toArray().tobytes()
 
-def all_projected(rows: DataFrame, values: str, whitening: np.ndarray) -> DataFrame:
-    """:func:`projected` slab by slab, with the index over all slabs. ``rows`` has part and at, and a stored source."""
-    counts, out = parts(rows), None
-    for first, last, begins in slabs(counts):
-        slab = indexed(rows.where(F.col("part").between(first, last)), counts).withColumn("index", F.col("index") - begins)
-        made = projected(slab, values, whitening).withColumn("index", F.col("index") + begins)
+        made = spark.createDataFrame(product.blocks.map(flat), "block long, size int, values binary")
         out = made if out is None else out.unionByName(made)
     return out
 
 
-def identity_error(fit: DataFrame, model: Fit) -> float:
+def identity_error(around: DataFrame, model: Fit) -> float:
     """Largest absolute entry of the covariance of the whitened fit list less the identity, from the whitened rows themselves."""
-    around = centred(fit.withColumn("vec_id", F.lit(None).cast("long")), model.n, model.sums)
     k = model.matrix.shape[1]
-    white = numbered(all_projected(around, "centred", model.matrix), "whitening-fit").select("part", "at", "whitened")
-    mean = white.select(*[F.avg(F.get("whitened", F.lit(j))) for j in range(k)]).first()
-    apart = white.withColumn("whitened", F.transform("whitened", lambda v, j: v - F.get(F.array(*[F.lit(float(m)) for m in mean]), j)))
-    return float(np.abs(scatter(apart, "whitened", k) / model.n - np.eye(k)).max())
+    white = stored(projected(around, model.n, model.matrix), "whitening-fit-whitened")
+
+    def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            total = sum((np.frombuffer(v).reshape(-1, k).sum(axis=0) for v in batch.column("values").to_pylist()), np.zeros(k))
+            yield pa.RecordBatch.from_arrays([pa.array(range(k), pa.int32()), pa.array(total)], names=["at", "total"])
+
+    sums = white.select("values").mapInArrow(added, "at int, total double").groupBy("at").agg(F.sum("total").alias("total")).orderBy("at").collect()
+    mean = np.array([r["total"] for r in sums]) / model.n
+
+    def less(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            values = [(np.frombuffer(v).reshape(-1, k) - mean).tobytes() for v in batch.column("values").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("block"), batch.column("size"), pa.array(values, pa.binary())], names=["block", "size", "values"])
+
+    apart = white.mapInArrow(less, "block long, size int, values binary")
+    return float(np.abs(scatter(apart, model.n, k) / model.n - np.eye(k)).max())
 
 
 def whitened(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding", components: int = COMPONENTS) -> DataFrame:
@@ -212,20 +222,31 @@ def whitened(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding",
         return spark.createDataFrame([], schema)
     if len(lengths) > 1:
         rows = numbered(rows.where(F.size("x") == lengths[0]["size"]).select("vec_id", "x"), "whitening-rows-of-one-length")
-    fit = numbered(rows.select("x").distinct(), "whitening-distinct")
-    model = fitted(fit, components)
-    if not model.matrix.shape[1]:
+    fit = numbered(rows.select("x").distinct().withColumn("vec_id", F.lit(None).cast("long")), "whitening-distinct")
+    model, around = fitted(fit, components)
+    k = model.matrix.shape[1]
+    if not k:
         return spark.createDataFrame([], schema)
-    error, explained = identity_error(fit, model), model.values / model.values.sum()
-    around = centred(rows, model.n, model.sums)
-    found = indexed(around.select("vec_id", "part", "at", "deviation"), parts(rows)).join(all_projected(around, "centred", model.matrix), "index")
-    shares = F.array(*[F.lit(float(e)) for e in explained[: model.matrix.shape[1]]])
-    return found.select("vec_id", "deviation", F.posexplode("whitened").alias("at", "whitened")).select(
-        "vec_id",
-        (F.col("at") + 1).alias("component"),
-        F.lit(model.n).cast("long").alias("n"),
-        "deviation",
-        "whitened",
-        F.get(shares, F.col("at")).alias("explained"),
-        F.lit(error).alias("identity_error"),
-    )
+    error, explained = identity_error(around, model), model.values[:k] / model.values.sum()
+    every = blocks(rows, model.n, model.sums, "whitening-blocks")
+    total = every.agg(F.sum("size").cast("long")).first()[0]
+    found = projected(every, total, model.matrix).select("block", F.col("values").alias("white")).join(every.select("block", "vec_ids", "deviations"), "block")
+
+    def rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for white, ids, deviations in zip(*(batch.column(c) for c in ("white", "vec_ids", "deviations"))):
+                values = np.frombuffer(white.as_py())
+                count = len(values) // k
+                each = np.repeat(np.arange(count), k)
+                arrays = [
+                    ids.values.take(pa.array(each)),
+                    pa.array(np.tile(np.arange(1, k + 1), count), pa.int32()),
+                    pa.array(np.full(len(values), model.n), pa.int64()),
+                    deviations.values.take(pa.array(each)),
+                    pa.array(values),
+                    pa.array(np.tile(explained, count)),
+                    pa.array(np.full(len(values), error)),
+                ]
+                yield pa.RecordBatch.from_arrays(arrays, names=["vec_id", "component", "n", "deviation", "whitened", "explained", "identity_error"])
+
+    return found.select("white", "vec_ids", "deviations").mapInArrow(rows_of, schema)
