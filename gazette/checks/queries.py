@@ -564,7 +564,7 @@ def identify_country(s, d):
 
 
 def identify_country_large(s, d):
-    """The same result by the gram join for dictionaries beyond the literal limit."""
+    """The same result by the gram join, for dictionaries that are no dimension table."""
     return tagging.identify_country_large(_news(s, d), C.country_keywords(s)).select("news_id", "primary_country")
 
 

@@ -1,67 +1,133 @@
-"""Keyword dictionaries against texts, without a join of everything with everything.
+"""Keyword dictionaries against texts: one pass over a text, whatever the number of keywords.
 
-Two exact ways, chosen by a checked size:
+The keywords become a trie, written as a regular expression whose alternatives begin with different characters; wide
+branches are halved by the range of that character. At every place of a text it finds the longest keyword that begins there, in a
+few steps that don't depend on how many keywords there are. Shorter keywords that begin at the same place are prefixes
+of the one found, so they are known beforehand and stand in its entry. Entries are looked up by hash in a literal table. There is
+no join, no shuffle, and texts stay where they are.
 
-* up to ``LITERAL_ENTRIES`` keywords travel inside the plan as an array literal,
-  so the match is a map over the texts: no join, no shuffle;
-* beyond that the texts are cut into distinct two-character grams and equi-joined
-  with the keywords on their leading gram; candidates are verified against the
-  text afterwards. Both sides are then shuffled, neither is broadcast.
+A dictionary of this kind is a dimension table: it is brought to the driver to build the trie, and travels with the plan.
+``MOST_CHARS`` guards that; a dictionary beyond it is an error here and has :func:`keyword_pairs`, an equi-join.
 """
 
 from __future__ import annotations
 
-from collections import OrderedDict
+import re
+import zlib
+from collections.abc import Iterable
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import bind, count_in, fold, fold_literal, json_literal
 
-LITERAL_ENTRIES = 5000
+#: Characters of all keywords and codes of a dictionary that travels with the plan.
+MOST_CHARS = 1 << 25
+#: Alternatives that are tried one after another; more are halved.
+BRANCHES = 8
 GRAM_SALTS = 16
+_ENTRIES = "array<array<struct<word:string,entries:array<struct<code:string,keyword:string>>>>>"
 
 
-def small_rows(df: DataFrame, limit: int = LITERAL_ENTRIES):
-    """The rows of a small table, or ``None`` when it exceeds the limit."""
-    rows = df.limit(limit + 1).collect()
-    return rows if len(rows) <= limit else None
+@dataclass(frozen=True)
+class Trie:
+    """A dictionary ready for use: the pattern, and the entries of each word by bucket."""
 
+    pattern: str
+    buckets: Column
+    size: int
 
-def literal_groups(entries, folded: bool = False) -> Column:
-    """``array<struct<code, keywords array<string>>>`` as a literal, codes ascending; repeats count once, nulls are left out."""
-    pairs = {(code, fold_literal(keyword) if folded else keyword) for code, keyword in entries if code is not None and keyword}
-    groups: OrderedDict[str, list[str]] = OrderedDict()
-    for code, keyword in sorted(pairs):
-        groups.setdefault(code, []).append(keyword)
-    nested = [{"code": code, "keywords": kept} for code, kept in groups.items()]
-    return json_literal(nested, "array<struct<code:string,keywords:array<string>>>")
 
+def _branches(children: list[tuple[str, str]]) -> str:
+    """Alternatives that begin with different characters, ascending."""
+    if len(children) <= BRANCHES:
+        return "|".join(pattern for _, pattern in children)
+    middle = len(children) // 2
+    low, high = children[:middle], children[middle:]
+    return f"(?=[\\x{{{ord(low[0][0]):x}}}-\\x{{{ord(low[-1][0]):x}}}])(?:{_branches(low)})|(?:{_branches(high)})"
 
-def best_code(groups: Column, text: Column) -> Column:
+
+def _node(words: list[str], depth: int) -> str:
+    """Pattern of what may follow the common ``depth`` characters of sorted distinct words; the longest word wins."""
+    ends = len(words[0]) == depth
+    rest = words[1:] if ends else words
+    if not rest:
+        return ""
+    if not ends and len(rest) == 1:
+        return re.escape(rest[0][depth:])
+    children: dict[str, list[str]] = {}
+    for word in rest:
+        children.setdefault(word[depth], []).append(word)
+    made = [(first, re.escape(first) + _node(group, depth + 1)) for first, group in sorted(children.items())]
+    return f"(?:{_branches(made)})" + ("?" if ends else "")
+
+
+def trie(entries: Iterable[tuple[str, str]], folded: bool = False) -> Trie:
+    """The trie of (code, keyword) pairs; repeats count once, nulls and empty keywords are left out."""
+    codes: dict[str, set[str]] = {}
+    for code, keyword in entries:
+        if code is not None and keyword and (word := fold_literal(keyword) if folded else keyword):
+            codes.setdefault(word, set()).add(code)
+    words = sorted(codes)
+    pattern = f"(?s)(?=({_node(words, 0)}))" if words else "(?!)()"
+    size = 1 << max(0, len(words) - 1).bit_length()
+    buckets: list[list] = [[] for _ in range(size)]
+    for word in words:
+        found = [word[:n] for n in range(1, len(word) + 1) if word[:n] in codes]
+        rows = [{"code": code, "keyword": prefix} for prefix in found for code in sorted(codes[prefix])]
+        buckets[_bucket(word, size)].append({"word": word, "entries": rows})
+    return Trie(pattern, json_literal(buckets, _ENTRIES), size)
+
+
+def _bucket(word: str, size: int) -> int:
+    return zlib.crc32(word.encode()) % size
+
+
+def entries_in(found: Trie, text: Column) -> Column:
+    """The distinct (code, keyword) entries whose keyword stands in the text."""
+
+    def entries(word: Column) -> Column:
+        bucket = F.get(found.buckets, (F.crc32(word.cast("binary")) % found.size).cast("int"))
+        return F.flatten(F.transform(F.filter(bucket, lambda e: e["word"] == word), lambda e: e["entries"]))
+
+    words = F.array_distinct(F.regexp_extract_all(text, F.lit(found.pattern), F.lit(1)))
+    return F.array_distinct(F.flatten(F.transform(words, entries)))
+
+
+def best_code(found: Trie, text: Column) -> Column:
     """Code with most keyword occurrences, the smaller code on a tie; null without a hit."""
 
     def best(body: Column) -> Column:
-        def scored(group: Column) -> Column:
-            total = F.aggregate(
-                group["keywords"], F.lit(0).cast("bigint"), lambda acc, word: acc + count_in(body, word)
-            )
-            return F.struct((-total).alias("order"), group["code"].alias("code"))
+        def of(counts: Column) -> Column:
+            def scored(code: Column) -> Column:
+                mine = F.filter(counts, lambda c: c["code"] == code)
+                total = F.aggregate(mine, F.lit(0).cast("bigint"), lambda acc, c: acc + c["times"])
+                return F.struct((-total).alias("order"), code.alias("code"))
+
+            codes = F.array_distinct(F.transform(counts, lambda c: c["code"]))
+            return F.array_min(F.transform(codes, scored))["code"]
 
-        hits = F.filter(F.transform(groups, scored), lambda pair: pair["order"] < 0)
-        return F.array_min(hits)["code"]
+        counted = F.transform(entries_in(found, body), lambda e: F.struct(e["code"].alias("code"), count_in(body, e["keyword"]).alias("times")))
+        return bind(counted, of)
 
     return bind(text, best)
 
 
-def matching_codes(groups: Column, text: Column) -> Column:
-    """Every code that has at least one keyword inside the text."""
+def matching_codes(found: Trie, text: Column) -> Column:
+    """Every code that has at least one keyword inside the text, ascending."""
+    return bind(text, lambda body: F.array_sort(F.array_distinct(F.transform(entries_in(found, body), lambda e: e["code"]))))
 
-    def codes(body: Column) -> Column:
-        hits = F.filter(groups, lambda g: F.exists(g["keywords"], lambda word: F.contains(body, word)))
-        return F.transform(hits, lambda g: g["code"])
 
-    return bind(text, codes)
+def pairs_of(entries, code: str) -> list[tuple[str, str]]:
+    """(code, keyword) pairs of a list or of a dimension table, whose size is checked before it is brought here."""
+    if not isinstance(entries, DataFrame):
+        return list(entries)
+    rows = entries.select(F.col(code).alias("code"), "keyword").where(F.col("code").isNotNull() & (F.col("keyword") != "")).distinct()
+    chars = rows.agg(F.coalesce(F.sum(F.length("code") + F.length("keyword")), F.lit(0))).first()[0]
+    if chars > MOST_CHARS:
+        raise ValueError(f"a dictionary of {chars} characters is no dimension table; use keyword_pairs")
+    return [(row["code"], row["keyword"]) for row in rows.collect()]
 
 
 def keyword_pairs(texts: DataFrame, key: str, text: str, entries: DataFrame, folded: bool = False) -> DataFrame:

@@ -2,34 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import lexicon as L
 from ..functions.text import evaluate_once, fold, fold_key, fold_literal, strings
-from ..session import rows_frame
-from .dictionary import LITERAL_ENTRIES, best_code, keyword_pairs, literal_groups, matching_codes, small_rows
+from .dictionary import best_code, keyword_pairs, matching_codes, pairs_of, trie
 
 
 def category_rules() -> list[tuple[str, str]]:
     return [(code, word) for code, words in L.CATEGORY_KEYWORDS.items() for word in words]
 
 
-def _pairs(entries, code: str):
-    """(code, keyword) pairs of a list or of a small table; ``None`` for a large one."""
-    if not isinstance(entries, DataFrame):
-        return list(entries)
-    rows = small_rows(entries.select(code, "keyword"))
-    return None if rows is None else [(row[0], row[1]) for row in rows]
-
-
-def _table_if_large(articles: DataFrame, entries, code: str):
-    """A list beyond the literal limit becomes a table, so that it is joined."""
-    if isinstance(entries, DataFrame) or len(entries) <= LITERAL_ENTRIES:
-        return entries
-    return rows_frame(articles.sparkSession, list(entries), f"{code} string, keyword string")
-
-
 def identify_country(articles: DataFrame, keywords, out: str = "primary_country") -> DataFrame:
     """At most one country per article: the title decides, else the content.
 
@@ -37,18 +21,14 @@ def identify_country(articles: DataFrame, keywords, out: str = "primary_country"
     the smaller code on a tie. ``articles`` needs news_id, title and content;
     ``keywords`` are (code, keyword) pairs or a DataFrame(country_code, keyword).
     """
-    keywords = _table_if_large(articles, keywords, "country_code")
-    pairs = _pairs(keywords, "country_code")
-    if pairs is not None:
-        groups = literal_groups(pairs)
-        title = best_code(groups, F.coalesce("title", F.lit("")))
-        content = best_code(groups, F.coalesce("content", F.lit("")))
-        return evaluate_once(articles, {out: F.coalesce(title, content)})
-    return identify_country_large(articles, keywords, out)
+    found = trie(pairs_of(keywords, "country_code"))
+    title = best_code(found, F.coalesce("title", F.lit("")))
+    content = best_code(found, F.coalesce("content", F.lit("")))
+    return evaluate_once(articles, {out: F.coalesce(title, content)})
 
 
 def identify_country_large(articles: DataFrame, keywords: DataFrame, out: str = "primary_country") -> DataFrame:
-    """The same for a dictionary beyond the literal limit."""
+    """The same for a dictionary that is no dimension table, by joins."""
     entries = keywords.select(F.col("country_code").alias("code"), "keyword")
     by_field = None
     for rank, field in enumerate(("title", "content")):
@@ -86,23 +66,18 @@ def category_codes(articles: DataFrame, rules=None, out: str = "category_codes")
     if rules is None:
         rules = category_rules()
     forced = forced_categories(F.col("source_id"), F.col("hint_category"))
-    rules = _table_if_large(articles, rules, "category_code")
-    pairs = _pairs(rules, "category_code")
-    if pairs is None:
-        return _category_codes_large(articles, rules, forced, out)
-    groups = literal_groups(pairs, folded=True)
-    matched = matching_codes(groups, category_text(F.col("title"), F.col("content")))
+    found = trie(pairs_of(rules, "category_code"), folded=True)
+    matched = matching_codes(found, category_text(F.col("title"), F.col("content")))
     return _with_fallback(evaluate_once(articles, {out: F.array_distinct(F.concat(matched, forced))}), out)
 
 
-def _category_codes_large(articles: DataFrame, rules: DataFrame, forced: Column, out: str) -> DataFrame:
-    texts = articles.select(
-        "news_id",
-        F.concat(F.col("title"), F.lit(" "), F.col("content")).alias("text"),
-    )
+def category_codes_large(articles: DataFrame, rules: DataFrame, out: str = "category_codes") -> DataFrame:
+    """The same for a dictionary that is no dimension table, by joins."""
+    texts = articles.select("news_id", F.concat(F.col("title"), F.lit(" "), F.col("content")).alias("text"))
     entries = rules.select(F.col("category_code").alias("code"), "keyword")
-    found = keyword_pairs(texts, "news_id", "text", entries, folded=True)
-    codes = found.groupBy("news_id").agg(F.sort_array(F.collect_set("code")).alias("found"))
+    pairs = keyword_pairs(texts, "news_id", "text", entries, folded=True)
+    codes = pairs.groupBy("news_id").agg(F.sort_array(F.collect_set("code")).alias("found"))
+    forced = forced_categories(F.col("source_id"), F.col("hint_category"))
     both = F.array_distinct(F.concat(F.coalesce("found", strings([])), forced))
     return _with_fallback(articles.join(codes, "news_id", "left").withColumn(out, both).drop("found"), out)
 
@@ -134,9 +109,3 @@ def news_countries(articles: DataFrame) -> DataFrame:
         F.lit(True).alias("is_primary"),
         F.lit(1).alias("mention_count"),
     )
-
-
-def first_per_key(df: DataFrame, keys: list[str], order: list) -> DataFrame:
-    """First row per key; only for keys that name one article or one page."""
-    spec = Window.partitionBy(*keys).orderBy(*order)
-    return df.withColumn("_rn", F.row_number().over(spec)).where("_rn = 1").drop("_rn")

@@ -1,5 +1,6 @@
 """Tagging, gating, index and counters on small tables."""
 
+import random
 from datetime import datetime, timedelta
 
 import pytest
@@ -49,13 +50,43 @@ def test_gram_join_equals_brute_force(spark):
     assert got == want
 
 
-def test_dictionary_beyond_the_limit_takes_the_join(spark, monkeypatch):
-    monkeypatch.setattr(tagging, "small_rows", lambda df: None)
+def test_a_dictionary_that_is_no_dimension_is_refused(spark, monkeypatch):
+    monkeypatch.setattr(dictionary, "MOST_CHARS", 20)
     table = spark.createDataFrame(WORDS, "country_code string, keyword string")
-    got = tagging.identify_country(articles(spark, COUNTRY_CASES), table)
+    with pytest.raises(ValueError, match="keyword_pairs"):
+        tagging.identify_country(articles(spark, COUNTRY_CASES), table)
+    got = tagging.identify_country_large(articles(spark, COUNTRY_CASES), table)
     assert {r.news_id: r.primary_country for r in got.collect()} == COUNTRY_WANT
-    plan = got._jdf.queryExecution().optimizedPlan().toString()
-    assert "Join" in plan
+
+
+def test_trie_of_twenty_thousand_entries(spark):
+    """One pass finds exactly what looking for every keyword finds, prefixes, overlaps and signs of patterns among them."""
+    random.seed(8)
+    letters = "abcdeABC .*+?()[]{}|^$\\-é中国日本ß𝄞\n'\""
+    words = {"".join(random.choice(letters) for _ in range(random.randint(1, 9))) for _ in range(24_000)} - {""}
+    pairs = [(f"C{random.randint(0, 300)}", w) for w in sorted(words)[:20_000]] + [("C1", "aa"), ("C2", "aa"), ("C3", ""), (None, "b")]
+    texts = [(i, "".join(random.choice(letters) for _ in range(random.randint(0, 60)))) for i in range(60)] + [(60, None), (61, ""), (62, "aaaa")]
+    df = spark.createDataFrame(texts, "news_id long, body string")
+    found = dictionary.trie(pairs)
+    plan = df.select("news_id", dictionary.entries_in(found, F.col("body")).alias("e"), dictionary.best_code(found, F.col("body")).alias("best"))
+    got = {r["news_id"]: r for r in plan.collect()}
+    for i, text in texts:
+        want = {(c, w) for c, w in pairs if c and w and w in (text or "")}
+        assert {(e["code"], e["keyword"]) for e in got[i]["e"] or []} == want
+        totals = {}
+        for c, w in want:
+            totals[c] = totals.get(c, 0) + text.count(w)
+        assert got[i]["best"] == (min(totals, key=lambda c: (-totals[c], c)) if totals else None)
+
+
+def test_trie_steps_do_not_grow_with_the_keywords():
+    """What is tried at one place of a text: alternatives in a row are few however wide the dictionary is."""
+    many = dictionary.trie([("X", chr(0x4E00 + i) + "x") for i in range(20_000)])
+    level, deepest, run = 0, 0, 0
+    for c in many.pattern:
+        level += (c == "(") - (c == ")")
+        deepest = max(deepest, level)
+    assert deepest < 2 * 20 and max(len(b.split("|")) for b in many.pattern.replace("(", ")").split(")")) <= dictionary.BRANCHES + 1
 
 
 def _coded(spark, rows_, rules=None):
@@ -89,12 +120,13 @@ def test_categories(spark):
     }
 
 
-def test_categories_from_a_large_table(spark, monkeypatch):
+def test_categories_from_a_table(spark):
     table = spark.createDataFrame(tagging.category_rules(), "category_code string, keyword string")
     rows_ = [(1, "x", "SCIENCE war", 2, None), (2, "x", "y", 18, None), (3, "x", "y", 2, None)]
-    small = _coded(spark, rows_, table)
-    monkeypatch.setattr(tagging, "small_rows", lambda df: None)
-    assert _coded(spark, rows_, table) == small == {1: ["military", "tech"], 2: ["tech"], 3: ["else"]}
+    assert _coded(spark, rows_, table) == {1: ["military", "tech"], 2: ["tech"], 3: ["else"]}
+    df = spark.createDataFrame(rows_, "news_id long, title string, content string, source_id int, hint_category string")
+    by_join = tagging.category_codes_large(df, table).collect()
+    assert {r.news_id: sorted(r.category_codes) for r in by_join} == {1: ["military", "tech"], 2: ["tech"], 3: ["else"]}
 
 
 def _gate(spark, rows_, stored=None):
