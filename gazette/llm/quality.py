@@ -13,9 +13,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gazette.functions.text import evaluate_once
-from gazette.llm.common import n_words, stored
+from gazette.llm.common import stored
 
 WORD = r"[^\x20\x09-\x0D]+"
+GAP = r"[\x20\x09-\x0D]+"
 SYMBOLS = r"[#*$%&|<>]"
 #: A document fails the base rules with fewer words, or with a larger share (in percent) of words in repeated windows.
 LEAST_WORDS, MOST_REPEATED, WINDOW = 20, 30, 8
@@ -35,7 +36,12 @@ def count(text: Column, pattern: str) -> Column:
 
 def words(text: Column) -> Column:
     """The words of a text (null: none)."""
-    return F.coalesce(F.regexp_extract_all(text, F.lit(WORD), F.lit(0)), F.array().cast("array<string>"))
+    return F.coalesce(F.array_remove(F.split(text, GAP), ""), F.array().cast("array<string>"))
+
+
+def letters(text: Column) -> Column:
+    """Number of letters (null: 0): what is left when all runs of other characters are cut out."""
+    return F.coalesce(F.char_length(F.array_join(F.split(text, r"\P{L}+"), "")), F.lit(0)).cast("long")
 
 
 def bound(value: Column, use) -> Column:
@@ -46,9 +52,12 @@ def bound(value: Column, use) -> Column:
 def repeated_words(found: Column, window: int = WINDOW) -> Column:
     """Words that lie in a window of ``window`` words which occurs more than once in the text.
 
-    Windows are compared by 64-bit hashes. Texts without a repeat are told by the number of distinct hashes; only the
-    others sort theirs, and the covered words are summed over the sorted places.
+    Runs of words are compared by 64-bit hashes, each made of the hashes of its two halves, so a word is read once or twice however
+    long the window is. A window that occurs again repeats ``window / 2 + 1`` half windows; texts with fewer repeated half windows than
+    that have none and end there. Only the others sort the hashes of their windows, and the covered words are summed over
+    the sorted places.
     """
+    half = window // 2
 
     def covered(hashes: Column) -> Column:
         def places(pairs: Column) -> Column:
@@ -64,9 +73,16 @@ def repeated_words(found: Column, window: int = WINDOW) -> Column:
             lambda acc: acc["total"],
         )
 
-    hashes = F.transform(F.sequence(F.lit(1), F.size(found) - window + 1), lambda i: F.xxhash64(F.slice(found, i, window)))
-    several = bound(hashes, lambda h: F.when(F.size(F.array_distinct(h)) < F.size(h), covered(h)).otherwise(F.lit(0).cast("long")))
-    return F.when(F.size(found) > window, several).otherwise(F.lit(0).cast("long"))
+    def joined(hashes: Column, apart: int) -> Column:
+        return F.transform(F.sequence(F.lit(0), F.size(hashes) - apart - 1), lambda i: F.xxhash64(F.get(hashes, i), F.get(hashes, i + apart)))
+
+    def halves(hashes: Column, size: int) -> Column:
+        """From hashes of runs of ``size`` words to those of half a window."""
+        return hashes if size >= half else halves(bound(hashes, lambda h: joined(h, size)), 2 * size)
+
+    none = F.lit(0).cast("long")
+    several = lambda h: F.when(F.size(h) - F.size(F.array_distinct(h)) > half, bound(joined(h, half), covered)).otherwise(none)
+    return F.when(F.size(found) > window, bound(halves(joined(found, 1), 2), several)).otherwise(none)
 
 
 def repeated_lines(text: Column) -> Column:
@@ -75,8 +91,8 @@ def repeated_lines(text: Column) -> Column:
     return bound(lines, lambda found: F.size(found) - F.size(F.array_distinct(found))).cast("long")
 
 
-def base(documents: DataFrame, text: str = "text") -> DataFrame:
-    """All columns, and n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words and base_failed.
+def base(documents: DataFrame, text: str = "text", asked: list[Rule] | None = None) -> DataFrame:
+    """All columns, and n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words and base_failed; with ``asked``, ``kept`` as well.
 
     Null and empty texts count 0 everywhere and fail. Raises if the input has a column of one of these names.
     """
@@ -85,45 +101,66 @@ def base(documents: DataFrame, text: str = "text") -> DataFrame:
         raise ValueError(f"the input already has {sorted(taken)}")
     value = F.coalesce(F.col(text), F.lit(""))
     spaces = sum((F.octet_length(value) - F.octet_length(F.replace(value, F.lit(c))) for c in "\t\n\x0b\x0c\r"), F.octet_length(value) - F.octet_length(F.replace(value, F.lit(" "))))
-    split = evaluate_once(documents, {"__words": words(F.col(text))})
+    split, found = with_words(documents, text)
     counted = evaluate_once(
         split,
         {
-            "n_words": F.size("__words").cast("long"),
+            "n_words": F.size(found).cast("long"),
             "word_chars": (F.char_length(value) - spaces).cast("long"),
             "n_symbols": count(value, SYMBOLS),
             "n_dup_lines": repeated_lines(F.col(text)),
-            "n_repeat_words": repeated_words(F.col("__words")),
+            "n_repeat_words": repeated_words(F.col(found)),
         },
-    ).drop("__words")
+    )
     failed = (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words"))
-    return counted.withColumn("base_failed", failed)
+    counted = counted.withColumn("base_failed", failed)
+    if asked is not None:
+        chain = verdict([in_words(rule, text, F.col(found)) for rule in asked])
+        counted = counted.withColumn("kept", F.when(F.col("base_failed"), False).otherwise(chain.isNull()))
+    return counted.drop(found)
+
 
+def in_words(rule: Rule, text: str, found: Column) -> Rule:
+    """The rule of the same name over words that are at hand; a rule of another origin stays as it is."""
+    return next((r for r in base_rules(text, found) + rules(text, found) if r.name == rule.name), rule)
 
-def rules(text: str = "text") -> list[Rule]:
-    """Further rules. Fixed thresholds, chosen on the labelled documents so that good ones pass."""
+
+def rules(text: str = "text", found: Column | None = None) -> list[Rule]:
+    """Further rules. Fixed thresholds, chosen on the labelled documents so that good ones pass.
+
+    ``found`` are the words of the text where they are at hand.
+    """
     t = F.col(text)
-    total = n_words(t)
-    runs = bound(words(t), lambda found: F.size(F.filter(F.transform(found, lambda w, i: w == F.get(found, i - 1)), lambda same: same)))
+    found = words(t) if found is None else found
+    total = F.size(found)
+    runs = bound(found, lambda w: F.size(F.filter(F.transform(w, lambda word, i: word == F.get(w, i - 1)), lambda same: same)))
     return [
         Rule("symbols", 10 * count(t, SYMBOLS) > total),
         Rule("shouts", 10 * count(t, "!!") > total),
-        Rule("capitals", 2 * count(t, r"\p{Lu}") > count(t, r"\p{L}")),
-        Rule("few_letters", 2 * count(t, r"\p{L}") < F.char_length(t)),
+        Rule("capitals", 2 * count(t, r"\p{Lu}") > letters(t)),
+        Rule("few_letters", 2 * letters(t) < F.char_length(t)),
         Rule("word_lengths", (F.char_length(t) > 20 * total) | (5 * F.char_length(t) < 12 * total)),
         Rule("word_runs", 5 * runs > total),
     ]
 
 
-def base_rules(text: str = "text") -> list[Rule]:
+def base_rules(text: str = "text", found: Column | None = None) -> list[Rule]:
     """The base rules in the form of the cascade."""
-    found = words(F.col(text))
+    found = words(F.col(text)) if found is None else found
     return [
-        Rule("few_words", n_words(F.col(text)) < LEAST_WORDS),
+        Rule("few_words", F.size(found) < LEAST_WORDS),
         Rule("repeats", bound(found, lambda w: 100 * repeated_words(w) > MOST_REPEATED * F.size(w))),
     ]
 
 
+def with_words(documents: DataFrame, text: str) -> tuple[DataFrame, str]:
+    """The words of each text as a column of a name that is free, made once for all rules, and the name."""
+    name = "__words"
+    while name in documents.columns:
+        name += "_"
+    return evaluate_once(documents, {name: words(F.col(text))}), name
+
+
 def order(documents: DataFrame, asked: list[Rule], sample: int = 2000, seed: int = 7) -> list[Rule]:
     """The rules by rejections per second on a random sample of about ``sample`` rows, highest first.
 
@@ -158,12 +195,12 @@ def verdict(asked: list[Rule]) -> Column:
 
 def judged(documents: DataFrame, text: str = "text", asked: list[Rule] | None = None) -> DataFrame:
     """:func:`base` and ``kept``: false if the base rules fail, else whether the cascade lets the document pass."""
-    asked = order(documents.select(text), rules(text)) if asked is None else asked
-    counted = base(documents, text)
-    return counted.withColumn("kept", F.when(F.col("base_failed"), False).otherwise(verdict(asked).isNull()))
+    return base(documents, text, order(documents.select(text), rules(text)) if asked is None else asked)
 
 
 def filtered(documents: DataFrame, text: str = "text") -> DataFrame:
     """The documents that pass base rules and cascade; columns and rows stay as they are."""
     asked = order(documents.select(text), base_rules(text) + rules(text))
-    return documents.where(verdict([Rule("no_text", F.col(text).isNull()), *asked]).isNull())
+    split, found = with_words(documents, text)
+    chain = verdict([Rule("no_text", F.col(text).isNull()), *(in_words(rule, text, F.col(found)) for rule in asked)])
+    return split.where(chain.isNull()).drop(found)

@@ -23,6 +23,8 @@ from gazette.llm.common import checkpointed, file_system, slices
 MAGIC = b"\x1f\x8b\x08"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 RECORD = "page_id long, record_type string, refers_to long, url string, payload_bytes long, payload_digest string, payload binary, path string, position long"
+#: Reading tasks for each core, at most; with fewer ranges a task reads one.
+TASKS_PER_CORE = 16
 _CONTROL = re.compile(r"[\x00-\x20\x7f]")
 
 
@@ -98,7 +100,7 @@ class Source:
     """Bytes of a file from any place on, read ahead in pieces."""
 
     def __init__(self, file, size: int, start: int, piece: int):
-        self.file, self.size, self.piece, self.start, self.data = file, size, piece, start, b""
+        self.file, self.size, self.piece, self.start, self.data = file, size, piece, start, bytearray()
 
     def more(self) -> bool:
         at = self.start + len(self.data)
@@ -107,7 +109,7 @@ class Source:
         return bool(got)
 
     def drop(self, position: int) -> None:
-        self.data = self.data[position - self.start :]
+        del self.data[: position - self.start]
         self.start = position
 
     def find(self, position: int, end: int) -> int:
@@ -208,7 +210,9 @@ def read(spark: SparkSession, files: DataFrame, split: int = 32 << 20, payload:
                         at = source.find(at, end) if at < end else -1
                 yield pa.RecordBatch.from_pylist(rows, schema)
 
-    return ranges.repartition(F.col("path"), F.col("start")).mapInArrow(run, RECORD)
+    # a number of its own: a range is a row of some bytes, and by their size all ranges would be dealt to one task
+    tasks = max(1, min(ranges.count(), TASKS_PER_CORE * spark.sparkContext.defaultParallelism))
+    return ranges.repartition(tasks, F.col("path"), F.col("start")).mapInArrow(run, RECORD)
 
 
 def round_trip(pages: DataFrame, folder: str, split: int = 32 << 20) -> DataFrame:

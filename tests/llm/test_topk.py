@@ -48,3 +48,21 @@ def test_few_and_none(spark):
     assert {tuple(r) for r in topk.top_k(df, df).collect()} == {(0, 1, 1, 131072), (1, 1, 0, 131072)}
     assert topk.top_k(df.limit(0), df).collect() == [] == topk.top_k(df, df.limit(0)).collect()
     assert topk.top_k(df.limit(1), df.limit(1)).collect() == []
+
+
+def test_large_components(spark):
+    """Exact wherever a score fits into 64 bits."""
+    random.seed(4)
+    for size in (1e3, 3e5, 1e9, 1e12):
+        rows = [(i, [random.uniform(-size, size) for _ in range(4)]) for i in range(60)] + [(100, [size, 1.0, 0.0, 0.0]), (101, [size, 1.0, 0.0, 0.0])]
+        df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+        got = {tuple(r) for r in topk.top_k(df, df.where("vec_id % 5 = 0"), block=8, shard=2, pack=9).collect()}
+        want = brute(rows, {k for k, _ in rows if k % 5 == 0}, 5)
+        assert len(got) == len(want)
+        if size < 1e9:  # beyond, scores have no room in 64 bits and tie
+            assert got == want
+    df = spark.createDataFrame([(0, [300000.0, 1.0]), (1, [900000.0, 0.0]), (2, [800000.0, 5.0])], "vec_id long, embedding array<double>")
+    assert [r["vec_id"] for r in topk.top_k(df, df.where("vec_id = 0")).orderBy("rank").collect()] == [1, 2]
+    wide = [(np.arange(4), np.array([[10**15, 7], [10**15, 8], [-(10**15), 9], [10**15, 8]]))]
+    found, score, _ = topk.best_of(np.array([9]), np.array([[10**12, 1]]), wide, 3)
+    assert found.tolist() == [[1, 3, 0]] and set(score[0].tolist()) == {2**63 - 1}

@@ -3,6 +3,8 @@
 import base64
 import hashlib
 
+from pyspark.sql import functions as F
+
 from gazette.llm import warc
 from gazette.llm.common import shared_path
 
@@ -46,3 +48,10 @@ def test_least_and_empty(spark):
 def test_no_record():
     assert warc.parsed(b"WARC/1.0\r\nno") is None
     assert warc.parsed(b"WARC/1.0\r\nWARC-Type: response\r\nContent-Length: 5\r\n\r\nabc\r\n\r\n") is None
+
+
+def test_ranges_are_read_by_many_tasks(spark, tmp_path):
+    pages = spark.range(300).select(F.col("id").alias("page_id"), F.lit("u").alias("url"), F.sha2(F.col("id").cast("string"), 512).alias("html")).repartition(3)
+    files = warc.write(pages, str(tmp_path))
+    found = warc.read(spark, files, split=2000)
+    assert found.rdd.getNumPartitions() > 8 and found.count() == 300
