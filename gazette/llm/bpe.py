@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gazette.llm.common import slices
+from gazette.llm.common import alone, slices
 
 #: A place of a path is its last token (-1: none) above its node of the trie.
 NODE_BITS = 24
@@ -289,8 +289,14 @@ def _added(df: DataFrame, name: str, kind: T.DataType) -> T.StructType:
     return T.StructType([*df.schema.fields, T.StructField(name, kind)])
 
 
+def _forget() -> None:
+    _words.cache_clear()
+    _bytes_of.cache_clear()
+
+
 def encoded(batches: Iterator[pa.RecordBatch], ranks_path: str, pattern: str, text: str, ids: str) -> Iterator[pa.RecordBatch]:
     """The batches with a column of ids."""
+    alone("bpe", _forget)
     words, split = _words(ranks_path, pattern)
     for whole in batches:
         for batch in slices(whole, text):

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import re
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 import numpy as np
 import pyarrow as pa
@@ -16,7 +20,8 @@ from pyspark.sql import functions as F
 
 #: ASCII white space: space, tab, line feed, vertical tab, form feed, carriage return.
 WHITE = " \t\n\x0b\x0c\r"
-_STORED: list[str] = []
+_KEPT: ContextVar[list[str] | None] = ContextVar("kept", default=None)
+_TABLES: dict[str, Callable[[], None]] = {}
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -43,18 +48,45 @@ def file_system(path: str):
     return fs.FileSystem.from_uri(path if re.match(r"[a-z0-9]+:", path) else "file://" + path)
 
 
-def drop_stored() -> None:
-    """Delete the tables that :func:`stored` has made so far. Only for callers who have no use for frames made from them."""
-    while _STORED:
-        store, inside = file_system(_STORED.pop())
+@contextmanager
+def keeping(paths: list[str]):
+    """Note in ``paths`` the tables that :func:`stored` makes within, so that the caller can drop them."""
+    before = _KEPT.set(paths)
+    try:
+        yield
+    finally:
+        _KEPT.reset(before)
+
+
+def drop(paths: list[str]) -> None:
+    """Delete these tables and forget them. Only for callers who have no use for frames made from them."""
+    while paths:
+        store, inside = file_system(paths.pop())
         if store.get_file_info(inside).type == fs.FileType.Directory:
             store.delete_dir(inside)
 
 
+def alone(name: str, forget: Callable[[], None] | None = None) -> None:
+    """To be called where a task of an operator begins. Tables that other operators left in this Python worker go, and
+    their memory goes back to the system; ``forget`` drops this operator's own when another one's task comes."""
+    others = [other for other in _TABLES if other != name]
+    for other in others:
+        _TABLES.pop(other)()
+    if forget is not None:
+        _TABLES[name] = forget
+    if others:
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+        if trim is not None:
+            trim(0)
+
+
 def stored(df: DataFrame, label: str) -> DataFrame:
     """The rows as a table in the shared folder: lost executors cost no earlier stage, and readers don't run the plan again."""
     path = shared_path(df.sparkSession, label)
-    _STORED.append(path)
+    if (kept := _KEPT.get()) is not None:
+        kept.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

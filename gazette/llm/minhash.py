@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gazette.llm.common import mix, slices, stored, text_bytes
+from gazette.llm.common import alone, mix, slices, stored, text_bytes
 from gazette.llm.graph import components
 
 COMPONENTS, CHUNKS, ERRORS = 48, 8, 2
@@ -115,6 +115,7 @@ def sketched(documents: DataFrame, size: int) -> DataFrame:
     """doc_id, n_shingles, node and signature of each document; node and signature are null for empty sets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        alone("minhash")
         for whole in batches:
             for batch in slices(whole, "text", 1 << 20):
                 sets = shingle_sets(*text_bytes(batch.column(1)), size)
@@ -132,6 +133,7 @@ def keys(nodes: DataFrame) -> DataFrame:
     choices = [(c, [c * CHUNK + i for i in range(CHUNK) if i not in out]) for c in range(CHUNKS) for out in combinations(range(CHUNK), ERRORS)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        alone("minhash")
         for batch in batches:
             for start in range(0, batch.num_rows, 2000):
                 part = batch.slice(start, 2000)
@@ -161,6 +163,7 @@ def confirmed(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> Da
     right = texts.select(F.col("node").alias("b"), F.col("text").alias("text_b"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        alone("minhash")
         for whole in batches:
             for batch in slices(whole, "text_b"):
                 known: dict[int, np.ndarray] = {}
@@ -182,6 +185,7 @@ def within_distance(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFra
     """The pairs whose signatures are within the distance and whose set sizes allow the similarity."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        alone("minhash")
         for batch in batches:
             if batch.num_rows:
                 x, y = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint16).reshape(-1, COMPONENTS) for i in (2, 3))
@@ -201,6 +205,7 @@ def linked(nodes: DataFrame, documents: DataFrame, size: int, percent: int) -> D
     chosen = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(members) if few else members, "doc_id", "left_semi")
 
     def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        alone("minhash")
         for whole in batches:
             for batch in slices(whole, "text", 1 << 20):
                 sets = shingle_sets(*text_bytes(batch.column(1)), size)
@@ -305,7 +310,22 @@ def near_duplicates(documents: DataFrame, size: int = 5, percent: int = 80) -> D
 
 
 def kept_documents(documents: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
-    """The documents that are the first of their component; the columns stay. Needs distinct doc_ids."""
-    others = stored(near_duplicates(documents, size, percent).where("not kept").select("doc_id").distinct(), "dropped")
-    few = others.count() <= BROADCAST_IDS
-    return documents.join(F.broadcast(others) if few else others, "doc_id", "left_anti")
+    """One row of each component: the one with the smallest doc_id (null ids last), the earliest among equal ids.
+
+    Rows are numbered and stored with their numbers first, and the numbers take the place of ids in the comparison; so rows
+    that repeat an id, with the same text or another, and rows without one are each decided on their own text. Rows
+    without words are linked with nothing and stay. Columns stay as they are, whatever their names.
+    """
+    names = [f"c{i}" for i in range(len(documents.columns))]
+    plain = documents.toDF(*names)
+    doc_id, text = (names[documents.columns.index(c)] for c in ("doc_id", "text"))
+    rows = stored(plain.withColumn("row", F.monotonically_increasing_id()), "numbered")
+    found = near_duplicates(rows.select(F.col("row").alias("doc_id"), F.col(text).alias("text")), size, percent)
+    found = stored(found.select(F.col("doc_id").alias("row"), F.col("component_id").alias("component")), "components")
+    several = found.where("row <> component").select("component").distinct()
+    members = found.join(several, "component").join(rows.select("row", F.col(doc_id).alias("id")), "row")
+    first = members.groupBy("component").agg(F.min(F.struct(F.col("id").isNull().alias("nameless"), "id", "row"))["row"].alias("first"))
+    dropped = stored(members.select("row", "component").join(first, "component").where("row <> first").select("row"), "dropped")
+    few = dropped.count() <= BROADCAST_IDS
+    kept = rows.join(F.broadcast(dropped) if few else dropped, "row", "left_anti")
+    return kept.select(*names).toDF(*documents.columns)

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gazette.llm.common import mix, slices, stored, text_bytes
+from gazette.llm.common import alone, mix, slices, stored, text_bytes
 
 GRAM = 16
 #: Bytes of text for each group of anchors, bytes of a shard, and windows of a text handled at once.
@@ -109,6 +109,7 @@ def packed_units(documents: DataFrame, length: int, groups: int) -> DataFrame:
     """(bucket, units): the units of each task's texts, packed by bucket of the anchor."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        alone("suffix")
         held: list[dict[str, np.ndarray]] = []
         total = 0
 
@@ -398,6 +399,7 @@ def segments(texts: DataFrame, asks: DataFrame, length: int, groups: int) -> Dat
     """(bucket, doc_id, at, count, segment): the bytes of the units to compare."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        alone("suffix")
         for whole in batches:
             for batch in slices(whole, "text"):
                 buckets, docs, at, count, cut = [], [], [], [], []
@@ -425,6 +427,12 @@ def removal(documents: DataFrame, length: int = 50, carry: tuple[str, ...] = ())
     as to what is smaller, and lose the same bytes if their texts are the same (else each its own). A null id is neither
     smaller nor larger than another: such rows stay whole. An empty table gives no rows; other columns aren't read.
     """
+    made = _removal(documents, length, carry)
+    return made.withColumnsRenamed({f"carried_{c}": c for c in carry})
+
+
+def _removal(documents: DataFrame, length: int, carry: tuple[str, ...]) -> DataFrame:
+    """:func:`removal` with ``carried_`` before the names of the carried columns, so that they clash with none it makes."""
     spark = documents.sparkSession
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), *(F.col(c).alias(f"carried_{c}") for c in carry))
     texts = rows.where("doc_id is not null")
@@ -461,7 +469,7 @@ def removal(documents: DataFrame, length: int = 50, carry: tuple[str, ...] = ())
     known = texts.join(runs.hint("shuffle_hash"), "doc_id", "left").select("text", "runs", "doc_id", *others)
     schema = T.StructType([*known.schema.fields[2:], *T.StructType.fromDDL("n_bytes long, n_removed long, n_spans long, kept binary").fields])
     nameless = rows.where("doc_id is null").select("doc_id", *others, F.octet_length("text").cast("long").alias("n_bytes"), F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), F.col("text").cast("binary").alias("kept"))
-    return known.mapInArrow(cut, schema).unionByName(nameless).withColumnsRenamed({f"carried_{c}": c for c in carry})
+    return known.mapInArrow(cut, schema).unionByName(nameless)
 
 
 def cleaned(documents: DataFrame, length: int = 50) -> DataFrame:
@@ -471,7 +479,8 @@ def cleaned(documents: DataFrame, length: int = 50) -> DataFrame:
     follows the text, if there. Other columns stay.
     """
     others = tuple(c for c in documents.columns if c not in ("doc_id", "text"))
-    rest = removal(documents, length, others)
+    carried = {f"carried_{c}": c for c in others}
+    rest = _removal(documents, length, others)
 
     def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -480,9 +489,9 @@ def cleaned(documents: DataFrame, length: int = 50) -> DataFrame:
                 names = [n for n in batch.schema.names if n != "kept"]
                 yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(n)) for n in names), pa.array(made, pa.string())], names=[*names, "text"])
 
-    wanted = rest.select("doc_id", *others, "n_removed", "kept")
+    wanted = rest.select("doc_id", *carried, "n_removed", "kept")
     schema = T.StructType([f for f in wanted.schema.fields if f.name != "kept"] + [T.StructField("text", T.StringType())])
     out = wanted.mapInArrow(texts, schema).where((F.col("n_removed") == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
     if "n_chars" in others:
-        out = out.withColumn("n_chars", F.length("text").cast(documents.schema["n_chars"].dataType))
-    return out.select(documents.columns)
+        out = out.withColumn("carried_n_chars", F.length("text").cast(documents.schema["n_chars"].dataType))
+    return out.select("doc_id", "text", *carried).withColumnsRenamed(carried).select(documents.columns)

@@ -77,3 +77,14 @@ def test_components(spark):
     got = {r.node: r.root for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {**{i: 0 for i in range(41)}, 100: 100, 101: 100, **{i: 300 for i in range(300, 340)}}
     assert components(spark.createDataFrame([], "a long, b long")).collect() == []
+
+
+def test_one_row_of_each_group_stays(spark):
+    text = " ".join(f"word{i}" for i in range(60))
+    other = " ".join(f"else{i}" for i in range(60))
+    rows = [(1, text, "a"), (1, text, "b"), (None, text, "c"), (None, other, "d"), (None, other, "e"), (7, other + " end", "f"), (7, "quite another text of its own", "g"), (3, text + " end", "h"), (9, "", "i"), (9, None, "j"), (9, None, "k")]
+    df = spark.createDataFrame([(*r, 0, 0) for r in rows], "doc_id long, text string, row string, component int, node int").coalesce(1)
+    kept = minhash.kept_documents(df)
+    assert kept.columns == df.columns
+    assert sorted((r["doc_id"], r["row"]) for r in kept.collect()) == [(1, "a"), (7, "f"), (7, "g"), (9, "i"), (9, "j"), (9, "k")]
+    assert minhash.kept_documents(df.limit(0)).collect() == []

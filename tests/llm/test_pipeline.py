@@ -14,6 +14,7 @@ import __spark_entry__ as entry
 import corpus_pipeline
 from gazette.llm import bpe
 from gazette.llm.common import shared_path
+from gazette.llm.common import stored as common_stored
 from gazette.llm.queries import vocabulary
 
 FOLDER = "/root/testdata/sf0.001"
@@ -90,3 +91,14 @@ def test_run_is_registered_and_takes_empty_tables(spark, tmp_path):
     docs = spark.read.parquet(f"{FOLDER}/documents.parquet")
     docs.limit(0).write.parquet(str(tmp_path / "documents.parquet"))
     assert corpus_pipeline.run(spark, str(tmp_path)).collect() == []
+
+
+def test_tables_of_others_outlive_a_run(spark, tmp_path):
+    docs = spark.read.parquet(f"{FOLDER}/documents.parquet").limit(30)
+    mine = common_stored(docs.select("doc_id"), "mine")
+    one, other = str(tmp_path / "a"), str(tmp_path / "b")
+    first = corpus_pipeline.near_duplicates(spark, docs, one)
+    corpus_pipeline.near_duplicates(spark, docs, other)
+    assert first.count() > 0 and mine.count() == 30  # the other run took nothing away
+    corpus_pipeline.repeated_passages(spark, docs, one)
+    assert corpus_pipeline._TABLES[one] and mine.count() == 30

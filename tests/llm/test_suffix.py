@@ -127,3 +127,14 @@ def test_pack():
     for name in ("doc", "at", "count"):
         assert (got[name] == columns[name]).all()
     assert (got["anchor"] == columns["anchor"] & np.uint64((1 << 40) - 1)).all()
+
+
+def test_columns_of_any_name_pass(spark):
+    passage = "a passage that is long enough to be found in two of the documents, surely. "
+    names = ["kept", "n_removed", "n_bytes", "n_spans", "runs", "place", "carried_kept", "n_chars"]
+    rows = [(i, f"begin {i} " + passage + f" end {i}", *range(len(names))) for i in range(3)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, " + ", ".join(f"{n} int" for n in names))
+    out = {r["doc_id"]: r for r in suffix.cleaned(df).collect()}
+    assert suffix.cleaned(df).columns == df.columns
+    assert out[0]["text"] == rows[0][1] and passage not in out[1]["text"] and passage not in out[2]["text"]
+    assert all(r[n] == i for r in out.values() for i, n in enumerate(names[:-1])) and out[1]["n_chars"] == len(out[1]["text"])
