@@ -290,30 +290,37 @@ def union(*parts: str) -> str:
     return " UNION ALL ".join(f"SELECT * FROM ({p})" for p in parts)
 
 
-SEARCHES = [
-    page(0, latest(), 3, 7),
-    page(1, ranked(["tion", "ble", "ther", "thon"], 2), 1, 20),
-    page(2, ranked(["tion", "not", "ble"], 1.5, "/news/content"), 1, 50),
-    page(3, ranked(["ther", "and", "que", "ble", "elle", "thst"], 3), 2, 5),
-    page(4, by_country("AB"), 1, 5),
-    page(5, by_country("ZZ"), 1, 20),
-    page(6, titled(["THE"], 2.0), 2, 30),
-    page(7, titled(["thand", "wh"], 1.5), 1, 10),
-    page(9, titled(["DÉ"], 2.0), 1, 4),
-    page(10, ranked(["http", "tion"], 1), 1, 20),
-    page(11, ranked(["nosuchterm"], 1), 1, 20),
-]
-part("found", union(*SEARCHES))
+#: Hits of each request, first row and most rows of its page.
+SEARCHES = {
+    0: (latest(), 3, 7),
+    1: (ranked(["tion", "ble", "ther", "thon"], 2), 1, 20),
+    2: (ranked(["tion", "not", "ble"], 1.5, "/news/content"), 1, 50),
+    3: (ranked(["ther", "and", "que", "ble", "elle", "thst"], 3), 2, 5),
+    4: (by_country("AB"), 1, 5),
+    5: (by_country("ZZ"), 1, 20),
+    6: (titled(["THE"], 2.0), 2, 30),
+    7: (titled(["thand", "wh"], 1.5), 1, 10),
+    9: (titled(["DÉ"], 2.0), 1, 4),
+    10: (ranked(["http", "tion"], 1), 1, 20),
+    11: (ranked(["nosuchterm"], 1), 1, 20),
+    13: (titled(["the"], 2.0), 100000, 20),
+}
+part("found", union(*(page(i, *s) for i, s in SEARCHES.items())))
+part("totals", union(*(f"SELECT CAST({i} AS BIGINT) query_id, count(*) total FROM ({hits})" for i, (hits, _, _) in SEARCHES.items())))
+part(
+    "answered",
+    """SELECT asked.query_id, query, coalesce(any_value(totals.total), 0) total, count(position) page_count, min(position) first_position
+    FROM asked LEFT JOIN totals USING (query_id) LEFT JOIN found USING (query_id) GROUP BY asked.query_id, query""",
+)
 part(
     "responses",
-    """SELECT query_id, '<searchRetrieveResponse><version>1.1</version><numberOfRecords>' || max(total) || '</numberOfRecords><records>'
-    || string_agg('<record><recordSchema>news</recordSchema><recordPacking>xml</recordPacking><recordPosition>' || position
-      || '</recordPosition><datestamp>' || created_at || '</datestamp><recordData>' || xml_content || '</recordData></record>', ''
-      ORDER BY position) || '</records><echoedSearchRetrieveRequest><query>' || any_value(query)
-    || '</query></echoedSearchRetrieveRequest></searchRetrieveResponse>' response
-    FROM found JOIN xml USING (news_id) JOIN asked USING (query_id) GROUP BY query_id""",
+    """SELECT query_id, '<searchRetrieveResponse><version>1.1</version><numberOfRecords>' || total || '</numberOfRecords><records>' || coalesce(records, '')
+    || '</records><echoedSearchRetrieveRequest><query>' || replace(replace(query, '&', '&amp;'), '<', '&lt;') || '</query></echoedSearchRetrieveRequest></searchRetrieveResponse>' response
+    FROM answered LEFT JOIN (SELECT query_id, string_agg('<record><recordSchema>news</recordSchema><recordPacking>xml</recordPacking><recordPosition>' || position
+      || '</recordPosition><datestamp>' || created_at || '</datestamp><recordData>' || xml_content || '</recordData></record>', '' ORDER BY position) records
+      FROM found JOIN xml USING (news_id) GROUP BY query_id) USING (query_id)""",
 )
-part("asked", f"SELECT * FROM {values([(i, r.query) for i, r in enumerate(Q.REQUESTS)])} t(query_id, query)")
+part("asked", f"SELECT CAST(query_id AS BIGINT) query_id, query FROM {values([(i, r.query) for i, r in enumerate(Q.REQUESTS)])} t(query_id, query)")
 
 # --- gate ---------------------------------------------------------------------------------
 
@@ -746,7 +753,7 @@ def oracle_sql() -> dict[str, str]:
     o["search_ranked_stemmed"] = page(0, ranked(["tion", "ther", "eau"], 1.5), 1, 20)
     o["search_fielded"] = page(0, ranked(["tion", "ther", "erin"], 1.5, "/news/content"), 1, 20)
     o["search"] = "SELECT * FROM found"
-    o["page_and_total"] = "SELECT query_id, max(page_count) page_count, max(total) total, min(position) first_position FROM found GROUP BY query_id"
+    o["page_and_total"] = "SELECT query_id, page_count, total, first_position FROM answered"
     part("han_recent", f"SELECT * FROM han_news WHERE created_at > {EDGE}")
     han_rank = lambda terms, least, path=None: ranked(terms, least, path, "han_postings", "han_recent", "zh")
     o["search_zh"] = union(

@@ -273,8 +273,12 @@ def _corpus(s, d):
     return search.Corpus(tagged, _news_countries(s, d, tagged), index.build_index(C.with_terms(tagged)))
 
 
-def _search(s, d, stem=False):
-    return search.search(_corpus(s, d), REQUESTS, C.as_of(), stem)
+def _answers(s, d):
+    return search.search_answers(_corpus(s, d), REQUESTS, C.as_of())
+
+
+def _search(s, d):
+    return _answers(s, d).pages
 
 
 def _shown(df):
@@ -285,7 +289,9 @@ def _shown(df):
 
 
 def sru_response(s, d):
-    return sru.sru_response(_search(s, d)).withColumns(_long("query_id"))
+    """A document for each request, hits or not."""
+    found = _answers(s, d)
+    return sru.sru_response(found.pages, found.answers).withColumns(_long("query_id"))
 
 
 def sru_parse(s, d):
@@ -853,9 +859,8 @@ def search_all(s, d):
 
 
 def page_and_total(s, d):
-    return _search(s, d).groupBy(_l("query_id")).agg(
-        F.max("page_count").alias("page_count"), F.max("total").alias("total"), F.min("position").alias("first_position")
-    )
+    """Length and true total of every request's page, empty ones among them."""
+    return _answers(s, d).answers.select(_l("query_id"), "page_count", "total", "first_position")
 
 
 def search_zh(s, d):

@@ -41,32 +41,22 @@ def salts_of(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
-def page_per_group(
-    hits: DataFrame, groups: list[str], key: str, order: list, first: str, count: str, most: int
-) -> DataFrame:
-    """One page of rows per group together with the group's total.
+#: Rows per group up to which every task hands on its own best rows alone; Spark limits ranks before a shuffle up to this number.
+DEEP = 1000
 
-    ``first`` and ``count`` are columns of the hits: rows skipped and rows wanted.
-    ``most`` bounds ``first + count``. A group may hold any share of the hits, so
-    it is ranked in slices first (salted by ``key``); at most ``most`` rows of a
-    slice reach the final ranking. Adds position (1-based), page_count and total.
+
+def top_per_group(rows: DataFrame, groups: list[str], order: list, most: int, key: str, out: str = "position") -> DataFrame:
+    """The first ``most`` rows of each group with their place, from 1.
+
+    The limit stands on the rank itself, so every task keeps only its own best
+    ``most`` rows of a group before anything is shuffled. Where ``most`` is large
+    (deep pages), a group is ranked in slices first, salted by ``key``, so that no
+    task meets the best rows of all tasks at once.
     """
-    slices = salts_of(hits)
-    cut = hits.withColumn("_slice", F.pmod(F.xxhash64(key), F.lit(slices)))
-    inner = Window.partitionBy(*groups, "_slice")
-    ranked = cut.withColumns(
-        {
-            "_rank": F.row_number().over(inner.orderBy(*order)),
-            "_size": F.count("*").over(inner),
-        }
-    ).where(F.col("_rank") <= most)
-    outer = Window.partitionBy(*groups)
-    share = F.when(F.col("_rank") == 1, F.col("_size")).otherwise(F.lit(0))
-    placed = ranked.withColumns(
-        {
-            "position": F.row_number().over(outer.orderBy(*order)).cast("bigint"),
-            "total": F.sum(share).over(outer),
-        }
-    )
-    page = placed.where((F.col("position") > F.col(first)) & (F.col("position") <= F.col(first) + F.col(count)))
-    return page.withColumn("page_count", F.count("*").over(outer)).drop("_slice", "_rank", "_size")
+    if most > DEEP:
+        sliced = rows.withColumn("_slice", F.pmod(F.xxhash64(key), F.lit(salts_of(rows))))
+        inner = Window.partitionBy(*groups, "_slice").orderBy(*order)
+        rows = sliced.withColumn("_rank", F.row_number().over(inner)).where(F.col("_rank") <= most).drop("_slice", "_rank")
+    outer = Window.partitionBy(*groups).orderBy(*order)
+    placed = rows.withColumn("_rank", F.row_number().over(outer)).where(F.col("_rank") <= most)
+    return placed.withColumn(out, F.col("_rank").cast("bigint")).drop("_rank")

@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Row, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import lexicon as L
 from ..functions.text import HAN, bind, evaluate_once, fold, fold_key, fold_literal, json_literal, stem_en
-from ..operators.rows import page_per_group
+from ..operators.rows import top_per_group
 from ..schema import QUERY
 from ..session import rows_frame
 
@@ -82,8 +82,14 @@ def parse_queries(queries: DataFrame, stem_query: bool = False) -> DataFrame:
 
 
 def recent_news(news: DataFrame, as_of: Column, hours: int = L.WINDOW_HOURS) -> DataFrame:
-    """Articles of the rolling window, boundary excluded."""
-    return news.where(F.col("created_at") > as_of - F.make_interval(hours=F.lit(hours)))
+    """Rows of the rolling window, boundary excluded.
+
+    Stored tables are partitioned by ingest day; the condition on it leaves all
+    older days unread.
+    """
+    edge = as_of - F.make_interval(hours=F.lit(hours))
+    inside = news.where(F.col("created_at") > edge)
+    return inside.where(F.col("ingest_date") >= F.to_date(edge)) if "ingest_date" in news.columns else inside
 
 
 def _one(value) -> Column:
@@ -91,10 +97,10 @@ def _one(value) -> Column:
 
 
 def latest_hits(asked: list[Row], recent: DataFrame) -> DataFrame:
-    """Every recent article for each ``*`` request; the requests ride along as an array."""
-    ids = F.array(*[F.lit(r.query_id) for r in asked])
-    return recent.select(F.explode(ids).alias("query_id"), "news_id", "created_at").select(
-        "query_id",
+    """Every recent article, once: all ``*`` requests are one group."""
+    (one,) = asked
+    return recent.select(
+        F.lit(one.query_id).alias("query_id"),
         F.lit(0).alias("stage"),
         "news_id",
         "created_at",
@@ -167,14 +173,15 @@ def title_hits(asked: list[Row], recent: DataFrame) -> DataFrame:
     )
 
 
-def ranked_hits(asked: list[Row], recent: DataFrame, index: DataFrame) -> DataFrame:
-    """Postings of the request's terms; at least half of the terms must match.
+def ranked_hits(asked: list[Row], index: DataFrame, as_of: Column) -> DataFrame:
+    """Articles by the postings of the request's terms; at least half of the terms must match.
 
     The terms of the call are a literal condition on the postings, which are
-    stored sorted by term, so files without them are skipped; the request rows
-    (a few per request) are broadcast. Matching postings are summed per
-    (request, article, term) and then per (request, article), each combined
-    before its shuffle, and only then meet the recent articles.
+    stored sorted by term below their ingest day, so files without them and days
+    before the window are skipped. A posting carries the time of its article and
+    goes with it, so the articles themselves aren't read here. The request rows
+    (a few per request) are broadcast. Postings are summed per (request, article,
+    term) and then per (request, article), each combined before its shuffle.
     """
     spark = index.sparkSession
     rows = set()
@@ -185,42 +192,79 @@ def ranked_hits(asked: list[Row], recent: DataFrame, index: DataFrame) -> DataFr
             rows.add((row.query_id, row.language, row.xpath, max(1.0, len(terms) * 0.5), key))
     shape = "query_id int, language string, xpath string, least double, term_key string"
     terms = rows_frame(spark, sorted(rows, key=repr), shape)
-    postings = index.where(F.col("term_key").isin(sorted({r[4] for r in rows}))).select(
-        "term_key", "language", "news_id", "tf_weight", "xpath_path"
+    postings = recent_news(index, as_of).where(F.col("term_key").isin(sorted({r[4] for r in rows}))).select(
+        "term_key", "language", "news_id", "tf_weight", "xpath_path", "created_at"
     )
     matched = postings.join(F.broadcast(terms), ["term_key", "language"]).where(
         "xpath is null or xpath_path = xpath"
     )
-    per_term = matched.groupBy("query_id", "news_id", "term_key", "least").agg(F.sum("tf_weight").alias("weight"))
+    per_term = matched.groupBy("query_id", "news_id", "term_key", "least").agg(
+        F.sum("tf_weight").alias("weight"), F.max("created_at").alias("created_at")
+    )
     scored = (
         per_term.groupBy("query_id", "news_id", "least")
-        .agg(F.sum("weight").alias("score"), F.count("*").alias("match_count"))
+        .agg(F.sum("weight").alias("score"), F.count("*").alias("match_count"), F.max("created_at").alias("created_at"))
         .where("match_count >= least")
     )
-    return scored.join(recent.select("news_id", "created_at"), "news_id").select(
-        "query_id", F.lit(0).alias("stage"), "news_id", "created_at", "score", "match_count"
-    )
+    return scored.select("query_id", F.lit(0).alias("stage"), "news_id", "created_at", "score", "match_count")
 
 
-def page_hits(hits: DataFrame, queries: DataFrame, most: int) -> DataFrame:
-    """The requested page per query with total; the later stage only where the first page is empty."""
-    wanted = queries.select("query_id", "query", (F.col("start") - 1).alias("skip"), F.col("max_records").alias("take"))
-    sized = hits.join(F.broadcast(wanted), "query_id")
-    order = [F.desc("score"), F.desc("created_at"), F.desc("news_id")]
-    page = page_per_group(sized, ["query_id", "stage"], "news_id", order, "skip", "take", most)
-    stage = F.min("stage").over(Window.partitionBy("query_id"))
-    return page.withColumn("_first", stage).where("stage = _first").drop("_first", "skip", "take")
+ORDER = ["score", "created_at", "news_id"]
 
 
-def search(corpus: Corpus, requests: list[Request], as_of: Column, stem_query: bool = False) -> DataFrame:
+@dataclass(frozen=True)
+class Found:
+    """Answers of a call: the rows of all pages, and one row per request with its total, hits or not."""
+
+    pages: DataFrame
+    answers: DataFrame
+
+
+def _groups(asked: list[Row]) -> dict[tuple, list[Row]]:
+    """Requests that have the same hits, whatever page they want."""
+    groups: dict[tuple, list[Row]] = {}
+    for row in asked:
+        what = (row.kind,) if row.kind == "latest" else (row.kind, row.clean, row.xpath, row.language)
+        groups.setdefault(what, []).append(row)
+    return groups
+
+
+def _depth(row: Row) -> int:
+    return max(0, row.start - 1 + row.max_records)
+
+
+def _ranked(hits: DataFrame, depths: dict[int, int]) -> DataFrame:
+    """The best hits of each group and stage, as many as its deepest request needs.
+
+    Groups of like depth (within a factor of 16) share a limit, so one deep page
+    doesn't make the others deep.
+    """
+    classes: dict[int, list[int]] = {}
+    for group, depth in depths.items():
+        classes.setdefault(max(0, depth - 1).bit_length() // 4, []).append(group)
+    out = None
+    for members in classes.values():
+        mine = hits.where(F.col("query_id").isin(members)) if len(classes) > 1 else hits
+        most = max(1, *(depths[m] for m in members))
+        top = top_per_group(mine, ["query_id", "stage"], [F.desc(c) for c in ORDER], most, "news_id")
+        out = top if out is None else out.unionByName(top)
+    return out
+
+
+def search_answers(corpus: Corpus, requests: list[Request], as_of: Column, stem_query: bool = False) -> Found:
     """All requests of a call, dispatched by kind, in one plan.
 
-    Only ids, times and scores are ranked; title and record are joined to the
-    rows of the pages at the end (at most 50 per request).
+    Requests with the same hits are one group, ranked once. Only ids, times and
+    scores are ranked; totals are counted by an aggregate of their own, so
+    nothing stands between a rank and its limit. Every request has an answer: its
+    total and the length of its page, 0 where it found nothing or asked for a
+    page past the end. A later stage counts only where the page of the earlier
+    one is empty and its own is not.
     """
     spark = corpus.news.sparkSession
-    asked = parse_queries(requests_frame(spark, requests), stem_query).collect()
-    kind = lambda name: [row for row in asked if row.kind == name]
+    asked = parse_queries(requests_frame(spark, requests), stem_query).collect()  # as many rows as the call has requests
+    groups = _groups(asked)
+    kind = lambda name: [rows[0] for rows in groups.values() if rows[0].kind == name]
     recent = recent_news(corpus.news, as_of)
     parts = []
     if kind("latest"):
@@ -230,24 +274,37 @@ def search(corpus: Corpus, requests: list[Request], as_of: Column, stem_query: b
     if kind("title"):
         parts.append(title_hits(kind("title"), recent))
     if kind("ranked") or not parts:
-        parts.append(ranked_hits(kind("ranked"), recent, corpus.index))
+        parts.append(ranked_hits(kind("ranked"), corpus.index, as_of))
     hits = parts[0]
     for part in parts[1:]:
         hits = hits.unionByName(part)
-    most = max([r.start - 1 + min(r.max_records, L.PAGE_CAP) for r in requests] + [1])
-    page = page_hits(hits, requests_frame(spark, requests), most)
-    shown = corpus.news.select("news_id", "title", "xml_content")
+    shape = "query_id int, query string, group_id int, skip bigint, take bigint"
+    wanted = [(r.query_id, r.query, rows[0].query_id, r.start - 1, r.max_records) for rows in groups.values() for r in rows]
+    members = rows_frame(spark, sorted(wanted), shape)
+    counts = hits.groupBy(F.col("query_id").alias("group_id"), "stage").agg(F.count("*").alias("hits"))
+    inside = F.when(F.col("hits") > F.col("skip"), F.col("stage"))
+    least = F.struct(F.when(inside.isNull(), 1).otherwise(0).alias("empty"), "stage", "hits")
+    chosen = members.join(F.broadcast(counts), "group_id", "left").groupBy("query_id", "query", "group_id", "skip", "take").agg(
+        F.min(F.when(F.col("hits").isNotNull(), least)).alias("best")
+    )
+    total = F.coalesce("best.hits", F.lit(0).cast("bigint"))
+    length = F.greatest(F.lit(0).cast("bigint"), F.least("take", total - F.col("skip")))
+    answers = chosen.select(
+        "query_id", "query", "group_id", F.col("best.stage").alias("stage"), "skip", "take", total.alias("total"), length.alias("page_count")
+    )
+    depths = {rows[0].query_id: max(_depth(r) for r in rows) for rows in groups.values()}
+    ranked = _ranked(hits, depths).withColumnRenamed("query_id", "group_id")
+    page = ranked.join(F.broadcast(answers), ["group_id", "stage"]).where(
+        (F.col("position") > F.col("skip")) & (F.col("position") <= F.col("skip") + F.col("take"))
+    )
+    shown = recent.select("news_id", "title", "xml_content")
     small = len(requests) * L.PAGE_CAP <= 100_000
-    return shown.join(F.broadcast(page) if small else page, "news_id").select(
-        "query_id",
-        "query",
-        "position",
-        "news_id",
-        "title",
-        "xml_content",
-        "score",
-        "match_count",
-        "created_at",
-        "page_count",
-        "total",
+    pages = shown.join(F.broadcast(page) if small else page, "news_id").select(
+        "query_id", "query", "position", "news_id", "title", "xml_content", "score", "match_count", "created_at", "page_count", "total"
     )
+    return Found(pages, answers.select("query_id", "query", "total", "page_count", (F.when(F.col("page_count") > 0, F.col("skip") + 1)).alias("first_position")))
+
+
+def search(corpus: Corpus, requests: list[Request], as_of: Column, stem_query: bool = False) -> DataFrame:
+    """The rows of the pages of :func:`search_answers`."""
+    return search_answers(corpus, requests, as_of, stem_query).pages

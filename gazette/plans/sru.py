@@ -35,10 +35,11 @@ def sru_record(position: Column, created_at: Column, xml: Column, title: Column)
     )
 
 
-def sru_response(results: DataFrame) -> DataFrame:
+def sru_response(results: DataFrame, answers: DataFrame | None = None) -> DataFrame:
     """One document per query over its page (at most 50 records).
 
-    ``results`` is a search result; numberOfRecords is the true total.
+    ``results`` are the rows of the pages; numberOfRecords is the true total. With
+    ``answers`` (a row per request) a request without rows has its document too.
     """
     rows = results.select(
         "query_id",
@@ -50,6 +51,10 @@ def sru_response(results: DataFrame) -> DataFrame:
     pages = rows.groupBy("query_id", "query").agg(
         F.max("total").alias("total"), F.sort_array(F.collect_list(F.struct("position", "record"))).alias("records")
     )
+    if answers is not None:
+        listed = pages.select("query_id", "records")
+        pages = answers.select("query_id", "query", "total").join(listed, "query_id", "left")
+        pages = pages.withColumn("records", F.coalesce("records", F.array().cast(listed.schema["records"].dataType)))
     return pages.select(
         "query_id",
         F.concat(

@@ -187,19 +187,20 @@ def test_assign_ids_over_a_hot_value(spark):
     assert out.agg(F.min("news_id"), F.max("news_id")).collect()[0][:] == (101, 3100)
 
 
-def test_page_per_group_equals_plain_ranking(spark):
+@pytest.mark.parametrize("deep", [1000, 3])
+def test_top_per_group_equals_plain_ranking(spark, monkeypatch, deep):
+    monkeypatch.setattr(rows, "DEEP", deep)
     hits = spark.range(2000).select(
-        F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id") % 5).alias("g"), F.col("id").alias("k"), (F.col("id") % 17).alias("s"),
-        F.lit(3).alias("skip"), F.lit(4).alias("take"),
+        F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id") % 5).alias("g"), F.col("id").alias("k"), (F.col("id") % 17).alias("s")
     )
-    page = rows.page_per_group(hits, ["g"], "k", [F.desc("s"), F.desc("k")], "skip", "take", 7)
-    got = sorted((r.g, r.position, r.k, r.total, r.page_count) for r in page.collect())
+    top = rows.top_per_group(hits, ["g"], [F.desc("s"), F.desc("k")], 7, "k")
+    got = sorted((r.g, r.position, r.k) for r in top.collect())
     want = []
     for g in range(5):
         members = [i for i in range(2000) if (0 if i % 3 == 0 else i % 5) == g]
-        order = sorted(members, key=lambda i: (-(i % 17), -i))
-        want += [(g, p + 1, order[p], len(members), 4) for p in range(3, 7)]
+        want += [(g, p + 1, i) for p, i in enumerate(sorted(members, key=lambda i: (-(i % 17), -i))[:7])]
     assert got == sorted(want)
+    assert "WindowGroupLimit" in top._jdf.queryExecution().executedPlan().toString()
 
 
 def _indexed(spark):

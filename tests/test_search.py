@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from gazette.operators import index
 from gazette.plans import serve, sru
-from gazette.plans.search import Corpus, Request, parse_queries, requests_frame, search
+from gazette.plans.search import Corpus, Request, parse_queries, requests_frame, search, search_answers
+from gazette.sources.export import read_committed, write_news_tables
 from gazette.sources import corpus as C
 
 NOW = datetime(2024, 1, 4)
@@ -111,6 +112,36 @@ def test_response_round_trip(tables):
     assert back[0].time == "2024-01-03 23:00:00" and back[0].summary == "trade war in markets..."
 
 
+def test_every_request_has_an_answer(tables):
+    asked = [Request("oil trade", max_records=1), Request("nothing"), Request("*", start=99), Request("title:oil price", start=2), Request("title:oil price", start=9), Request("title:"), Request("*", 2, 2), Request("*", 4, 9)]
+    found_ = search_answers(tables, asked, AS_OF())
+    got = [(r.query_id, r.total, r.page_count, r.first_position) for r in found_.answers.orderBy("query_id").collect()]
+    assert got == [(0, 4, 1, 1), (1, 0, 0, None), (2, 5, 0, None), (3, 2, 1, 2), (4, 1, 0, None), (5, 0, 0, None), (6, 5, 2, 2), (7, 5, 2, 4)]
+    texts = {r.query_id: r.response for r in sru.sru_response(found_.pages, found_.answers).collect()}
+    assert len(texts) == len(asked) and "<numberOfRecords>5</numberOfRecords><records></records>" in texts[2] and "<numberOfRecords>0<" in texts[1]
+    pages = {(r.query_id, r.news_id) for r in found_.pages.collect()}
+    assert {k for q, k in pages if q == 6} == {6, 2} and {k for q, k in pages if q == 7} == {3, 5}
+
+
+def test_limits_come_before_the_shuffle(tables):
+    requests = [Request("*"), Request("oil trade"), Request("country:us"), Request("title:oil"), Request("title:price", 5000, 20)]
+    plan = search(tables, requests, AS_OF())._jdf.queryExecution().executedPlan().toString()
+    assert "20, Partial" in plan and "20, Final" in plan and "pmod(xxhash64(news_id" in plan  # the deep one goes in slices
+    assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
+
+
+def test_days_before_the_window_are_not_read(spark, tables, tmp_path):
+    root = str(tmp_path)
+    news = tables.news.unionByName(tables.news.withColumns({"news_id": F.col("news_id") + 100, "created_at": F.col("created_at") - F.expr("interval 9 days")}))
+    dated = tables.index.unionByName(tables.index.withColumns({"news_id": F.col("news_id") + 100, "created_at": F.col("created_at") - F.expr("interval 9 days")}))
+    write_news_tables({"news": news, "inverted_index": dated}, root, "b0")
+    stored = Corpus(read_committed(spark, root, "news"), tables.countries, read_committed(spark, root, "inverted_index"))
+    result = search(stored, [Request("oil trade"), Request("*"), Request("title:oil")], AS_OF())
+    assert {(r.query_id, r.news_id) for r in result.collect()} == {(r.query_id, r.news_id) for r in search(tables, [Request("oil trade"), Request("*"), Request("title:oil")], AS_OF()).collect()}
+    scans = [line for line in result._jdf.queryExecution().executedPlan().toString().splitlines() if "FileScan" in line and "ingest_date" in line]
+    assert scans and all("ingest_date" in line.split("PartitionFilters: [")[1].split("PushedFilters")[0] and ">=" in line for line in scans)
+
+
 def test_response_tolerates_bad_records(spark):
     results = spark.createDataFrame(
         [(0, "q", 1, 2, NOW, "<news id='1'><broken", "A & B"), (0, "q", 2, 2, None, None, "C")],
