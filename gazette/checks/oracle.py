@@ -818,6 +818,10 @@ def oracle_sql() -> dict[str, str]:
         UNION ALL SELECT 'media', count(*) FROM stored UNION ALL SELECT 'inverted_index', count(*) FROM stored JOIN postings USING (news_id)
         UNION ALL SELECT 'api_request_logs', count(*) FROM stored UNION ALL SELECT 'index_build_logs', count(*) FROM stored
         UNION ALL SELECT 'rejected', count(*) FROM raw WHERE news_id NOT IN (SELECT news_id FROM stored) AND trim(title) <> '' AND news_id IN (SELECT news_id FROM stems)"""
+    tried = "SELECT * FROM raw WHERE trim(title) <> '' AND news_id IN (SELECT news_id FROM stems)"
+    part("tried", tried)
+    o["stream_job"] = f"""SELECT CAST(14 AS BIGINT) source_id, count(*) fetched, (SELECT count(*) FROM stored) saved, (SELECT count(*) FROM stored) total_news,
+        (SELECT count(*) FROM stored WHERE created_at >= (SELECT max(created_at) FROM tried) - INTERVAL 48 HOUR) kept_news FROM tried"""
     o["stream_dedupe"] = "SELECT lower(source_url) url_key, news_id FROM raw"
     o["late_reject"] = """SELECT news_id, CASE WHEN published_at < created_at - INTERVAL 48 HOUR THEN 'Rejected: Exceeds 48h limit' ELSE 'ok' END status FROM raw"""
     o["stream_source_stats"] = STATS

@@ -982,22 +982,24 @@ def _news_stream(s, d):
     return C.documents_as_news(_stream(s, d, "documents"))
 
 
-def _run(s, stream, mode):
-    path = scratch_path(s, "stream")
-    rolling.run_to_table(stream, path, path + "-progress", mode)
-    return s.read.parquet(path)
+def _progress(s, label):
+    path = scratch_path(s, label)
+    return path, path + "-progress"
 
 
-def stream_ingest(s, d):
-    """The whole ingest as a stream over the landed documents; rows per table."""
-    root = scratch_path(s, "ingest")
-    raw = C.documents_as_raw(_stream(s, d, "documents")).withColumns(
+def _raw_stream(s, d):
+    return C.documents_as_raw(_stream(s, d, "documents")).withColumns(
         {
             "source_name": F.lit("CNN"), "country_hint": F.lit(None).cast("string"), "category_hint": F.col("hint_category"),
             "images": F.array().cast(feeds.EMPTY_IMAGES), "videos": F.array().cast(feeds.EMPTY_VIDEOS), "image_url": F.col("source_url"),
         }
     ).drop("source_id", "hint_category")
-    query = stream_in.start_ingest(raw, root, root + "-progress", C.country_keywords(s), seeds.categories(s), F.col("created_at"), _rules())
+
+
+def stream_ingest(s, d):
+    """The whole ingest as a stream over the landed documents; rows per table."""
+    root = scratch_path(s, "ingest")
+    query = stream_in.start_ingest(_raw_stream(s, d), root, root + "-progress", C.country_keywords(s), seeds.categories(s), F.col("created_at"), _rules())
     query.awaitTermination()
     whole = None
     for name in ("news", "news_countries", "news_categories", "media", "inverted_index", "api_request_logs", "index_build_logs", "rejected"):
@@ -1006,32 +1008,57 @@ def stream_ingest(s, d):
     return whole
 
 
+def stream_job(s, d):
+    """The whole polling job over the landed documents: numbers, tables, counters, totals, repair and retention in storage."""
+    root, progress = _progress(s, "job")
+    query = stream_in.start_ingest(
+        _raw_stream(s, d), root, progress, C.country_keywords(s), seeds.categories(s), F.col("created_at"), _rules(), number_by=["created_at", "source_url"], retain=True
+    )
+    query.awaitTermination()
+    stats = rolling.source_stats_on_read(export.read_committed(s, root, "source_days"))
+    kept = export.read_committed(s, root, "news").groupBy("source_id").agg(F.count("*").alias("kept_news"))
+    totals = export.read_committed(s, root, "job_totals").where("source_id is not null").groupBy("source_id").agg(F.sum("fetched").alias("fetched"), F.sum("saved").alias("saved"))
+    return totals.join(stats.select("source_id", "total_news"), "source_id", "left").join(kept, "source_id", "left").select(
+        _l("source_id"), "fetched", "saved", F.coalesce("total_news", F.lit(0)).alias("total_news"), F.coalesce("kept_news", F.lit(0)).alias("kept_news")
+    )
+
+
 def stream_dedupe(s, d):
     """Addresses of the stream, each twice in the same batch."""
     doubled = _news_stream(s, d).withColumn("source_url", F.explode(F.array("source_url", F.upper("source_url"))))
-    out = _run(s, stream_in.stream_dedupe(doubled).select(X.fold_key(F.col("source_url")).alias("url_key"), "news_id"), "append")
-    return out.select("url_key", "news_id")
+    path, progress = _progress(s, "dedupe")
+    rolling.run_to_table(stream_in.stream_dedupe(doubled).select(X.fold_key(F.col("source_url")).alias("url_key"), "news_id"), path, progress)
+    return s.read.parquet(path).select("url_key", "news_id")
 
 
 def late_reject(s, d):
-    on_time, late = stream_in.split_late(_news(s, d), F.col("created_at"))
+    """A stream with two sinks, read back: rows on time, and late ones with their status."""
+    root, progress = _progress(s, "late")
+    stream_in.start_split(_news_stream(s, d), root, progress, F.col("created_at")).awaitTermination()
+    on_time, late = (export.read_committed(s, root, name) for name in ("on_time", "late"))
     return on_time.select("news_id", F.lit("ok").alias("status")).unionByName(late.select("news_id", "status"))
 
 
 def rolling_country_counts(s, d):
     tagged = tagging.identify_country(_news_stream(s, d), C.PROSE_KEYWORDS).withColumnRenamed("primary_country", "country_code")
-    buckets = _run(s, rolling.country_buckets(tagged), "complete")
-    return rolling.rolling_country_counts(buckets, C.as_of())
+    path, progress = _progress(s, "buckets")
+    rolling.run_updates(rolling.country_buckets(tagged), path, progress)
+    return rolling.rolling_country_counts(rolling.latest_updates(s, path, ["bucket_start", "country_code"]), C.as_of())
 
 
 def stream_source_stats(s, d):
-    days = _run(s, rolling.source_days(_news_stream(s, d)), "complete")
-    return rolling.source_stats_on_read(days).withColumns({**_stamp("last_publish_time"), **_long("source_id")})
+    path, progress = _progress(s, "days")
+    rolling.run_increments(_news_stream(s, d), rolling.source_days, path, progress)
+    return rolling.source_stats_on_read(s.read.parquet(path)).withColumns({**_stamp("last_publish_time"), **_long("source_id")})
 
 
 def stream_retention(s, d):
-    kept = _run(s, stream_in.retain_batch(_news_stream(s, d).select("news_id", "created_at"), C.as_of()), "append")
-    return kept.select("news_id", X.fmt_time(F.col("created_at")).alias("created_at"))
+    """Stored by a stream, retired in storage, read back."""
+    root, progress = _progress(s, "retained")
+    as_of = s.range(1).select(C.as_of().alias("t")).first()["t"]
+    news = _news_stream(s, d).select("news_id", "created_at")
+    news.writeStream.foreachBatch(stream_in.write_retained(root, as_of)).option("checkpointLocation", progress).trigger(availableNow=True).start().awaitTermination()
+    return export.read_committed(s, root, "news").select("news_id", X.fmt_time(F.col("created_at")).alias("created_at"))
 
 
 QUERIES = [
@@ -1057,7 +1084,7 @@ QUERIES = [
     topic_phrases_zh, topic_phrases_segmented, sources_list, categories_list, news_by_category, news_detail, v_news_detail,
     category_counts, retention_report, recent_6h, country_news, latest_with_country, table_report,
     # streams
-    stream_ingest, stream_dedupe, late_reject, rolling_country_counts, stream_source_stats, stream_retention,
+    stream_ingest, stream_job, stream_dedupe, late_reject, rolling_country_counts, stream_source_stats, stream_retention,
 ]
 
 

@@ -35,22 +35,26 @@ def gate_articles(articles: DataFrame, now: Column, stored: DataFrame | None = N
     news_id and source_url of what is in the corpus already.
 
     Every article keeps its row; one without an address is no duplicate of another.
-    One address may be repeated by a third of the batch. The first acceptable
-    arrival per address is a plain aggregate, combined before the shuffle; the
-    join back is keyed by address and AQE splits the repeated one, whose other
-    side is a single row.
+    Texts stay where they are: numbers and addresses alone are grouped, and what
+    comes back to the articles is a row per duplicate. One address may be repeated
+    by a third of the batch; its first acceptable arrival is a plain aggregate,
+    combined before the shuffle, and the join back is keyed by address, whose other
+    side is a single row, so AQE can split it. Stored addresses are looked up by
+    those of the batch before they are grouped.
     """
-    keyed = articles.withColumn("_url", _address())
     passes = ~F.coalesce(_too_short(), F.lit(True)) & ~_untitled() & ~_too_old(now)
-    firsts = keyed.groupBy("_url").agg(F.min(F.when(passes, F.col("news_id"))).alias("_first"))
+    keyed = articles.select("news_id", _address().alias("_url"), F.coalesce(passes, F.lit(False)).alias("_passes"))
+    firsts = keyed.groupBy("_url").agg(F.min(F.when(F.col("_passes"), F.col("news_id"))).alias("_first"))
     if stored is not None:
-        known = stored.groupBy(fold_key(F.col("source_url")).alias("_url")).agg(F.min("news_id").alias("_stored"))
+        there = stored.select(fold_key(F.col("source_url")).alias("_url"), F.col("news_id").alias("_known"))
+        known = there.join(firsts.select("_url"), "_url").groupBy("_url").agg(F.min("_known").alias("_stored"))
         firsts = firsts.join(known, "_url", "left")
     else:
         firsts = firsts.withColumn("_stored", F.lit(None).cast("bigint"))
-    joined = keyed.join(firsts, "_url")
     earlier = F.when(F.col("_first") < F.col("news_id"), F.col("_first"))
-    duplicate = F.coalesce("_stored", earlier)
+    duplicates = keyed.join(firsts, "_url").select("news_id", F.coalesce("_stored", earlier).alias("_of")).where("_of is not null")
+    joined = articles.join(duplicates, "news_id", "left")
+    duplicate = F.col("_of")
     short = F.concat(F.lit("Rejected: Content too short ("), F.length("content").cast("string"), F.lit(" chars)"))
     same = F.concat(F.lit("Rejected: Duplicate URL (id:"), duplicate.cast("string"), F.lit(")"))
     old = F.concat(
@@ -72,9 +76,7 @@ def gate_articles(articles: DataFrame, now: Column, stored: DataFrame | None = N
         .when(_too_old(now), "late")
         .otherwise("ok")
     )
-    return joined.withColumns({"status": status, "status_kind": kind, "duplicate_of": duplicate}).drop(
-        "_url", "_first", "_stored"
-    )
+    return joined.withColumns({"status": status, "status_kind": kind, "duplicate_of": duplicate}).drop("_of")
 
 
 def dedupe_url(articles: DataFrame, stored: DataFrame | None = None) -> DataFrame:

@@ -87,25 +87,26 @@ def _with_fallback(articles: DataFrame, out: str) -> DataFrame:
     return articles.withColumn(out, F.when(F.size(out) == 0, F.array(hint)).otherwise(F.col(out)))
 
 
-def news_categories(articles: DataFrame, categories: DataFrame) -> DataFrame:
-    """Category rows; a code that no category has yields no row.
+def news_categories(articles: DataFrame, categories: DataFrame, *carried: str) -> DataFrame:
+    """Category rows, with the ``carried`` columns of their article; a code that no category has yields no row.
 
     ``categories`` is the seven-row dimension; the inner join drops unknown hints.
     """
-    codes = articles.select("news_id", F.explode("category_codes").alias("code")).select(
-        "news_id", fold(F.col("code")).alias("code")
+    codes = articles.select("news_id", *carried, F.explode("category_codes").alias("code")).select(
+        "news_id", *carried, fold(F.col("code")).alias("code")
     )
     known = categories.select("category_id", fold(F.col("category_code")).alias("code"))
     return codes.join(known, "code").select(
-        "news_id", "category_id", F.lit(1.0).cast("float").alias("confidence")
+        "news_id", "category_id", F.lit(1.0).cast("float").alias("confidence"), *carried
     )
 
 
-def news_countries(articles: DataFrame) -> DataFrame:
-    """Country rows of the articles that have a primary country."""
+def news_countries(articles: DataFrame, *carried: str) -> DataFrame:
+    """Country rows, with the ``carried`` columns of their article, of the articles that have a primary country."""
     return articles.where("primary_country is not null").select(
         "news_id",
         F.col("primary_country").alias("country_code"),
         F.lit(True).alias("is_primary"),
         F.lit(1).alias("mention_count"),
+        *carried,
     )

@@ -29,11 +29,13 @@ def local_session(cores: int | str = 8, name: str = "gazette") -> SparkSession:
 def shared_folder(spark: SparkSession) -> str:
     """The folder every executor can reach.
 
-    The cluster names it in ``spark.checkpoint.dir``; only where that is unset
-    (a local run) is a temporary folder taken and remembered in the session.
+    The cluster names it in ``spark.checkpoint.dir``; only a local session may
+    leave that unset and gets a temporary folder, remembered in the session.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.gazette.scratch", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="spark-gazette-")
         spark.conf.set("spark.gazette.scratch", folder)
     return folder

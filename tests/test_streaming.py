@@ -66,7 +66,7 @@ def test_stream_dedupe_across_files(spark, tmp_path):
         spark.createDataFrame(rows, "news_id long, source_url string, created_at timestamp").coalesce(1).write.mode("append").parquet(landed)
     stream = ingest.landed_files(spark, spark.read.parquet(landed).schema, landed, files_per_batch=1)
     out = str(tmp_path / "out")
-    rolling.run_to_table(ingest.stream_dedupe(stream), out, out + "-p", "append")
+    rolling.run_to_table(ingest.stream_dedupe(stream), out, out + "-p")
     assert spark.read.parquet(out).count() == 5
 
 
@@ -76,11 +76,78 @@ def test_rolling_counts_exclude_the_edge(spark, tmp_path):
     rows = [("US", edge), ("US", edge + timedelta(microseconds=1)), ("US", NOW), ("CN", NOW - timedelta(hours=1)), (None, NOW)]
     spark.createDataFrame(rows, "country_code string, created_at timestamp").write.parquet(landed)
     stream = ingest.landed_files(spark, spark.read.parquet(landed).schema, landed)
-    rolling.run_to_table(rolling.country_buckets(stream), out, out + "-p")
-    got = rolling.rolling_country_counts(spark.read.parquet(out), F.lit(str(NOW)).cast("timestamp"))
+    rolling.run_updates(rolling.country_buckets(stream), out, out + "-p")
+    buckets = rolling.latest_updates(spark, out, ["bucket_start", "country_code"])
+    got = rolling.rolling_country_counts(buckets, F.lit(str(NOW)).cast("timestamp"))
     assert {r.country_code: r.news_count for r in got.collect()} == {"US": 2, "CN": 1}
 
 
+def land(spark, path, batches, schema):
+    for rows in batches:
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(path)
+    return ingest.landed_files(spark, spark.read.parquet(path).schema, path, files_per_batch=1)
+
+
+def test_buckets_are_freed_and_updated(spark, tmp_path):
+    days = [[("US", NOW + timedelta(days=2 * k, minutes=m)) for m in range(1, 1400, 10)] for k in range(5)]
+    days[1].append(("US", NOW + timedelta(hours=23, minutes=1)))  # one more for a bucket of the batch before
+    stream = land(spark, str(tmp_path / "in"), days, "country_code string, created_at timestamp")
+    out = str(tmp_path / "out")
+    query = rolling.run_updates(rolling.country_buckets(stream), out, out + "-p")
+    held = [p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress if p["stateOperators"]]
+    assert max(held) < 5 * 47 and held[-1] < max(held)
+    buckets = rolling.latest_updates(spark, out, ["bucket_start", "country_code"])
+    assert buckets.agg(F.sum("news_count")).first()[0] == 5 * 140 + 1 and buckets.count() == 5 * 47
+
+
+def test_late_rows_count_for_ever(spark, tmp_path):
+    from gazette.operators.stats import source_stats
+
+    batches = [[(1, NOW + timedelta(days=k, minutes=i)) for i in range(5)] + [(2, NOW)] for k in range(4)]
+    batches[3] += [(1, NOW + timedelta(hours=12)), (3, NOW - timedelta(hours=60))]  # 60 hours late and more
+    stream = land(spark, str(tmp_path / "in"), batches, "source_id int, created_at timestamp")
+    out = str(tmp_path / "out")
+    rolling.run_increments(stream, rolling.source_days, out, out + "-p")
+    got = rolling.source_stats_on_read(spark.read.parquet(out)).collect()
+    want = source_stats(spark.read.parquet(str(tmp_path / "in"))).collect()
+    assert sorted(map(tuple, got)) == sorted(map(tuple, want)) and len(got) == 3
+
+
+def test_late_rows_leave_a_stream_apart(spark, tmp_path):
+    landed, root = str(tmp_path / "in"), str(tmp_path / "out")
+    for k in range(3):
+        raw(spark, range(k * 10, k * 10 + 10)).coalesce(1).write.mode("append").parquet(landed)
+    stream = ingest.landed_files(spark, spark.read.parquet(landed).schema, landed, files_per_batch=1)
+    ingest.start_split(stream, root, root + "-p", F.col("created_at")).awaitTermination()
+    on_time, late = (export.read_committed(spark, root, name).count() for name in ("on_time", "late"))
+    assert (on_time, late) == (24, 6)
+
+
+def test_the_whole_job(spark, tmp_path):
+    """Numbers, counters, totals, repair and retention over several batches; a batch run again changes nothing."""
+    root = str(tmp_path / "t")
+    run = ingest.write_ingest(root, WORDS, seeds.categories(spark), F.col("created_at"), number_by=["created_at", "source_url"], retain=True)
+    for k in range(3):
+        run(raw(spark, range(k * 40, k * 40 + 40)), k)
+    run(raw(spark, range(80, 120)), 2)
+    last = NOW - timedelta(minutes=37 * (200 - 119))
+    news = export.read_committed(spark, root, "news")
+    assert news.agg(F.min("created_at")).first()[0] >= last - timedelta(hours=48)
+    ids = sorted(r.news_id for r in news.collect())
+    assert ids and max(ids) <= 120 and len(set(ids)) == len(ids)
+    for name in ("news_countries", "inverted_index", "media"):
+        assert {r.news_id for r in export.read_committed(spark, root, name).select("news_id").distinct().collect()} <= set(ids)
+    totals = export.read_committed(spark, root, "job_totals").where("source_id is null").agg(F.sum("fetched"), F.sum("saved")).first()
+    stats = rolling.source_stats_on_read(export.read_committed(spark, root, "source_days")).agg(F.sum("total_news")).first()
+    assert totals[0] == 120 and totals[1] == stats[0] > len(ids)
+    # an article without a build log is indexed by the next repair
+    assert not ingest.repair(spark, root, F.lit(last), "b9")
+    extra = news.limit(1).drop("ingest_date", "batch_id").withColumns({"news_id": F.lit(999).cast("long"), "created_at": F.lit(last)})
+    export.write_news_tables({"news": extra}, root, "b8")
+    assert ingest.repair(spark, root, F.lit(last), "b8") and not ingest.repair(spark, root, F.lit(last), "b8")
+    assert export.read_committed(spark, root, "inverted_index").where("news_id = 999").count() > 0
+
+
 def test_late_rows_are_kept_apart(spark):
     df = raw(spark, range(30))
     on_time, late = ingest.split_late(df, F.col("created_at"))
