@@ -622,7 +622,7 @@ def oracle_sql() -> dict[str, str]:
         (i, *[("generic", True, "|".join(["", *P.PROFILES[0]["blocks"], ""]), 3, "marks", 200, 0, True, True)][0])
         for i, p in enumerate(P.PROFILES)
     ]
-    o["site_profiles"] = f"""WITH rule AS (SELECT * FROM {values(site_rows)} t(i, site, has_article, tags, least, rule, gate, article_gate, uniq, fallback)),
+    site_sql = f"""WITH rule AS (SELECT * FROM {values(site_rows)} t(i, site, has_article, tags, least, rule, gate, article_gate, uniq, fallback)),
         placed AS (SELECT page_id, r.* FROM pages JOIN rule r ON page_id % {len(P.PROFILES)} = i),
         kept AS (SELECT page_id, block, body, uniq FROM placed JOIN blocks USING (page_id) WHERE has_article AND inside >= 1 AND contains(tags, '|' || opener || '|')
           AND body <> '' AND length(body) > least AND NOT (rule = 'marks' AND right(body, 1) IN (':', '：', '；', ';'))
@@ -633,8 +633,24 @@ def oracle_sql() -> dict[str, str]:
         paras AS (SELECT page_id, string_agg(body, chr(10) || chr(10) ORDER BY block) p FROM paragraphs WHERE length(body) > 5 GROUP BY page_id),
         final AS (SELECT page_id, site, article_gate, CASE WHEN length(coalesce(g, '')) > gate OR (length(g) = gate) THEN g WHEN fallback THEN coalesce(p, g, '')
           ELSE coalesce(g, '') END content FROM placed LEFT JOIN texts USING (page_id) LEFT JOIN paras USING (page_id))
-        SELECT page_id, site, length(content) chars, md5(content) digest FROM final JOIN pages USING (page_id) WHERE length(content) > article_gate
+        SELECT {{shown}} FROM final JOIN pages USING (page_id) {{more}} WHERE length(content) > article_gate
           AND NOT (site = 'washingtonpost' AND {any_of('lower(' + clean + ')', L.PAYWALL_SIGNS)})"""
+    o["site_profiles"] = site_sql.replace("{shown}", "page_id, site, length(content) chars, md5(content) digest").replace("{more}", "")
+    # what the article of a page gives by the rules of its site: the name of the source, hints, pictures, players
+    told = [(p["site"], p.get("source"), p.get("category"), p.get("country"), "article" in p["containers"]) for p in P.PROFILES if p["site"] != "full_page"]
+    hosted = [("nytimes", "nytimes"), ("cctv", "cctv"), ("guancha", "guancha"), ("washingtonpost", "washingtonpost")]
+    o["page_articles"] = site_sql.replace("{more}", f"JOIN {values(told)} h(site, source, category, country, inside) USING (site) LEFT JOIN {values(hosted)} u(site, named) USING (site)").replace(
+        "{shown}",
+        """page_id, 'html_' || site fetch_method, trim(regexp_extract(html, '<h1>(.*?)</h1>', 1)) title, md5(content) digest, coalesce(source, named, 'unknown') source_name,
+        category category_hint, country country_hint, 'https://media.cnn.com/api/v1/images/stellar/prod/' || page_id || '.jpg' image_url, CAST(CASE WHEN site = 'cnn' THEN 1 ELSE 2 END AS BIGINT) n_images,
+        concat_ws(' ', CASE WHEN site <> 'xinhua' THEN 'https://v.example/' || page_id END, CASE WHEN site NOT IN ('xinhua', 'nytimes_cn') THEN 'https://hotjar.example/' || page_id END) videos""",
+    )
+    feed_rows = [(i, *f) for i, f in enumerate(L.FEEDS)]
+    o["feed_files"] = f"""SELECT 'Item ' || news_id title, source_url, coalesce(feed, 'unlisted') source_name, {fmt('created_at')} published_at, CASE WHEN feed IS NULL THEN 'general' ELSE hint END category_hint,
+        place country_hint, length(regexp_replace(content, '\\s', '', 'g')) chars FROM raw LEFT JOIN {values(feed_rows)} f(i, feed, lang, hint, place) ON news_id % {len(L.FEEDS) + 1} = i"""
+    o["api_files"] = """SELECT CASE WHEN (news_id // 5) % 2 = 0 THEN 'business' ELSE 'science' END category_hint, 'us' country_hint, 'NewsAPI' source_name, count(*) articles, count(DISTINCT source_url) addresses
+        FROM raw WHERE (news_id // 5) % 10 <> 9 GROUP BY 1"""
+    o["dimension_files"] = "SELECT country_code, country_name_en, country_name keyword, continent, latitude IS NOT NULL placed FROM countries"
     o["title_from_slug"] = "SELECT page_id, 'the long ' || page_id title FROM pages"
     o["source_from_url"] = f"SELECT page_id, {pick([q(x) for x in ('nytimes', 'cctv', 'guancha', 'washingtonpost', 'unknown')], 'page_id % 5')} AS source FROM pages"
     o["author_names"] = """SELECT doc_id, CASE WHEN doc_id % 3 > 0 THEN 'Hu ' || upper(source[1]) || source[2:] || CASE WHEN doc_id % 2 = 0 THEN ' and Liang Rui' ELSE '' END END authors FROM documents"""

@@ -10,7 +10,7 @@ from ..functions import text as X
 from ..functions import urls as U
 from ..functions.geo import heat_color, latlon_to_xyz, source_badge
 from ..operators import gate, index, page_media, pages, process, retention, rows, stats, tagging
-from ..plans import ingest, search, serve, sru, topics
+from ..plans import articles, ingest, search, serve, sru, topics
 from ..session import scratch_path
 from ..sources import corpus as C
 from ..sources import export, feeds, profiles, seeds
@@ -482,15 +482,80 @@ def paywall_filter(s, d):
     return pages.paywall_filter(noted).select("page_id", "url")
 
 
-def site_profiles(s, d):
-    """Every site's profile applied to the pages: the sites are spread over them by number."""
+def _moved(s, d):
+    """The pages dealt out to all sites by number."""
     names = [p["site"] for p in profiles.PROFILES]
     spread = _pages(s, d).withColumn("site", F.get(F.array(*[F.lit(n) for n in names]), (F.col("page_id") % len(names)).cast("int")))
-    rules = profiles.site_profiles(s)
     hosts = {code: part for part, code in reversed(U.SITE_HOSTS)}
     host = F.create_map(*[F.lit(x) for pair in hosts.items() for x in pair])
-    moved = spread.withColumn("url", F.concat(F.lit("https://"), F.coalesce(F.element_at(host, F.col("site")), F.lit("other.example")), F.lit("/a/"))).drop("site")
-    return pages.accepted_content(pages.main_content(moved, rules)).select(
+    return spread.withColumn("url", F.concat(F.lit("https://"), F.coalesce(F.element_at(host, F.col("site")), F.lit("other.example")), F.lit("/a/"))).drop("site")
+
+
+def page_articles(s, d):
+    """Pages of all sites as raw articles, with pictures, trackers and videos put into each article."""
+    key = F.col("page_id").cast("string")
+    media = F.concat(
+        F.lit("<article><img src=\"https://media.cnn.com/api/v1/images/stellar/prod/"), key, F.lit(".jpg\"><img src=\"/p/"), key,
+        F.lit(".jpg\"><iframe src=\"https://hotjar.example/"), key, F.lit("\"></iframe><video src=\"https://v.example/"), key, F.lit("\"></video>"),
+    )
+    told = _moved(s, d).withColumn("html", F.replace("html", F.lit("<article>"), media))
+    return articles.page_articles(told, profiles.site_profiles(s), C.as_of()).select(
+        "page_id", "fetch_method", "title", F.md5("content").alias("digest"), "source_name", "category_hint", "country_hint", "image_url",
+        F.size("images").cast("bigint").alias("n_images"), F.array_join(F.transform("videos", lambda v: v["url"]), " ").alias("videos"),
+    )
+
+
+def feed_files(s, d):
+    """Documents written as feed files of the configured feeds, and read back as articles with the hints of their feed."""
+    docs = C.documents_as_raw(_documents(s, d))
+    feed = F.get(F.array(*[F.lit(f[0]) for f in L.FEEDS], F.lit("unlisted")), (F.col("news_id") % (len(L.FEEDS) + 1)).cast("int"))
+    items = docs.select(
+        feed.alias("feed"), F.concat(F.lit("Item "), F.col("news_id")).alias("title"), F.col("source_url").alias("link"),
+        F.concat(F.lit("Thu, "), F.date_format("created_at", "d MMM yyyy HH:mm:ss"), F.lit(" +0800")).alias("pubDate"),
+        F.col("content").alias("description"),
+    )
+    path = scratch_path(s, "feeds")
+    feeds.write_feed_files(items, path)
+    out = feeds.rss_items(feeds.read_feed_files(s, path), feeds.feed_config(s), C.as_of())
+    return out.select(
+        "title", "source_url", "source_name", X.fmt_time(F.col("published_at")).alias("published_at"), "category_hint", "country_hint",
+        F.length(F.regexp_replace("content", "\\s", "")).cast("bigint").alias("chars"),
+    )
+
+
+def api_files(s, d):
+    """Documents written as API dumps, five articles a response, and read back."""
+    docs = C.documents_as_raw(_documents(s, d))
+    none = F.lit(None).cast("string")
+    article = F.struct(
+        F.col("title"), F.col("source_url").alias("url"), F.concat(F.repeat(F.lit("long "), 120), F.col("content")).alias("content"), none.alias("description"),
+        F.concat(X.fmt_time(F.col("created_at")), F.lit("Z")).alias("publishedAt"), none.alias("urlToImage"), F.struct(F.lit("NewsAPI").alias("name")).alias("source"),
+    )
+    responses = docs.groupBy(F.floor(F.col("news_id") / 5).alias("call")).agg(F.collect_list(article).alias("articles")).select(
+        F.when(F.col("call") % 10 == 9, "error").otherwise("ok").alias("status"), F.when(F.col("call") % 2 == 0, "business").otherwise("science").alias("category"),
+        F.lit("us").alias("country"), "articles",
+    )
+    path = scratch_path(s, "dumps")
+    responses.write.json(path)
+    out = feeds.api_items(feeds.read_api_dumps(s, path), s.createDataFrame([], "url string, full_content string"), C.as_of())
+    return out.groupBy("category_hint", "country_hint", "source_name").agg(F.count("*").alias("articles"), F.countDistinct("source_url").alias("addresses"))
+
+
+def dimension_files(s, d):
+    """Countries and their keywords written as CSV files and loaded; keywords of unknown countries are refused."""
+    folder = scratch_path(s, "dimensions")
+    dim = _countries(s, d).select("country_code", "country_name", "country_name_en", "latitude", "longitude", "continent")
+    words = _countries(s, d).select(F.explode(F.array("country_code", F.lit("??"))).alias("country_code"), F.col("country_name").alias("keyword"), F.lit(3).alias("weight_title"), F.lit(1).alias("weight_content"))
+    dim.write.option("header", True).csv(f"{folder}/countries.csv")
+    words.write.option("header", True).csv(f"{folder}/words.csv")
+    known = seeds.countries(s, f"{folder}/countries.csv")
+    loaded = seeds.country_keywords(s, f"{folder}/words.csv", known)
+    return known.join(loaded, "country_code").select("country_code", "country_name_en", "keyword", "continent", F.col("latitude").isNotNull().alias("placed"))
+
+
+def site_profiles(s, d):
+    """Every site's profile applied to the pages: the sites are spread over them by number."""
+    return pages.accepted_content(pages.main_content(_moved(s, d), profiles.site_profiles(s))).select(
         "page_id", "site", F.length("content").cast("bigint").alias("chars"), F.md5("content").alias("digest")
     )
 
@@ -1064,7 +1129,7 @@ def stream_retention(s, d):
 QUERIES = [
     # sources and sinks
     recent_news_scan, rss_items, feed_config, api_items, full_page_content, all_sources_union, write_news_tables, media_rows, article_xml,
-    sru_response, sru_parse, export_csv, export_json, dimension_seed,
+    sru_response, sru_parse, export_csv, export_json, dimension_seed, feed_files, api_files, dimension_files, page_articles,
     # extraction
     strip_html, article_links, normalize_url, main_content, block_filters, publish_time, url_date, page_images, image_srcset_pick,
     image_url_rewrite, page_videos, video_platform, tracker_iframe_filter, paywall_filter, site_profiles, title_from_slug,

@@ -45,6 +45,18 @@ def bind(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def first_by(items: Column, field: str) -> Column:
+    """The first item of each value of a field, in order; by sorting, so long lists cost little more than short ones."""
+
+    def firsts(ordered: Column) -> Column:
+        new = F.filter(ordered, lambda p, k: (k == 0) | ~F.get(ordered, k - 1)["key"].eqNullSafe(p["key"]))
+        placed = F.sort_array(F.transform(new, lambda p: F.struct(p["at"].alias("at"), p["item"].alias("item"))))
+        return F.transform(placed, lambda p: p["item"])
+
+    keyed = F.transform(items, lambda item, k: F.struct(item[field].alias("key"), k.alias("at"), item.alias("item")))
+    return bind(F.sort_array(keyed), firsts)
+
+
 def evaluate_once(df: DataFrame, exprs: dict[str, Column]) -> DataFrame:
     """``withColumns`` whose expressions are computed once per row, here.
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import bind, decode_entities, evaluate_once, strip
+from ..functions.text import decode_entities, evaluate_once, first_by, strip
 from ..functions.urls import (
     absolute_media_url,
     image_pick,
@@ -25,20 +25,10 @@ def _first_filled(*cols: Column) -> Column:
     return F.coalesce(*[F.nullif(col, F.lit("")) for col in cols], F.lit(""))
 
 
-def _first_by_url(items: Column) -> Column:
-    return bind(
-        items,
-        lambda all_items: bind(
-            F.transform(all_items, lambda item: item["url"]),
-            lambda urls: F.filter(all_items, lambda item, i: F.array_position(urls, item["url"]) == i + 1),
-        ),
-    )
-
-
-def page_images(fragment: Column, page_url: Column) -> Column:
+def page_images(fragment: Column, page_url: Column, path: Column | None = None) -> Column:
     """``array<struct<url,alt,caption>>`` without furniture, first of a repeated address.
 
-    A figure is taken whole, so its caption reaches the images inside it.
+    ``path`` is what a site's picture addresses hold; others are left out there. A figure is taken whole, so its caption reaches the images inside it.
     """
     chunks = F.regexp_extract_all(fragment, F.lit("(?is)<figure\\b.*?</figure>|<img\\s[^>]*>"), F.lit(0))
 
@@ -55,7 +45,8 @@ def page_images(fragment: Column, page_url: Column) -> Column:
         return F.transform(tags, image)
 
     images = F.flatten(F.transform(chunks, images_of))
-    wanted = F.filter(images, lambda i: (i["url"] != "") & ~is_skipped_image(i["url"]))
+    held = (lambda url: F.lit(True)) if path is None else (lambda url: F.contains(url, F.coalesce(path, F.lit(""))))
+    wanted = F.filter(images, lambda i: (i["url"] != "") & held(i["url"]) & ~is_skipped_image(i["url"]))
     absolute = F.transform(
         wanted,
         lambda i: F.struct(
@@ -64,7 +55,7 @@ def page_images(fragment: Column, page_url: Column) -> Column:
             i["caption"].alias("caption"),
         ),
     )
-    return F.coalesce(_first_by_url(absolute), F.array().cast("array<struct<url:string,alt:string,caption:string>>"))
+    return F.coalesce(first_by(absolute, "url"), F.array().cast("array<struct<url:string,alt:string,caption:string>>"))
 
 
 def figure_images(fragment: Column) -> Column:
@@ -87,9 +78,10 @@ def figure_images(fragment: Column) -> Column:
     return F.array_distinct(F.filter(F.transform(figures, pick), lambda url: url != ""))
 
 
-def page_videos(fragment: Column, page_url: Column, html: Column, drop_trackers: Column | bool = True) -> Column:
+def page_videos(fragment: Column, page_url: Column, html: Column, drop_trackers: Column | bool = True, parts: Column | None = None) -> Column:
     """``array<struct<url,type,platform>>``: players, their sources and frames of the article,
-    then media named in scripts of the whole page (the article's markup has none left)."""
+    then media named in scripts of the whole page (the article's markup has none left).
+    Where ``parts`` names any, only addresses that hold one of them stay."""
     base = origin(page_url)
     drop = F.lit(drop_trackers) if isinstance(drop_trackers, bool) else drop_trackers
 
@@ -121,7 +113,10 @@ def page_videos(fragment: Column, page_url: Column, html: Column, drop_trackers:
         F.transform(frames, entry("iframe", video_platform)),
         F.transform(named, entry("script", "unknown")),
     )
-    return F.coalesce(_first_by_url(videos), F.array().cast("array<struct<url:string,type:string,platform:string>>"))
+    if parts is not None:
+        held = lambda v: (F.size(parts) == 0) | F.exists(parts, lambda part: F.contains(F.lower(v["url"]), part))
+        videos = F.filter(videos, held)
+    return F.coalesce(first_by(videos, "url"), F.array().cast("array<struct<url:string,type:string,platform:string>>"))
 
 
 def media_rows(articles: DataFrame, url_chars: int | None = None) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import lexicon as L
-from ..functions.text import WHOLE_ELEMENTS, bind, ends_in_mark, evaluate_once, decode_entities, strip, strip_html, strip_tags
+from ..functions.text import WHOLE_ELEMENTS, bind, decode_entities, ends_in_mark, evaluate_once, first_by, strip, strip_html, strip_tags
 from ..functions.times import publish_time
 from ..functions.urls import contains_any, editor_line, normalize_url, origin, site_of
 
@@ -26,6 +26,8 @@ BOUNDARY = f"(?i)\\s*<(/?)({BLOCK_NAMES})(?:\\s[^>]*)?/?>\\s*"
 INLINE = "\\s*<[^>]*>\\s*"
 CUT, HEAD = "\u0001", "\u0002"
 PARAGRAPH = "\n\n"
+#: Pieces of a page that are walked through as one list.
+RUN = 256
 
 
 def attribute(tag: Column, name: str) -> Column:
@@ -74,30 +76,51 @@ def text_blocks(fragment: Column, allowed: Column, dropped: str = DROPPED) -> Co
     marked = F.regexp_replace(bare, BOUNDARY, f"{CUT}$1$2{HEAD}")
     plain = F.regexp_replace(marked, INLINE, "")
 
-    def name_of(piece: Column) -> Column:
-        return F.lower(F.split_part(piece, F.lit(HEAD), F.lit(1)))
+    def cut(piece: Column) -> Column:
+        label = F.lower(F.split_part(piece, F.lit(HEAD), F.lit(1)))
+        holder = F.regexp_replace(label, "^/", "")
+        holds = holder.isin("div", "li") & F.array_contains(allowed, holder)
+        change = F.when(~holds, 0).when(label.startswith("/"), -1).otherwise(1)
+        own = ~label.startswith("/") & F.array_contains(allowed, label)
+        return F.struct(change.alias("change"), own.alias("own"), F.split_part(piece, F.lit(HEAD), F.lit(2)).alias("text"))
 
-    def choose(pieces: Column) -> Column:
-        start = F.struct(F.lit(0).alias("open"), F.lit("").alias("flags"))
+    def after(open_: Column, piece: Column) -> Column:
+        """Allowed holders that are open after a piece; an end without a beginning changes nothing."""
+        return F.greatest(open_ + piece["change"], F.lit(0))
+
+    def runs(pieces: Column) -> Column:
+        """The pieces in runs of RUN, so that no list grows piece by piece over a whole page."""
+        starts = F.sequence(F.lit(0), F.floor((F.size(pieces) - 1) / RUN).cast("int"))
+        return F.transform(starts, lambda k: F.slice(pieces, k * RUN + 1, RUN))
+
+    def opened(parts: Column) -> Column:
+        """How many holders are open where each run begins."""
+
+        def step(acc: Column, part: Column) -> Column:
+            end = F.aggregate(part, F.get(acc, F.size(acc) - 1), after)
+            return F.concat(acc, F.array(end))
+
+        return F.aggregate(F.slice(parts, F.lit(1), F.size(parts) - 1), F.array(F.lit(0)), step)
+
+    def chosen(part: Column, begins: Column) -> Column:
+        """Texts of a run; the number of holders that are open at each piece is summed up within the run."""
+        nothing = F.array().cast("array<boolean>")
+        start = F.struct(begins.alias("open"), nothing.alias("kept"))
 
         def step(acc: Column, piece: Column) -> Column:
-            label = name_of(piece)
-            closing = label.startswith("/")
-            holder = F.regexp_replace(label, "^/", "")
-            holds = holder.isin("div", "li") & F.array_contains(allowed, holder)
-            change = F.when(closing, F.greatest(acc["open"] - 1, F.lit(0))).otherwise(acc["open"] + 1)
-            still = F.when(holds, change).otherwise(acc["open"])
-            kept = (~closing & F.array_contains(allowed, label)) | (still > 0)
-            flags = F.concat(acc["flags"], F.when(kept, "1").otherwise("0"))
-            return F.struct(still.alias("open"), flags.alias("flags"))
+            still = after(acc["open"], piece)
+            return F.struct(still.alias("open"), F.concat(acc["kept"], F.array(piece["own"] | (still > 0))).alias("kept"))
+
+        def pick(kept: Column) -> Column:
+            return F.transform(F.filter(part, lambda piece, k: F.get(kept, k)), lambda piece: strip(decode_entities(piece["text"])))
 
-        def pick(flags: Column) -> Column:
-            kept = F.filter(pieces, lambda piece, i: F.substring(flags, i + 1, F.lit(1)) == "1")
-            return F.transform(kept, lambda p: strip(decode_entities(F.split_part(p, F.lit(HEAD), F.lit(2)))))
+        return bind(F.aggregate(part, start, step, lambda acc: acc["kept"]), pick)
 
-        return bind(F.aggregate(pieces, start, step, lambda acc: acc["flags"]), pick)
+    def choose(parts: Column) -> Column:
+        return bind(opened(parts), lambda begins: F.flatten(F.transform(parts, lambda part, k: chosen(part, F.get(begins, k)))))
 
-    return F.filter(bind(F.split(plain, CUT), choose), lambda text: text != "")
+    pieces = F.transform(F.split(plain, CUT), cut)
+    return F.filter(bind(bind(pieces, runs), choose), lambda text: text != "")
 
 
 def element_texts(html: Column, open_rx: Column) -> Column:
@@ -209,6 +232,12 @@ def paywall_filter(pages: DataFrame) -> DataFrame:
     return pages.where(~has_paywall(F.col("html")))
 
 
+def heading(html: Column) -> Column:
+    """The text of the first h1, else of the title element."""
+    first = strip_html(F.regexp_extract(html, "(?is)<h1[^>]*>(.*?)</h1>", 1))
+    return F.coalesce(F.nullif(first, F.lit("")), page_title(html))
+
+
 def page_title(html: Column) -> Column:
     return strip_html(F.regexp_extract(html, "(?is)<title[^>]*>(.*?)</title>", 1))
 
@@ -226,16 +255,6 @@ def anchors(html: Column, base: Column) -> Column:
     return F.filter(links, lambda link: link["href"] != "")
 
 
-def first_by_href(links: Column) -> Column:
-    def unique(items: Column) -> Column:
-        hrefs = F.transform(items, lambda item: item["href"])
-        return bind(
-            hrefs, lambda all_hrefs: F.filter(items, lambda item, i: F.array_position(all_hrefs, item["href"]) == i + 1)
-        )
-
-    return bind(links, unique)
-
-
 def article_links(pages: DataFrame, profiles: DataFrame, site: str | None = None, capped: bool = False) -> DataFrame:
     """One row per article link: page_id, position, link, link_title, by the site's rules.
 
@@ -249,7 +268,7 @@ def article_links(pages: DataFrame, profiles: DataFrame, site: str | None = None
         & F.regexp_like(link["href"], rule("link_rx"))
         & ((rule("link_skip") == "") | ~F.regexp_like(link["href"], rule("link_skip"))),
     )
-    links = first_by_href(wanted)
+    links = first_by(wanted, "href")
     listed = evaluate_once(df, {"_links": F.slice(links, F.lit(1), rule("link_cap")) if capped else links})
     return listed.select("page_id", F.posexplode("_links").alias("position", "link")).select(
         "page_id", "position", F.col("link.href").alias("link"), F.col("link.title").alias("link_title")

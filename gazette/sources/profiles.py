@@ -43,7 +43,8 @@ GENERIC_BLOCKS = ["p", "div", "h2", "h3", "h4", "h5", "li"]
 # by themselves, block tags, least block length (exclusive), block rule, container
 # gate and article gate (exclusive), repeated blocks dropped, paragraph fallback,
 # link pattern, least link-title length, link cap, link exclusions, paywall check,
-# category hint, country hint.
+# category hint, country hint, source name, path of article pictures, parts of
+# video addresses.
 PROFILES = [
     dict(site="generic", containers=GENERIC_CONTAINERS, blocks=GENERIC_BLOCKS, least=3, rule="marks", gate=200,
          article_gate=0, distinct=True, fallback=True, link="", title=1, cap=15),
@@ -51,30 +52,30 @@ PROFILES = [
          fallback_least=0, fallback=True, link="", title=1, cap=15),
     dict(site="xinhua", containers=["#detailContent", "#detail", ".article-content", "article"], blocks=["p", "div"],
          least=3, rule="editor", gate=0, article_gate=0, distinct=True, link="\\d{8}/[a-f0-9]+/c\\.html$", title=1,
-         cap=50, category="politics", country="CN"),
+         cap=50, category="politics", country="CN", source="新华网-时政", video_parts=[".mp4", ".m3u8", "vodpub", "news.cn"]),
     dict(site="cnn", elements=[".paragraph-elevate", ".vossi-paragraph_elevate"],
          containers=["div.article__content", "main.article__main", "article"], blocks=["p", "h2", "h3"], least=20,
          rule="ads", gate=0, article_gate=0, link="edition\\.cnn\\.com/.+", title=0, cap=80, link_skip="/live",
-         category="international", country="US"),
-    dict(site="jiemian", containers=[".article-content", "article"], blocks=["p"], least=3, rule="", gate=0,
+         category="international", country="US", source="CNN", image_path="media.cnn.com/api/v1/images/stellar/prod/"),
+    dict(site="jiemian", source="界面新闻", containers=[".article-content", "article"], blocks=["p"], least=3, rule="", gate=0,
          article_gate=30, link="/article/\\d+", title=6, cap=15, category="finance", country="CN"),
-    dict(site="aljazeera", containers=GENERIC_CONTAINERS, blocks=GENERIC_BLOCKS, least=3, rule="marks", gate=200,
+    dict(site="aljazeera", source="Al Jazeera", containers=GENERIC_CONTAINERS, blocks=GENERIC_BLOCKS, least=3, rule="marks", gate=200,
          article_gate=100, distinct=True, fallback=True, link="/news/\\d{4}/\\d{1,2}/\\d{1,2}/", title=5, cap=15,
          country="US"),
-    dict(site="globaltimes", containers=[".article_content", ".article_right", 'div[class*="article-content"]',
+    dict(site="globaltimes", source="环球时报", containers=[".article_content", ".article_right", 'div[class*="article-content"]',
          'div[class*="article_body"]', "article"], blocks=["p", "div"], least=10, rule="", gate=0, article_gate=100,
          link="/page/\\d{6}/\\d+\\.shtml", title=5, cap=15, country="CN"),
-    dict(site="sciencedaily", containers=["#text", "#story_content", ".lead", '[itemprop="articleBody"]',
+    dict(site="sciencedaily", source="ScienceDaily", containers=["#text", "#story_content", ".lead", '[itemprop="articleBody"]',
          ".article-content"], blocks=["p"], least=0, rule="", gate=200, article_gate=200,
          link="/releases/\\d{4}/\\d{2}/", title=11, cap=20, category="science", country="US"),
-    dict(site="sputnik", elements=[".article__text", ".article__quote-text"],
+    dict(site="sputnik", source="俄罗斯卫星通讯社", elements=[".article__text", ".article__quote-text"],
          containers=[".b-article__text", '[itemprop="articleBody"]', "article"], blocks=["p"], least=3, rule="",
          gate=100, article_gate=0, link="/\\d{8}/", title=11, cap=10, category="international", country="RU"),
-    dict(site="nytimes_cn", elements=[".article-paragraph"], containers=[".article-body-item", ".article-content",
+    dict(site="nytimes_cn", source="纽约时报中文版", elements=[".article-paragraph"], containers=[".article-body-item", ".article-content",
          '[itemprop="articleBody"]', "article"], blocks=["p", "div"], least=0, rule="", gate=0, article_gate=0,
          link="/[a-z]+/\\d{8}/[a-z0-9-]+/$", title=11, cap=8, link_skip="/slideshow/|/video/|/author/",
          trackers=True, category="international", country="US"),
-    dict(site="bbc", elements=['div[data-component="text-block"]'], containers=["article",
+    dict(site="bbc", source="BBC", elements=['div[data-component="text-block"]'], containers=["article",
          '[data-testid="article-body"]', ".ssrcss-pv1rh6-ArticleWrapper"], blocks=["p"], least=10, rule="", gate=0,
          article_gate=100, link="/news/articles/[a-z0-9]+", title=11, cap=15, country="GB"),
     dict(site="nytimes", containers=["article", 'div[class*="article"]', 'div[id*="article"]'], blocks=["p"], least=5,
@@ -94,7 +95,7 @@ SCHEMA = (
     "site string, containers array<string>, elements array<string>, blocks array<string>, least int, rule string, "
     "gate int, article_gate int, distinct_blocks boolean, fallback boolean, fallback_least int, link_rx string, "
     "link_title int, link_cap int, link_skip string, paywall boolean, trackers boolean, category_hint string, "
-    "country_hint string"
+    "country_hint string, source string, image_path string, video_parts array<string>"
 )
 
 
@@ -119,6 +120,9 @@ def _row(p: dict) -> tuple:
         p.get("trackers", False),
         p.get("category"),
         p.get("country"),
+        p.get("source"),
+        p.get("image_path", ""),
+        p.get("video_parts", []),
     )
 
 
