@@ -30,6 +30,12 @@ MARKS = set(
     "aside complementary footer contentinfo masthead cookie cookies consent gdpr newsletter subscribe subscription signup login search searchbox form "
     "share sharing social related recommended recommendations popup modal overlay widget widgets pagination pager skip hidden".split()
 )
+#: Those that are boilerplate within an article too. The others only make a branch of an article less important: a table of
+#: class ``form`` or a section on related work may be the story's own.
+FIRM = set(
+    "ad ads adv advert adverts advertisement advertising adsense adslot sponsor sponsored nav navbar navigation menu menubar breadcrumb breadcrumbs sidebar footer "
+    "cookie cookies consent gdpr newsletter subscribe subscription signup share sharing pagination pager popup modal overlay".split()
+)
 COMMENTS = set("comment comments commentlist respond disqus replies".split())
 #: Elements within articles whose names are their own: ``<h2 id="comments">``.
 TITLES = {"h1", "h2", "h3", "h4", "h5", "h6"}
@@ -159,17 +165,18 @@ def parse(page: str) -> tuple[list[tuple[str, str, bool]], list[Element]]:
         parent = stack[-1]
         begins = tag in MAIN or "main" in given.get("role", "").split() or given.get("itemprop") == "articleBody"
         inside = parent.main or begins
-        mark = 0
+        mark, weak = 0, False
         if (tag in DROPPED and tag != "form") or "hidden" in given or given.get("aria-hidden") == "true" or "display:none" in given.get("style", "").replace(" ", "").lower():
             mark = SURE
         elif tag not in ("html", "body") and tag not in MAIN and not (inside and tag in TITLES) and names & COMMENTS:
             mark = COMMENT
         elif tag == "form" or (tag == "header" and not inside) or (tag not in ("html", "body") and tag not in MAIN and not (inside and tag in TITLES) and names & MARKS):
-            mark = WORD
+            weak = parent.main and tag not in ("form", "header") and not names & FIRM
+            mark = 0 if weak else WORD
         if mark and tag not in BLOCKS:
             held.append((" ", parent))
         style = ".".join([tag, *sorted(set(words))])
-        path = f"{parent.path}>{'*' * begins}{style}" if len(parent.path) < LONGEST else parent.path
+        path = f"{parent.path}>{'*' * begins}{'~' * weak}{style}" if len(parent.path) < LONGEST else parent.path
         made = Element(tag, path, parent, mark, inside, begins)
         parent.children.append(style)
         elements.append(made)
@@ -247,23 +254,43 @@ def style_tree(parts: DataFrame, weight: float = 0.9) -> DataFrame:
 def lasting(blocks: list[tuple[str, str, bool]], low: set[str]) -> list[str]:
     """Texts of the blocks that stand in no low branch.
 
-    Of a block in an article (a starred step) only branches below the innermost one count; an article all of whose
-    blocks would go keeps its own. One too deep to be a step of its own can't be told from what is around it, and stays.
+    Of a block in an article (a starred step) only branches below the innermost one count, and only as long as they hold
+    no more than half of that article's text: what several pages tell alike is their story then, and the article stays
+    whole. One too deep to be a step of its own can't be told from what is around it, and stays.
     """
     if not low:
         return [text for _, text, _ in blocks]
     goes: dict[str, bool] = {}
     articles: dict[str, list[str]] = {}
-    alive: set[str] = set()
-    for path, _, main in blocks:
+    whole: dict[str, int] = {}
+    gone: dict[str, int] = {}
+    for path, text, main in blocks:
         if path not in goes:
             steps = path.split(">")
             stars = [i for i, step in enumerate(steps) if step.startswith("*")]
             articles[path] = [">".join(steps[: i + 1]) for i in stars]
             goes[path] = (bool(stars) or not main) and any(">".join(steps[: i + 1]) in low for i in range(stars[-1] + 1 if stars else 1, len(steps)))
-        if not goes[path]:
-            alive.update(articles[path])
-    return [text for path, text, _ in blocks if not goes[path] or (articles[path] and articles[path][-1] not in alive)]
+        for article in articles[path]:
+            whole[article] = whole.get(article, 0) + len(text)
+            gone[article] = gone.get(article, 0) + len(text) * goes[path]
+
+    def story(path: str) -> bool:
+        return bool(articles[path]) and 2 * gone[articles[path][-1]] > whole[articles[path][-1]]
+
+    return [text for path, text, _ in blocks if not goes[path] or story(path)]
+
+
+def low_branches(tree: DataFrame, hosts: DataFrame, least_pages: int, threshold: float, doubt: float = 0.2) -> DataFrame:
+    """(host, low): the paths of each host that are to go.
+
+    Within an article a branch goes only if at least half of the host's pages have it, so a passage that some pages share
+    stays; a doubtful name there (a step that begins with ``~``) raises the threshold by ``doubt``.
+    """
+    within, doubtful = F.col("path").rlike(">[*]"), F.col("path").rlike(">[*]?~[^>]*$")
+    limit = F.lit(threshold) + F.when(doubtful, doubt).otherwise(0.0)
+    common = ~within | (2 * F.col("pages") >= F.col("host_pages"))
+    unimportant = tree.where((F.col("pages") >= least_pages) & (F.col("importance") < threshold + doubt)).join(hosts, "host")
+    return unimportant.where(common & (F.col("importance") < limit)).groupBy("host").agg(F.collect_list("path").alias("low"))
 
 
 def main_text(pages: DataFrame, least_pages: int = 5, threshold: float = 0.3) -> DataFrame:
@@ -272,8 +299,8 @@ def main_text(pages: DataFrame, least_pages: int = 5, threshold: float = 0.3) ->
     Blocks are joined by one line feed; character references are decoded, white space within a block becomes one space.
     Boilerplate by name goes; if a page has an article or main element with text, so does all outside of it. Of the rest
     the branches go whose importance in the host's tree is under ``threshold`` (elements on fewer than ``least_pages``
-    pages are kept); an article itself is no such branch, and one of which nothing would be left stays whole. Null, empty
-    and textless pages have an empty text; rows that repeat stay; null addresses share a tree; other columns are left out.
+    pages are kept); an article itself is no such branch, branches within one must be on half of the host's pages at least,
+    and one that would lose more than half of its text stays whole. Null, empty and textless pages have an empty text; rows that repeat stay; null addresses share a tree; other columns are left out.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -283,8 +310,8 @@ def main_text(pages: DataFrame, least_pages: int = 5, threshold: float = 0.3) ->
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string())], names=["page_id", "url", "text"])
 
     tree = style_tree(stored(parts(pages), "page-parts"))
-    low = tree.where((F.col("pages") >= least_pages) & (F.col("importance") < threshold)).groupBy("host").agg(F.collect_list("path").alias("low"))
-    low = stored(low, "low-branches")  # a table of known size is broadcast while small, so that pages stay where they are
+    hosts = pages.groupBy(host_of(F.col("url")).alias("host")).agg(F.count("*").alias("host_pages"))
+    low = stored(low_branches(tree, hosts, least_pages, threshold), "low-branches")  # a table of known size is broadcast while small, so that pages stay where they are
     met = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html", host_of(F.col("url")).alias("host")).join(low, "host", "left").select("page_id", "url", "html", "low")
     schema = T.StructType([*met.schema.fields[:2], T.StructField("text", T.StringType())])
     return met.mapInArrow(run, schema).withColumn("n_chars", F.length("text").cast("long"))

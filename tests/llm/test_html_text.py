@@ -85,3 +85,20 @@ def test_articles_are_no_branches():
     assert html_text.lasting(blocks[:1], {">body>*main>p"}) == ["a"]
     assert html_text.lasting(blocks, {">body>*main>div.x>*article>div.y"}) == ["a", "b", "d"]
     assert html_text.lasting(blocks, {">body>*main>div.x>*article>div.y", ">body>*main>div.x>*article>p", ">body"}) == ["a", "b", "c"]
+
+
+def test_a_story_that_pages_share_stays(spark):
+    story = "<p>The agency reports at length what happened on that day in the harbour.</p><p>And its second paragraph says how it ended.</p>"
+    shared = [(i, "http://h.example/s", f"<article><h1>Daily bulletin {i}</h1><div class='body'>{story}</div></article>") for i in range(5)]
+    others = [(100 + i, "http://h.example/o", f"<article><h1>Own {i}</h1><div class='text'><p>Own text number {i} of this page, and no other.</p></div></article>") for i in range(20)]
+    rows = {r["page_id"]: r["text"] for r in html_text.main_text(spark.createDataFrame(shared + others, "page_id long, url string, html string")).collect()}
+    assert all("agency reports" in rows[i] and "how it ended" in rows[i] and rows[i].startswith(f"Daily bulletin {i}") for i in range(5))
+    assert all(rows[100 + i] == f"Own {i}\nOwn text number {i} of this page, and no other." for i in range(20))
+
+
+def test_names_within_an_article_are_only_a_doubt(spark):
+    page = lambda i: f"<article><h1>Title {i}</h1><p>Text {i} of the page, long enough to be more than half of all.</p><div class='related'><p>Related work {i} is told here.</p></div><table class='form'><tr><td>cell {i}</td></tr></table><div class='ad'>Buy {i}</div><div class='x'>Read more</div></article>"
+    df = spark.createDataFrame([(i, "http://h.example/s", page(i)) for i in range(12)], "page_id long, url string, html string")
+    for r in html_text.main_text(df).collect():
+        i = r["page_id"]
+        assert r["text"] == f"Title {i}\nText {i} of the page, long enough to be more than half of all.\nRelated work {i} is told here.\ncell {i}"
