@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import lexicon as L
 from ..functions.geo import heat_color, latlon_to_xyz, marker_size, source_badge
 from ..functions.text import fmt_time, fold_key, snippet
 from ..functions.urls import video_embed_url, video_type
-from ..session import rows_frame
 from .search import recent_news
 
 
@@ -138,7 +137,8 @@ def news_detail(
     """Article pages with source, country and media; all of them or the given ids.
 
     The id condition is put on news and media before the joins, so a lookup reads
-    only the matching row groups.
+    only the matching row groups. What belongs to an article is put together by
+    number first, so its text is shuffled once.
     """
     if ids is not None:
         news = news.where(F.col("news_id").isin(ids))
@@ -147,12 +147,14 @@ def news_detail(
     primary = countries.where("is_primary").select("news_id", "country_code")
     names = countries_dim.select("country_code", "country_name")
     empty = F.lit("")
-    df = (
-        news.join(sources.select("source_id", "source_name"), "source_id", "left")
+    beside = (
+        news.select("news_id", "source_id")
+        .join(sources.select("source_id", "source_name"), "source_id", "left")
         .join(primary, "news_id", "left")
         .join(names, "country_code", "left")
         .join(news_media(media), "news_id", "left")
     )
+    df = news.join(beside.drop("source_id"), "news_id")
     content = F.coalesce(F.nullif("content", empty), F.nullif("summary", empty), empty)
     return df.select(
         F.col("news_id").alias("id"),
@@ -183,8 +185,19 @@ def v_news_detail(
     news: DataFrame, sources: DataFrame, countries: DataFrame, countries_dim: DataFrame,
     news_categories: DataFrame, categories: DataFrame, as_of: Column,
 ) -> DataFrame:
-    """The detail view of recent articles: countries (primary first) and categories joined to texts."""
-    named = countries.join(countries_dim.select("country_code", "country_name"), "country_code")
+    """The detail view of recent articles: countries (primary first) and categories joined to texts.
+
+    Rows of articles before the window are left out before anything is grouped: by
+    their own time where they carry it, else by the numbers of the recent articles.
+    """
+    recent = recent_news(news, as_of)
+
+    def inside(rows: DataFrame) -> DataFrame:
+        if "created_at" in rows.columns:
+            return recent_news(rows, as_of)
+        return rows.join(recent.select("news_id"), "news_id", "left_semi")
+
+    named = inside(countries).join(countries_dim.select("country_code", "country_name"), "country_code")
     by_news = named.groupBy("news_id").agg(
         F.array_join(
             F.transform(
@@ -198,7 +211,7 @@ def v_news_detail(
         F.min(F.when(F.col("is_primary"), F.col("country_code"))).alias("primary_country_code"),
     )
     cats = (
-        news_categories.join(categories.select("category_id", "category_name"), "category_id")
+        inside(news_categories).join(categories.select("category_id", "category_name"), "category_id")
         .groupBy("news_id")
         .agg(
             F.array_join(
@@ -210,8 +223,7 @@ def v_news_detail(
         )
     )
     return (
-        recent_news(news, as_of)
-        .join(sources.select("source_id", "source_name", "reliability_score"), "source_id", "left")
+        recent.join(sources.select("source_id", "source_name", "reliability_score"), "source_id", "left")
         .join(by_news, "news_id", "left")
         .join(cats, "news_id", "left")
         .select(
@@ -257,14 +269,12 @@ def country_news(news: DataFrame, countries: DataFrame, code: str, as_of: Column
 
 
 def latest_with_country(news: DataFrame, countries: DataFrame, countries_dim: DataFrame, most: int = 10) -> DataFrame:
-    return (
-        news.select("news_id", "title", "created_at")
-        .join(countries.select("news_id", "country_code", "is_primary"), "news_id")
-        .join(countries_dim.select("country_code", "country_name"), "country_code")
-        .orderBy(F.desc("created_at"), F.desc("news_id"), "country_code")
-        .limit(most)
-        .select("title", "country_code", "is_primary", "country_name")
-    )
+    """The newest articles with their countries: the newest are found by number and time, and only they get their titles."""
+    named = countries.select("news_id", "country_code", "is_primary").join(countries_dim.select("country_code", "country_name"), "country_code")
+    order = [F.desc("created_at"), F.desc("news_id"), "country_code"]
+    newest = news.select("news_id", "created_at").join(named, "news_id").orderBy(*order).limit(most)
+    shown = news.select("news_id", "title").join(F.broadcast(newest), "news_id")  # ``most`` rows
+    return shown.select("title", "country_code", "is_primary", "country_name")
 
 
 def table_report(tables: dict[str, DataFrame]) -> DataFrame:
@@ -276,9 +286,3 @@ def table_report(tables: dict[str, DataFrame]) -> DataFrame:
         )
         whole = part if whole is None else whole.unionByName(part)
     return whole
-
-
-def catalog_report(spark: SparkSession) -> DataFrame:
-    """Tables and views registered in the session."""
-    rows = [(t.name, t.tableType) for t in spark.catalog.listTables()]
-    return rows_frame(spark, rows, "table_name string, table_type string")

@@ -1,17 +1,7 @@
-"""Schemas of the stored tables and of the records that enter the corpus, as DDL text."""
+"""Schemas of the records that enter the corpus and of its dimension tables, as DDL text."""
 
 from __future__ import annotations
 
-IMAGE = "struct<url:string,alt:string,caption:string>"
-VIDEO = "struct<url:string,type:string,platform:string>"
-
-
-RAW_ARTICLE = (
-    "title string, content string, source_url string, source_name string, published_at timestamp, "
-    f"image_url string, images array<{IMAGE}>, videos array<{VIDEO}>, category_hint string, "
-    "country_hint string, fetch_method string, summary string"
-)
-
 RSS_ITEM = (
     "feed string, pos int, title string, link string, published string, updated string, pubDate string, "
     "dc_date string, content string, summary string, media_url string, enclosure_url string"
@@ -22,14 +12,6 @@ API_RESPONSE = (
     "content:string,description:string,publishedAt:string,urlToImage:string,source:struct<name:string>>>"
 )
 
-PAGE = ("page_id bigint, url string, html string")
-
-NEWS = (
-    "news_id bigint, title string, summary string, content string, xml_content string, source_url string, "
-    "source_id int, published_at timestamp, created_at timestamp, updated_at timestamp, language string, "
-    "has_video boolean, click_count int"
-)
-
 COUNTRIES = (
     "country_code string, country_name string, country_name_en string, latitude decimal(10,8), "
     "longitude decimal(11,8), continent string"
@@ -46,27 +28,4 @@ CATEGORIES = (
 
 COUNTRY_KEYWORDS = ("country_code string, keyword string, weight_title int, weight_content int")
 
-NEWS_COUNTRIES = ("news_id bigint, country_code string, is_primary boolean, mention_count int")
-
-NEWS_CATEGORIES = ("news_id bigint, category_id int, confidence float")
-
-MEDIA = (
-    "media_id bigint, news_id bigint, media_type string, media_url string, is_cover boolean, width int, "
-    "height int, file_size_kb int, created_at timestamp"
-)
-
-INVERTED_INDEX = (
-    "term string, news_id bigint, tf_weight double, xpath_path string, field_type string, language string, "
-    "position int, created_at timestamp, term_key string"
-)
-
-SOURCE_STATS = ("source_id int, total_news bigint, today_news bigint, last_publish_time timestamp")
-
-REQUEST_LOGS = (
-    "log_id bigint, source_id int, request_type string, request_url string, http_status int, "
-    "fetched_count int, error_message string, created_at timestamp"
-)
-
-BUILD_LOGS = ("log_id bigint, news_id bigint, term_count int, build_time timestamp, build_method string")
-
 QUERY = ("query_id int, query string, start int, max_records int")
