@@ -124,3 +124,23 @@ def test_no_shuffle_and_no_python(spark):
     df = extract(spark, "<article><p>x</p></article>")
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "hashpartitioning" not in plan
+
+
+def test_media_of_a_page_without_an_address(value):
+    """Addresses that can't be made absolute aren't one address; what repeats in the markup does."""
+    html = '<img src="/a.jpg"><img src="//c.example/b.png"><img src="d.jpg"><img src="/a.jpg"><video src="/v.mp4"><source src="/v.webm"></video>'
+    html += '<iframe src="https://youtu.be/x"></iframe><video src="/v.mp4"></video>'
+    none = F.col("url").cast("string")
+    images = value(page_media.page_images(F.col("html"), none), html=html, url=None)
+    assert [i.url for i in images] == [None, "https://c.example/b.png", None]
+    videos = value(page_media.page_videos(F.col("html"), none, F.col("html")), html=html, url=None)
+    assert [(v.url, v.type) for v in videos] == [(None, "direct"), (None, "source"), ("https://youtu.be/x", "iframe")]
+
+
+def test_page_articles_query_has_titles_as_written(spark, tmp_path):
+    """The query's SQL reads the heading as the markup has it, references included."""
+    from gazette.checks import queries
+
+    page = "<html><body><h1>A &amp; B &lt;</h1><article><p>" + "word " * 100 + "</p></article></body></html>"
+    spark.createDataFrame([(0, "https://x.example/", page)], "page_id long, url string, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    assert [r.title for r in queries.page_articles(spark, str(tmp_path)).collect()] == ["A &amp; B &lt;"]
