@@ -182,3 +182,12 @@ def test_article_xml_without_country(value):
     assert value(xml) == (
         '<news id="7" lang="en"><title><![CDATA[T]]></title><summary><![CDATA[' + "s" * 200 + "...]]></summary><metadata></metadata></news>"
     )
+
+
+def test_the_visible_text_of_a_page_is_made_once_for_its_time(spark):
+    from gazette.operators.pages import page_publish_time
+
+    df = spark.createDataFrame([("<p>Published: Jan 2, 2024 3:04 AM\n</p>",), ("<p>2024年01月02日 03:04</p>",)], "html string")
+    timed = df.select(page_publish_time(F.col("html"), F.lit(None).cast("timestamp")).cast("string").alias("at"))
+    assert [r.at for r in timed.collect()] == ["2024-01-02 03:04:00"] * 2
+    assert timed._jdf.queryExecution().optimizedPlan().toString().count("<!--.*?-->") < 5
