@@ -302,3 +302,15 @@ def test_both_ways_of_a_dictionary_agree(spark):
     small = {r.news_id: r.primary_country for r in tagging.identify_country(df, pairs).collect()}
     large = {r.news_id: r.primary_country for r in tagging.identify_country_large(df, table).collect()}
     assert small == large == {1: "Y", 2: "X", 3: None}
+
+
+def test_few_keywords_are_searched_for_one_by_one(spark):
+    """Entries of a small dictionary are a folded literal, and equal what the pattern finds, in ASCII and other texts."""
+    from dataclasses import replace
+
+    found = dictionary.trie([("x", "ab"), ("y", "abc"), ("x", "科学"), ("z", "é"), ("y", "ab")])
+    df = spark.createDataFrame([("zabcé",), ("科学 ab",), ("none",), ("",), (None,)], "body string")
+    both = df.select(dictionary.matching_codes(found, F.col("body")).alias("a"), dictionary.matching_codes(replace(found, few=None), F.col("body")).alias("b"))
+    assert [r.a for r in both.collect()] == [r.b for r in both.collect()] == [["x", "y", "z"], ["x", "y"], [], [], None]
+    plan = both.select("a")._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp_extract_all" not in plan and "from_json" not in plan
