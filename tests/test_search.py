@@ -208,3 +208,18 @@ def test_ranking_drops_unplaced_after_the_limit(spark):
     )
     got = sorted(r.country_code for r in serve.region_ranking(stats, dim).collect())
     assert got == sorted(f"C{i}" for i in range(10) if i != 1)
+
+
+def test_tables_of_a_corpus_come_from_one_stored_frame(spark, tmp_path, monkeypatch):
+    """Tags and terms cost most; tables that share them read them stored instead of making them anew each."""
+    from gazette.checks import queries
+
+    rows = [(i, f"Title {i}\nThe report on place {i}", "en", "web", 9) for i in range(40)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    corpus = queries._corpus(spark, str(tmp_path))
+    frames = [corpus.news, corpus.countries, corpus.index]
+    monkeypatch.setattr(queries.export, "write_news_tables", lambda tables, *_: frames.extend(tables.values()))
+    monkeypatch.setattr(queries.export, "read_committed", lambda spark, root, name: spark.range(1).selectExpr("current_date() AS ingest_date"))
+    queries.write_news_tables(spark, str(tmp_path))
+    assert len(frames) == 3 + 2 * 7
+    assert not [f for df in frames for f in df.inputFiles() if "documents.parquet" in f]
