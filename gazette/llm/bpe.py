@@ -12,8 +12,8 @@ from __future__ import annotations
 import base64
 import functools
 import re
+from array import array
 from collections.abc import Iterable, Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -24,12 +24,12 @@ from pyspark.sql import types as T
 
 from gazette.llm.common import alone, slices
 
-#: A place of a path is its last token (-1: none) above its node of the trie.
-NODE_BITS = 24
-NODE_MASK = (1 << NODE_BITS) - 1
+#: An arc is the next state, below the number of the tokens that are certain then.
+STATE_BITS = 32
+STATE_MASK = (1 << STATE_BITS) - 1
 
 #: States and words kept per worker; beyond it the tables start anew (results don't change).
-MOST_STATES, MOST_WORDS = 250_000, 300_000
+MOST_STATES, MOST_WORDS = 250_000, 150_000
 
 #: Characters below U+0250: letters, and those that are neither digits 0 to 9 nor any other number; white space as \\s has it.
 _LETTERS, _SIMPLE, _SPACE = r"A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\u024f", r"\x00-\xb1\xb4-\xb8\xba\xbb\xbf-\u024f", r"\t-\r \x85\xa0"
@@ -38,9 +38,9 @@ _LETTERS, _SIMPLE, _SPACE = r"A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\u024f",
 class Transducer:
     """Tokens of single matches of the split pattern, by the ranks of a vocabulary that holds all 256 bytes."""
 
-    def __init__(self, ranks: dict[bytes, int]):
+    def __init__(self, ranks: dict[bytes, int], bytes_of: dict[int, bytes] | None = None):
         self.ranks = ranks
-        self.bytes_of = {rank: token for token, rank in ranks.items()}
+        self.bytes_of = bytes_of or {rank: token for token, rank in ranks.items()}
         self.child: dict[int, int] = {}
         self.token_at = [-1]
         inner = {0}
@@ -60,8 +60,9 @@ class Transducer:
         self._restart()
 
     def _restart(self) -> None:
-        start = (-1 << NODE_BITS, ())
+        start = array("i", (-1, 0, 0)).tobytes()
         self.states, self.number, self.arcs = [start], {start: 0}, {}
+        self.outputs, self.output_number = [()], {(): 0}
         self.fits.clear()
 
     def merged(self, data: bytes, below: int = 1 << 60) -> list[bytes]:
@@ -121,82 +122,105 @@ class Transducer:
             self.fits[key] = known
         return known
 
-    def step(self, state: int, byte: int) -> int | tuple[int, tuple[int, ...]]:
-        """The determinised arc: the next state, with the tokens that are certain now if there are any.
+    def step(self, state: int, byte: int) -> int:
+        """The determinised arc: the next state, and above it the number in ``outputs`` of the tokens that are certain now.
 
-        A state is a flat tuple: of each open path its last token and trie node in one number, and the tokens it holds.
+        A state holds its open paths as bytes, which take a quarter of what tuples do: of each the last token (-1: none),
+        node of the trie, number of tokens held, and these. The one path that could end here (node 0) is the first.
         """
-        paths, child, inner, token_at, settled = [], self.child, self.inner, self.token_at, True
-        open_ = self.states[state]
-        for i in range(0, len(open_), 2):
-            place, held = open_[i], open_[i + 1]
-            node = child.get((place & NODE_MASK) << 8 | byte)
-            if node is None:
-                continue
-            last = place >> NODE_BITS
-            if node in inner:
-                paths += (last << NODE_BITS | node, held)
-                settled = settled and held
-            token = token_at[node]
-            if token >= 0 and self.follows(last, token):
-                paths += (token << NODE_BITS, (*held, token))
-        common: tuple[int, ...] = ()
-        if settled:  # no open path has nothing held, so they may agree on something
-            common = paths[1]
-            for held in paths[3::2]:
-                size = min(len(common), len(held))
-                same = 0
-                while same < size and common[same] == held[same]:
+        paths, child, inner, token_at, settled, at = [], self.child, self.inner, self.token_at, True, 0
+        open_ = memoryview(self.states[state]).cast("i").tolist()
+        size = len(open_)
+        while at < size:
+            start, end = at + 3, at + 3 + open_[at + 2]
+            node = child.get(open_[at + 1] << 8 | byte)
+            if node is not None:
+                last, held = open_[at], open_[start:end]
+                if node in inner:
+                    paths.append((last, node, held))
+                    settled = settled and held
+                token = token_at[node]
+                if token >= 0 and self.follows(last, token):
+                    paths.insert(0, (token, 0, [*held, token]))
+            at = end
+        same = 0
+        if settled and paths:  # no open path has nothing held, so they may agree on something
+            first = paths[0][2]
+            same = len(first)
+            for _, _, held in paths:
+                size, same = min(same, len(held)), 0
+                while same < size and first[same] == held[same]:
                     same += 1
-                common = common[:same]
-            if common:
-                paths[1::2] = [held[len(common) :] for held in paths[1::2]]
-        reached = tuple(paths)
-        known = self.number.get(reached)
-        if known is None:
-            known = self.number[reached] = len(self.states)
+        common, flat = tuple(paths[0][2][:same]) if same else (), []
+        for last, node, held in paths:
+            flat += last, node, len(held) - same
+            if held:
+                flat += held[same:] if same else held
+        reached = array("i", flat).tobytes()
+        arc = self.number.get(reached)
+        if arc is None:
+            arc = self.number[reached] = len(self.states)
             self.states.append(reached)
-        arc = self.arcs[state << 8 | byte] = (known, common) if common else known
+        if common:
+            output = self.output_number.get(common)
+            if output is None:
+                output = self.output_number[common] = len(self.outputs)
+                self.outputs.append(common)
+            arc |= output << STATE_BITS
+        self.arcs[state << 8 | byte] = arc
         return arc
 
     def encode(self, data: bytes) -> tuple[int, ...]:
         """Tokens of one match of the split pattern, in time linear in its length."""
         if len(self.states) > MOST_STATES:
             self._restart()
-        state, before, out, arcs = 0, 0, [], self.arcs
+        state, before, out, arcs, outputs = 0, 0, [], self.arcs, self.outputs
         for byte in data:
             state = arcs.get(state << 8 | byte)
             if state is None:
                 state = self.step(before, byte)
-            if state.__class__ is tuple:
-                state, tokens = state
-                out += tokens
+            if state > STATE_MASK:
+                out += outputs[state >> STATE_BITS]
+                state &= STATE_MASK
             before = state
-        last = self.states[state]
-        for i in range(0, len(last), 2):
-            if not last[i] & NODE_MASK:
-                out += last[i + 1]
+        last = memoryview(self.states[state]).cast("i")
+        if last[2]:
+            out += last[3 : 3 + last[2]].tolist()
         return tuple(out)
 
 
-class Words(dict):
-    """Matches met before, with their tokens: the newest, and behind them those of the generation before."""
+class Packed(dict):
+    """Matches met before, with their tokens as the bytes of 32-bit numbers: the newest, and behind them those of the generation before."""
 
     def __init__(self, transducer: Transducer):
         self.transducer, self.older = transducer, {}
 
-    def __missing__(self, word: str) -> tuple[int, ...]:
+    def __missing__(self, word: str) -> bytes:
         if len(self) >= MOST_WORDS:
             self.older = dict(self)
             self.clear()
         tokens = self.older.get(word)
         if tokens is None:
-            tokens = self.transducer.encode(word.encode("utf-8", "surrogatepass"))
+            tokens = array("i", self.transducer.encode(word.encode("utf-8", "surrogatepass"))).tobytes()
         if len(word) <= 40:
             self[word] = tokens
         return tokens
 
 
+class Words:
+    """Tokens of matches and of texts."""
+
+    def __init__(self, transducer: Transducer):
+        self.packed = Packed(transducer)
+
+    def __getitem__(self, word: str) -> tuple[int, ...]:
+        return tuple(array("i", self.packed[word]))
+
+    def ids(self, matches: Iterable[str]) -> np.ndarray:
+        """Tokens of all matches of a text, one after the other."""
+        return np.frombuffer(b"".join(map(self.packed.__getitem__, matches)), np.int32)
+
+
 class StreamDecoder:
     """Turns tokens that arrive in pieces into text; a character is emitted once its last byte is there.
 
@@ -269,13 +293,18 @@ def splitter(pattern: str):
 
 
 @functools.lru_cache(maxsize=2)
-def _words(path: str, pattern: str) -> tuple[Words, object]:
-    return Words(Transducer(read_ranks(path))), splitter(pattern)
+def _ranks(path: str) -> dict[bytes, int]:
+    return read_ranks(path)
 
 
 @functools.lru_cache(maxsize=2)
 def _bytes_of(path: str) -> dict[int, bytes]:
-    return {rank: token for token, rank in read_ranks(path).items()}
+    return {rank: token for token, rank in _ranks(path).items()}
+
+
+@functools.lru_cache(maxsize=2)
+def _words(path: str, pattern: str) -> tuple[Words, object]:
+    return Words(Transducer(_ranks(path), _bytes_of(path))), splitter(pattern)
 
 
 def _lists(rows: list[np.ndarray], kind: pa.DataType) -> pa.Array:
@@ -291,6 +320,7 @@ def _added(df: DataFrame, name: str, kind: T.DataType) -> T.StructType:
 
 def _forget() -> None:
     _words.cache_clear()
+    _ranks.cache_clear()
     _bytes_of.cache_clear()
 
 
@@ -302,7 +332,7 @@ def encoded(batches: Iterator[pa.RecordBatch], ranks_path: str, pattern: str, te
         for batch in slices(whole, text):
             rows = []
             for value in batch.column(batch.schema.get_field_index(text)).to_pylist():
-                rows.append(np.fromiter(chain.from_iterable(map(words.__getitem__, split(value))), np.int32) if value else np.empty(0, np.int32))
+                rows.append(words.ids(split(value)) if value else np.empty(0, np.int32))
             yield pa.RecordBatch.from_arrays([*batch.columns, _lists(rows, pa.int32())], names=[*batch.schema.names, ids])
 
 

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gazette.llm.common import alone, mix, slices, stored, text_bytes
+from gazette.llm.common import alone, handing_back, mix, slices, stored, text_bytes
 
 GRAM = 16
 #: Bytes of text for each group of anchors, bytes of a shard, and windows of a text handled at once.
@@ -108,6 +108,7 @@ def unpack(blob: bytes) -> np.ndarray:
 def packed_units(documents: DataFrame, length: int, groups: int) -> DataFrame:
     """(bucket, units): the units of each task's texts, packed by bucket of the anchor."""
 
+    @handing_back
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         alone("suffix")
         held: list[dict[str, np.ndarray]] = []
@@ -398,6 +399,7 @@ def compared(table: pa.Table, length: int, groups: int) -> pa.Table:
 def segments(texts: DataFrame, asks: DataFrame, length: int, groups: int) -> DataFrame:
     """(bucket, doc_id, at, count, segment): the bytes of the units to compare."""
 
+    @handing_back
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         alone("suffix")
         for whole in batches:

@@ -2,11 +2,12 @@
 
 import base64
 import random
+import tracemalloc
 
 import pytest
 import regex
 
-from gazette.llm import bpe
+from gazette.llm import bpe, common
 from gazette.llm.queries import vocabulary
 
 tiktoken = pytest.importorskip("tiktoken")
@@ -48,6 +49,32 @@ def test_restart_changes_nothing(library, monkeypatch):
     assert [i for w in regex.findall(PATTERN, text) for i in words[w]] == library.encode_ordinary(text)
 
 
+def test_tables_are_small():
+    random.seed(7)
+    made = bpe.Words(bpe.Transducer(RANKS))
+    words = [" " + "".join(random.choice("etaoinshrdlu") for _ in range(random.randint(3, 9))) for _ in range(10_000)]
+    tracemalloc.start()
+    try:
+        for word in words:
+            made[word]
+        taken = tracemalloc.get_traced_memory()[0]
+    finally:
+        tracemalloc.stop()
+    assert taken / len(words) < 1250, taken / len(words)
+
+
+def test_memory_of_operators_without_tables_goes_back(monkeypatch):
+    trims = []
+    monkeypatch.setattr(common, "_TABLES", {})
+    monkeypatch.setattr(common.gc, "collect", lambda: trims.append(1))
+    common.alone("suffix")
+    common.alone("suffix")
+    assert not trims
+    common.alone("bpe", lambda: None)
+    assert len(trims) == 1
+    assert list(common.handing_back(lambda batches: iter(batches))([1, 2])) == [1, 2] and len(trims) == 2
+
+
 def test_stream_decoder_in_any_pieces():
     data = "aé漢🙂z".encode() + b"\xff\xe6\xbc" + "ü".encode() + b"\xf0\x9f" + b"\xed\xa0\x80" + b"\xe6"
     tokens = {i: data[i : i + 1] for i in range(len(data))}
