@@ -1,5 +1,7 @@
 """Held-out notices, look-alikes, and edge cases."""
 
+from dataclasses import replace
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -51,3 +53,32 @@ def test_every_template_is_found(spark, model):
     got = licences.scanned(spark.createDataFrame(rows, "doc_id long, family string, text string"), model).join(spark.createDataFrame(rows, "doc_id long, family string, text string"), "doc_id")
     right = got.where(F.col("families") == F.col("family")).count()
     assert right >= 0.9 * len(rows)
+
+
+def test_every_paragraph_is_scored(spark, model):
+    want = [
+        ("Prose.\nReleased under CC BY-NC 4.0.\nProse.", 1, "CC-BY-NC", 0),
+        ("Available under CC BY-SA 4.0.\nDistributed under the GPLv3", 2, "CC-BY-SA,GPL-3.0", 0),
+        ("Apache-2.0", 1, "Apache-2.0", 0),
+        ("Unter der GNU GPL Version 3 veröffentlicht", 1, "GPL-3.0", 0),
+        ("Intro.\n\nPermission is hereby granted, free of charge, to any person\r\nobtaining a copy of this software and associated\r\ndocumentation files, to deal in the Software\r\nwithout restriction", 1, "MIT", 0),
+        ("Licensed under the Apache\nLicense, Version 2.0 and so on", 1, "Apache-2.0", 0),
+        ("Licensed under the Foobar Source License 3.", 0, None, 1),
+        ("Leaflets were passed from hand to hand.", 0, None, 0),
+    ]
+    texts = spark.createDataFrame([(i, w[0]) for i, w in enumerate(want)], "doc_id long, text string")
+    got = licences.scanned(texts, model).orderBy("doc_id").collect()
+    assert [(r.n_licences, r.families, r.n_unknown) for r in got] == [w[1:] for w in want]
+
+
+def test_anchors_pass_over_nothing(spark, model):
+    """The same rows come out if no paragraph is passed over, and anchors hold for any sum of weights."""
+    notices = [t for several in licences.TEMPLATES.values() for t in several] + list(licences.OTHERS)
+    cut = [" ".join(words[start : start + size]) for words in map(str.split, notices) for size in (1, 2, 4, 7) for start in range(0, len(words), 3)]
+    texts = spark.createDataFrame(list(enumerate(cut)), "doc_id long, text string")
+    assert model.anchors is not None
+    some, every = (sorted(map(tuple, licences.scanned(texts, m).collect())) for m in (model, replace(model, anchors=None)))
+    assert some == every and any(row[2] for row in some) and any(row[4] for row in some)
+    weights = [("the", [0.0, 1.0]), ("of the", [-1.0, 1.0]), ("rare", [0.0, 0.5]), ("none", [2.0, 0.0])]
+    assert licences.anchors(weights, (3.4, 0.0), {"the": 9, "of": 5, "rare": 1}) == ("rare",)
+    assert licences.anchors(weights, (0.0, 0.0), {}) is None
