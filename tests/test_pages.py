@@ -144,3 +144,21 @@ def test_page_articles_query_has_titles_as_written(spark, tmp_path):
     page = "<html><body><h1>A &amp; B &lt;</h1><article><p>" + "word " * 100 + "</p></article></body></html>"
     spark.createDataFrame([(0, "https://x.example/", page)], "page_id long, url string, html string").write.parquet(str(tmp_path / "pages.parquet"))
     assert [r.title for r in queries.page_articles(spark, str(tmp_path)).collect()] == ["A &amp; B &lt;"]
+
+
+def test_media_queries_list_media_of_an_article_without_text(spark, tmp_path):
+    """A word of two letters is no block, but its article's pictures and players are still there, as the SQL has them."""
+    import duckdb
+
+    from gazette.checks import oracle, queries
+
+    page = "<html><body><nav><p>menu</p></nav><article><h1>De.</h1><p><b>De.<br></article></body></html>"
+    rows = [(7, "https://x.example/de/7", page), (8, "https://x.example/de/8/", page.replace("De.", "long enough " * 30))]
+    spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1).write.parquet(str(tmp_path / "pages.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
+    for name in ("page_images", "page_videos"):
+        got = queries.queries()[name](spark, str(tmp_path))
+        want = con.execute(oracle.oracle_sql()[name])
+        names = [c[0] for c in want.description]
+        assert sorted(tuple(r) for r in got.select(names).collect()) == sorted(want.fetchall())
