@@ -4,9 +4,12 @@ Each 50-byte window has an anchor: of its 16-byte grams the one with the least h
 windows have equal anchors at equal places, so windows are compared only with those of the same anchor. Neighbouring
 windows with one anchor form a unit, about eighteen bytes apart. Units are grouped by anchor, as packed columns:
 
+* where many texts are whole copies of a smaller document's (by SHA-256), these go as a whole before there are any units;
 * an anchor that one document alone has is done: its windows are nowhere else;
 * of units with equal bytes, all but those of the smallest document go as a whole;
-* anchors with different units are compared byte by byte. Their segments are cut out of the texts and sorted, shard by
+* a window holds seventeen bytes more on one side of its anchor at least, so a unit whose anchor no other document has with
+  the same seventeen bytes before it, nor with the same behind it (by 24 hashed bits each), shares no window;
+* what is left of anchors with different units is compared byte by byte. Their segments are cut out of the texts and sorted, shard by
   shard, by Larsson-Sadakane refinement; Kasai's common prefixes tell where equal windows end; the shards are merged by
   binary search for each other's windows. A window goes if a smaller document has it.
 
@@ -30,6 +33,8 @@ from gazette.llm.common import alone, handing_back, mix, slices, stored, text_by
 GRAM = 16
 #: Bytes of text for each group of anchors, bytes of a shard, and windows of a text handled at once.
 GROUP_BYTES, SHARD_BYTES, PIECE = 16 << 20, 1 << 20, 4 << 20
+#: Later copies of whole texts are set aside first if they are at least one byte of so many; fewer aren't worth dealing out all texts.
+COPIED = 8
 
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
 _UNA = np.uint64(pow(0x9E3779B97F4A7C15, -1, 2**64))
@@ -37,7 +42,7 @@ _PLACE = np.uint64((1 << 24) - 1)
 _RANDOM = np.random.default_rng(77).integers(0, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _POWERS: list[np.ndarray] = []
 
-UNIT = [("anchor", "<u8"), ("content", "<u8"), ("doc", "<i8"), ("at", "<i4"), ("count", "u1")]
+UNIT = [("anchor", "<u8"), ("content", "<u8"), ("before", "<u4"), ("after", "<u4"), ("doc", "<i8"), ("at", "<i4"), ("count", "u1")]
 
 
 def powers(size: int) -> list[np.ndarray]:
@@ -54,13 +59,25 @@ def words_at(data: np.ndarray) -> np.ndarray:
     return np.ndarray((len(data) + 56,), "<u8", padded, strides=(1,))
 
 
+def beside(words: np.ndarray, start: np.ndarray, size: int, there: np.ndarray) -> np.ndarray:
+    """24 bits, never all 0, of the ``size`` bytes from each place on; 0 where they aren't there."""
+    out = np.zeros(len(start), np.uint64)
+    for skip in range(0, size, 8):
+        value = words[np.clip(start + skip, 0, len(words) - 1)]
+        if size - skip < 8:
+            value = value & np.uint64((1 << 8 * (size - skip)) - 1)
+        out = mix(out * _B + value * _A)
+    return np.where(there, np.maximum(out >> np.uint64(40), 1), 0).astype(np.uint64)
+
+
 def units(data: np.ndarray, offsets: np.ndarray, length: int) -> dict[str, np.ndarray]:
-    """Units of the windows of all texts: anchor and content hashes, text, place, number of windows, place of the anchor."""
+    """Units of the windows of all texts: anchor and content hashes, text, place, number of windows, place of the anchor, and
+    hashes of what stands before and after the anchor in those windows that hold the longer part of their rest there."""
     n = len(data)
     ends = np.repeat(offsets[1:], np.diff(offsets))
     at = np.flatnonzero(np.arange(n) + length <= ends)
     if not len(at):
-        return {"anchor": np.empty(0, np.uint64), "content": np.empty(0, np.uint64), "text": np.empty(0, np.int64), "at": np.empty(0, np.int64), "count": np.empty(0, np.int64), "left": np.empty(0, np.int64)}
+        return {"anchor": np.empty(0, np.uint64), "content": np.empty(0, np.uint64), "text": np.empty(0, np.int64), "at": np.empty(0, np.int64), "count": np.empty(0, np.int64), "left": np.empty(0, np.int64), "before": np.empty(0, np.uint64), "after": np.empty(0, np.uint64)}
     words = words_at(data)
     gram = mix(words[:n] * _A + mix(words[8 : n + 8] * _B))
     low = (gram & ~_PLACE) | np.arange(n, dtype=np.uint64)
@@ -78,16 +95,20 @@ def units(data: np.ndarray, offsets: np.ndarray, length: int) -> dict[str, np.nd
     sums = np.zeros(n + 1, np.uint64)
     np.cumsum(_RANDOM[data] * up[:n], out=sums[1:])
     content = mix((sums[start + count - 1 + length] - sums[start]) * down[start] + (count * 256 + place - start).astype(np.uint64) * _C)
-    return {"anchor": gram[place], "content": content, "text": np.searchsorted(offsets, start, side="right") - 1, "at": start, "count": count, "left": place - start}
+    half = (length - GRAM) // 2
+    before = beside(words, place - half, half, start <= place - half)
+    after = beside(words, place + GRAM, half, start + count - 1 >= place - (length - GRAM - half))
+    return {"anchor": gram[place], "content": content, "text": np.searchsorted(offsets, start, side="right") - 1, "at": start, "count": count, "left": place - start, "before": before, "after": after}
 
 
 def pack(columns: dict[str, np.ndarray]) -> bytes:
     """Units, ordered by document, as columns of few bytes: 5 of the anchor, which tell the anchors of a bucket apart (and
-    may let two meet, which costs a comparison), 6 of the content; documents and places as differences."""
+    may let two meet, which costs a comparison), 6 of the content, 3 of what is before and after; documents and places as differences."""
     n = len(columns["doc"])
+    none = np.zeros(n, np.uint64)
     part = lambda x, width: np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(n, 8)[:, :width].T).tobytes()
     step = lambda x, kind: np.diff(x, prepend=x.dtype.type(0)).astype(kind).view(np.uint8).reshape(n, -1).T.tobytes()
-    return b"".join([np.int64(n).tobytes(), part(columns["anchor"], 5), part(columns["content"], 6), step(columns["doc"].astype("<i8"), "<i8"), step(columns["at"].astype("<i8"), "<i4"), columns["count"].astype("u1").tobytes()])
+    return b"".join([np.int64(n).tobytes(), part(columns["anchor"], 5), part(columns["content"], 6), part(columns.get("before", none), 3), part(columns.get("after", none), 3), step(columns["doc"].astype("<i8"), "<i8"), step(columns["at"].astype("<i8"), "<i4"), columns["count"].astype("u1").tobytes()])
 
 
 def unpack(blob: bytes) -> np.ndarray:
@@ -95,12 +116,12 @@ def unpack(blob: bytes) -> np.ndarray:
     n = int(np.frombuffer(blob, "<i8", 1)[0])
     body, place = np.frombuffer(blob, np.uint8, offset=8), 0
     out = np.zeros(n, UNIT)
-    for name, width, kind in (("anchor", 5, "<u8"), ("content", 6, "<u8"), ("doc", 8, "<i8"), ("at", 4, "<i4")):
+    for name, width, kind in (("anchor", 5, "<u8"), ("content", 6, "<u8"), ("before", 3, "<u4"), ("after", 3, "<u4"), ("doc", 8, "<i8"), ("at", 4, "<i4")):
         wide = np.zeros((n, np.dtype(kind).itemsize), np.uint8)
         wide[:, :width] = body[place : place + n * width].reshape(width, n).T
         place += n * width
         values = wide.reshape(-1).view(kind)
-        out[name] = values if name in ("anchor", "content") else np.cumsum(values, dtype=kind)
+        out[name] = np.cumsum(values, dtype=kind) if name in ("doc", "at") else values
     out["count"] = body[place : place + n]
     return out
 
@@ -147,6 +168,17 @@ def packed_units(documents: DataFrame, length: int, groups: int) -> DataFrame:
     return documents.mapInArrow(run, "bucket int, units binary")
 
 
+def met(rows: np.ndarray, side: str) -> np.ndarray:
+    """Whether another document has the anchor with the same bytes on this side."""
+    order = np.lexsort((rows[side], rows["anchor"]))
+    sides, anchors, docs = rows[side][order], rows["anchor"][order], rows["doc"][order]
+    first = np.flatnonzero(np.concatenate([[True], (sides[1:] != sides[:-1]) | (anchors[1:] != anchors[:-1])]))
+    several = np.minimum.reduceat(docs, first) < np.maximum.reduceat(docs, first)
+    out = np.empty(len(rows), bool)
+    out[order] = np.repeat(several, np.diff(np.append(first, len(rows)))) & (sides != 0)
+    return out
+
+
 def grouped(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Of a bucket's units: those that go as a whole, and those to compare byte by byte.
 
@@ -167,7 +199,8 @@ def grouped(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     later = rows["doc"] > rows["doc"][new_content][content]
     anchor = np.cumsum(new_anchor) - 1
     several = np.bincount(anchor[new_content])[anchor] > 1
-    return rows[later], rows[~later & several]
+    asked = rows[~later & several]
+    return rows[later], asked[met(asked, "before") | met(asked, "after")] if len(asked) else asked
 
 
 RUN = np.dtype([("doc", "<i8"), ("at", "<i4"), ("count", "<i4")])
@@ -437,8 +470,19 @@ def _removal(documents: DataFrame, length: int, carry: tuple[str, ...]) -> DataF
     """:func:`removal` with ``carried_`` before the names of the carried columns, so that they clash with none it makes."""
     spark = documents.sparkSession
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), *(F.col(c).alias(f"carried_{c}") for c in carry))
+    others = [f"carried_{c}" for c in carry]
     texts = rows.where("doc_id is not null")
-    total = texts.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    digest = F.sha2("text", 256).alias("digest")
+    alike = stored(texts.groupBy(digest, F.octet_length("text").alias("size")).agg(F.min("doc_id").alias("first"), F.count("*").alias("n")), "alike")
+    copies = alike.where((F.col("n") > 1) & (F.col("size") >= length)).select("digest", "first")
+    total, copied = alike.agg(F.coalesce(F.sum(F.col("size") * F.col("n")), F.lit(0)), F.coalesce(F.sum(F.when(F.col("size") >= length, F.col("size") * (F.col("n") - 1))), F.lit(0))).first()
+    whole = None
+    if copied * COPIED > total:
+        later = stored(texts.select("doc_id", digest).join(copies, "digest").where("doc_id > first").select("doc_id", "digest").distinct(), "later")
+        gone = texts.select("doc_id", *others, F.octet_length("text").cast("long").alias("n_bytes"), digest).join(later, ["doc_id", "digest"], "left_semi")
+        whole = gone.select("doc_id", *others, "n_bytes", F.col("n_bytes").alias("n_removed"), F.lit(1).cast("long").alias("n_spans"), F.lit(b"").alias("kept"))
+        texts = stored(texts.withColumn("digest", digest).join(later, ["doc_id", "digest"], "left_anti").drop("digest"), "texts")
+        total -= copied
     groups = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(total / GROUP_BYTES))
     found = packed_units(texts.select("doc_id", "text"), length, groups).groupBy("bucket").applyInArrow(lambda table: settled(table, groups), PACKED)
     found = stored(found, "units")
@@ -446,7 +490,6 @@ def _removal(documents: DataFrame, length: int, carry: tuple[str, ...]) -> DataF
     asks = per_document(found.where("asks is not null").select("place", F.col("asks").alias("rows")), ASK, "asks")
     detail = segments(texts.select("doc_id", "text"), asks, length, groups).groupBy("bucket").applyInArrow(lambda table: compared(table, length, groups), "place int, rows binary")
     runs = per_document(found.where("runs is not null").select("place", F.col("runs").alias("rows")).unionByName(detail), RUN, "runs")
-    others = [f"carried_{c}" for c in carry]
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -471,7 +514,8 @@ def _removal(documents: DataFrame, length: int, carry: tuple[str, ...]) -> DataF
     known = texts.join(runs.hint("shuffle_hash"), "doc_id", "left").select("text", "runs", "doc_id", *others)
     schema = T.StructType([*known.schema.fields[2:], *T.StructType.fromDDL("n_bytes long, n_removed long, n_spans long, kept binary").fields])
     nameless = rows.where("doc_id is null").select("doc_id", *others, F.octet_length("text").cast("long").alias("n_bytes"), F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), F.col("text").cast("binary").alias("kept"))
-    return known.mapInArrow(cut, schema).unionByName(nameless)
+    made = known.mapInArrow(cut, schema).unionByName(nameless)
+    return made if whole is None else made.unionByName(whole)
 
 
 def cleaned(documents: DataFrame, length: int = 50) -> DataFrame:

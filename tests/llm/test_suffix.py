@@ -92,6 +92,48 @@ def test_removal(spark):
     assert suffix.removal(df.limit(0)).collect() == []
 
 
+def test_units_that_share_no_window_are_not_compared():
+    """An anchor met by chance, with other bytes on both sides, costs no comparison; with the same on either side it does."""
+    rng = np.random.default_rng(5)
+    draw = lambda n: rng.integers(97, 123, n).astype(np.uint8).tobytes().decode()
+    gram = draw(16)
+
+    def asked(texts):
+        data = "".join(texts).encode()
+        found = suffix.units(np.frombuffer(data, np.uint8), np.cumsum([0, *map(len, texts)]), 50)
+        rows = np.zeros(len(found["at"]), suffix.UNIT)
+        for name in ("anchor", "content", "at", "count", "before", "after"):
+            rows[name] = found[name]
+        rows["doc"] = found["text"]
+        return {int(doc) for doc in suffix.grouped(rows)[1]["doc"]}
+
+    assert asked([draw(100) + gram + draw(100) for _ in range(400)]) == set()
+    left, right = draw(60), draw(60)
+    assert asked([draw(100) + left + gram + draw(100), draw(200), draw(90) + left + gram + draw(70)]) == {0, 2}
+    assert asked([draw(100) + gram + right + draw(100), draw(200), draw(90) + gram + right + draw(70)]) == {0, 2}
+
+
+def test_whole_copies_go_first(spark, monkeypatch):
+    """Copies of whole texts make no units, and what is removed is the same with and without that step."""
+    rows = corpus()
+    rows += [(doc + 5000 * k, text) for k in (1, 2) for doc, text in rows if doc < 200]
+    want = plain(rows)
+    # ids that repeat: with the same text, and with another one
+    extra = [(200000, rows[2][1]), (200000, rows[2][1]), (200000, rows[4][1]), (200001, "short"), (200002, "short")]
+    df = spark.createDataFrame([(*r, 7) for r in rows + extra] + [(None, rows[0][1], 7)], "doc_id long, text string, n int").repartition(4)
+    handed = []
+    made = suffix.packed_units
+    monkeypatch.setattr(suffix, "packed_units", lambda texts, *rest: (handed.append(texts.count()), made(texts, *rest))[1])
+    results = []
+    for most in (8, 0):
+        monkeypatch.setattr(suffix, "COPIED", most)
+        found = suffix.removal(df, carry=("n",)).collect()
+        results.append(sorted((r.doc_id is None, r.doc_id or 0, r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept), r.n) for r in found))
+        assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in found if r.doc_id is not None and r.doc_id < 200000 or r.doc_id == 2**40} == want
+    assert results[0] == results[1] and len(results[0]) == len(rows) + len(extra) + 1
+    assert handed[0] < len(rows) / 2 and handed[1] == len(rows) + len(extra)
+
+
 def test_long_text_in_pieces(monkeypatch):
     monkeypatch.setattr(suffix, "PIECE", 64)
     data = np.random.default_rng(0).integers(97, 100, 1000).astype(np.uint8)
