@@ -168,3 +168,20 @@ def test_streams_read_a_table_that_is_a_folder(spark, tmp_path):
     for name in ("late_reject", "stream_dedupe", "stream_source_stats"):
         got, want = (sorted(map(tuple, queries.queries()[name](spark, str(d)).collect())) for d in (folder, file))
         assert want and got == want
+
+
+def test_ingest_keeps_nothing_in_memory(spark):
+    """The frames of a batch are files that go with it, not blocks of the executors."""
+    import os
+
+    from gazette.session import StoredFrames
+
+    before, files = set(spark.sparkContext._jsc.getPersistentRDDs()), StoredFrames(spark)
+    tables, gated, _ = ingest_batch(raw(spark, range(120)), F.col("created_at"), WORDS, seeds.categories(spark), files=files)
+    assert gated.count() > 0 and set(spark.sparkContext._jsc.getPersistentRDDs()) == before
+    plan = tables["news"]._jdf.queryExecution().executedPlan().toString()
+    assert "InMemoryTableScan" not in plan and "FileScan parquet" in plan
+    paths = [p.removeprefix("file:") for p in files.paths]
+    assert len(paths) == 2 and all(os.path.isdir(p) for p in paths)
+    files.drop()
+    assert not any(os.path.exists(p) for p in paths)
